@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from tallybook.llm.op2_quality_rules import ORACLE as OP2_SQL
+from tallybook.llm.op2_quality_rules import op2_quality_rules
+from tallybook.llm.op4_media_shards import op4_media_shards
+from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_media_shards": op4_media_shards,
+    "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}
