@@ -27,10 +27,10 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 #: Metric: (SQL of its value in thousandths, what a fence leaves free above the quantiles' spread).
 METRICS = {
-    "symbol_rate": ("n_symbols * 1000 div greatest(word_chars, 1)", 30),
-    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_words, 1)", 60),
-    "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100),
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 2000),
+    "symbol_rate": ("n_symbols * 1000 div greatest(word_chars, 1)", 50),
+    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_words, 1)", 100),
+    "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200),
+    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 4000),
 }
 MIN_GROUP = 200
 SPREAD = 3
