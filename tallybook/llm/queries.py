@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tallybook.llm.op2_quality_rules import ORACLE as OP2_SQL
 from tallybook.llm.op2_quality_rules import op2_quality_rules
+from tallybook.llm.op3_suffix_dedup import op3_suffix_dedup
 from tallybook.llm.op4_media_shards import op4_media_shards
 from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_media_shards": op4_media_shards,
     "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
