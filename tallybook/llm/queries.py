@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from tallybook.llm.op1_masked_lm import op1_masked_lm
 from tallybook.llm.op2_quality_rules import ORACLE as OP2_SQL
 from tallybook.llm.op2_quality_rules import op2_quality_rules
 from tallybook.llm.op3_suffix_dedup import op3_suffix_dedup
 from tallybook.llm.op4_media_shards import op4_media_shards
 from tallybook.llm.op5_length_buckets import op5_length_buckets
 from tallybook.llm.op6_site_quality import op6_site_quality
+from tallybook.llm.op7_packed_ids import op7_packed_ids
 from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op1_masked_lm": op1_masked_lm,
     "op2_quality_rules": op2_quality_rules,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_media_shards": op4_media_shards,
     "op5_length_buckets": op5_length_buckets,
     "op6_site_quality": op6_site_quality,
+    "op7_packed_ids": op7_packed_ids,
     "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
 }
