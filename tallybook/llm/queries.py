@@ -10,6 +10,7 @@ from tallybook.llm.op4_media_shards import op4_media_shards
 from tallybook.llm.op5_length_buckets import op5_length_buckets
 from tallybook.llm.op6_site_quality import op6_site_quality
 from tallybook.llm.op7_packed_ids import op7_packed_ids
+from tallybook.llm.op8_ngram_jaccard import op8_ngram_jaccard
 from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_length_buckets": op5_length_buckets,
     "op6_site_quality": op6_site_quality,
     "op7_packed_ids": op7_packed_ids,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
 }
