@@ -66,7 +66,9 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     starts = F.filter(F.transform("_s", lambda x, k: F.when(same(x, F.get("_s", k - 1)) | same(x, F.get("_s", k + 1)), x["i"])), lambda p: p.isNotNull())
     step = step.select(*kept, F.array_sort(starts).alias("_p"))
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("_p", k + 1) - p, F.lit(5)))), F.lit(0).cast("long"), lambda a, n: a + n)
-    step = step.select(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # one struct, unfolded again: a later filter on a count cannot be pushed into the array functions, which would run once for each mention
+    counts = F.struct(*COUNTS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    step = step.select(*docs.columns, F.inline(F.array(counts)))
     return step.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
