@@ -10,7 +10,7 @@ in the corpus are answered by a hash exchange and never sorted.
    and the rest), with the bytes before the anchor, equal ones once.
 2. A shard merges its runs with a loser tree that knows, for each run, how
    many bytes its head shares with the last output, and compares only beyond.
-   Merging takes two levels: runs of some hundred blocks first, where equal
+   Merging takes two levels: runs of some dozen blocks first, where equal
    suffixes become one, and then what is left of those, so a passage that a
    third of all documents share does not meet in one task once per block.
 3. The shared lengths to the right come out of the merge; the contexts to the
@@ -43,7 +43,7 @@ from tallybook.llm.runtime import durable, without
 LENGTH, GRAM = 400, 160
 SPAN = LENGTH - GRAM + 1
 BACK = LENGTH - GRAM
-GROUP = 256
+GROUP = 64
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text"]
 
 
@@ -56,27 +56,40 @@ def _sliding(a: np.ndarray, span: int, best) -> np.ndarray:
     return best(a[: len(a) - (span - d)], a[span - d :]) if span > d else a
 
 
-def anchors(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts joined, text edges, anchor places and the hashes of their grams."""
-    texts = [t or b"" for t in texts]
-    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    edges = np.concatenate(([0], np.cumsum(sizes + 1)))
-    joined = b" ".join(texts)
+def _anchors(joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor places in texts of these sizes, joined by one byte, and the hashes of their grams."""
     if len(joined) < LENGTH:
-        return joined, edges, np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     grams = byte_windows_hash(np.frombuffer(joined, np.uint8), GRAM)
     rank = (grams >> np.uint64(32)).astype(np.uint32)
     least = _sliding(rank, SPAN, np.minimum)  # for each window start
     inside = np.zeros(len(least), bool)
-    for a, b in zip(edges[:-1].tolist(), sizes.tolist()):
-        if b >= LENGTH:
-            inside[a : a + b - LENGTH + 1] = True
+    at = 0
+    for n in sizes.tolist():
+        if n >= LENGTH:
+            inside[at : at + n - LENGTH + 1] = True
+        at += n + 1
     least[~inside] = 0
     # a gram is an anchor where some window that holds it has it as its least
-    spread = np.concatenate((np.zeros(SPAN - 1, np.uint32), least, np.zeros(SPAN - 1, np.uint32)))
-    highest = _sliding(spread, SPAN, np.maximum)
-    at = np.flatnonzero((highest == rank) & (highest > 0))
-    return joined, edges, at, grams[at]
+    edge = np.zeros(SPAN - 1, np.uint32)
+    highest = _sliding(np.concatenate((edge, least, edge)), SPAN, np.maximum)
+    places = np.flatnonzero((highest == rank) & (highest > 0))
+    return places, grams[places]
+
+
+def anchors(texts: list[bytes | None], step: int = 1 << 18) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, text edges, anchor places and the hashes of their grams, worked out some texts at a time."""
+    texts = [t or b"" for t in texts]
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    edges = np.concatenate(([0], np.cumsum(sizes + 1)))
+    places, grams, a = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + step, side="right")) - 1)
+        p, g = _anchors(b" ".join(texts[a:b]), sizes[a:b])
+        places.append(p + edges[a])
+        grams.append(g)
+        a = b
+    return b" ".join(texts), edges, np.concatenate(places), np.concatenate(grams)
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
