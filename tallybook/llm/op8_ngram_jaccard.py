@@ -13,7 +13,10 @@
    sorted arrays. Pairs that are connected already are not looked at again.
 4. The first round of tiles puts each class with the two hubs it shares most
    lists with. Lists whose classes still lie in several components afterwards
-   are finished exactly: every pair across components, of fitting sizes, once.
+   are finished exactly: their classes are dealt to tiles by hub and size band
+   (a factor of 4/3), and every two tiles of the same or neighbouring bands
+   that meet in such a list are compared once, whatever the list's length.
+   Only pairs of tiles are ever listed, not pairs of classes.
 
 Hashes are 64 bits wide, for shingles and for classes.
 
@@ -98,8 +101,8 @@ def rough_counts(keys: DataFrame) -> DataFrame:
     return keys.groupBy("shard").applyInArrow(group, "shard int, block long, mask binary").groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("answers"))
 
 
-def compare_tile(sets: list[np.ndarray]) -> list[int]:
-    """For each set the place of the first set it is connected with inside the tile."""
+def compare_tile(sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
+    """For each set the place of the first set it is connected with inside the tile; known: equal numbers are connected."""
     n = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(n, kind="stable")
     n, m = n[order], len(sets)
@@ -111,7 +114,7 @@ def compare_tile(sets: list[np.ndarray]) -> list[int]:
     for i, s in enumerate(ordered):
         bits[i] = np.bincount((s % U(width)).astype(np.int64), minlength=width) & 1
     packed = np.packbits(bits, axis=1).view(np.uint64)
-    part = np.arange(m)
+    part = np.arange(m) if known is None else np.unique(np.array(known, np.int64)[order], return_inverse=True)[1]
     band = np.searchsorted(n, -(-3 * n // 4))
     for i in range(m):
         near = np.arange(band[i], i)
@@ -193,46 +196,60 @@ class NearDuplicates:
         lists = durable(posted.filter("shard >= 0").select("shard", "keys", "more").groupBy("shard").applyInArrow(shared_lists, "list long, hub long, cls long, n long").distinct())
         self.labels = self._link(lists)
 
-    def _tiles(self, pairs: DataFrame) -> DataFrame:
-        """Edges found among each hub and its members, pairs (hub, cls), in tiles of about TILE."""
+    def _around_hubs(self, pairs: DataFrame) -> DataFrame:
+        """Tiles (x, y, cls) of about TILE members around each hub, from pairs (hub, cls)."""
         many = pairs.groupBy(F.col("hub").alias("_hub")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
-        dealt = pairs.join(many, pairs["hub"] == many["_hub"]).select("hub", F.pmod(F.xxhash64("cls"), F.col("_k")).cast("int").alias("salt"), "cls")
-        tiles = dealt.union(many.select(F.col("_hub").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt"), F.col("_hub").alias("cls"))).distinct()
+        dealt = pairs.join(many, pairs["hub"] == many["_hub"]).select(F.col("hub").alias("x"), F.pmod(F.xxhash64("cls"), F.col("_k")).cast("long").alias("y"), "cls")
+        return dealt.union(many.select(F.col("_hub").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_k") - 1).cast("long"))).alias("y"), F.col("_hub").alias("cls"))).distinct()
+
+    def _compare(self, tiles: DataFrame) -> DataFrame:
+        """Edges found inside tiles (x, y, cls, component or null)."""
         place = self.members.filter("cls >= 0").groupBy("cls").agg(F.min(F.struct("block", "row")).alias("p"))
-        wanted = tiles.join(place, "cls").select(F.col("p.block").alias("block"), F.struct("p.row", "cls", "hub", "salt").alias("w"))
+        wanted = tiles.join(place, "cls").select(F.col("p.block").alias("block"), F.struct("p.row", "cls", "component", "x", "y").alias("w"))
         asked = wanted.groupBy("block").agg(F.collect_list("w").alias("wanted"))
         text_col = self.text_col
+        sent_schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("cls", pa.int64()), ("component", pa.int64()), ("data", pa.binary())])
 
         def texts(row: dict) -> Iterator[pa.RecordBatch]:
             held = texts_of(open_block(row["data"]), text_col)
             for at in range(0, len(row["wanted"]), 64):
                 w = row["wanted"][at : at + 64]
-                yield pa.RecordBatch.from_pydict({"hub": [x["hub"] for x in w], "salt": [x["salt"] for x in w], "cls": [x["cls"] for x in w], "data": [zstandard.compress(held[x["row"]], 1) for x in w]}, schema=pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("data", pa.binary())]))
+                columns = {c: [v[c] for v in w] for c in ("x", "y", "cls", "component")}
+                yield pa.RecordBatch.from_pydict({**columns, "data": [zstandard.compress(held[v["row"]], 1) for v in w]}, schema=sent_schema)
 
         def tile(table: pa.Table) -> pa.Table:
-            cls = table.column("cls").to_pylist()
-            at = compare_tile(shingle_sets([zstandard.decompress(d) for d in table.column("data").to_pylist()]))
+            cls, known = table.column("cls").to_pylist(), table.column("component").to_pylist()
+            at = compare_tile(shingle_sets([zstandard.decompress(d) for d in table.column("data").to_pylist()]), None if known[0] is None else known)
             found = [(cls[i], cls[k]) for i, k in enumerate(at) if i != k]
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-        sent = map_blocks(self.blocks.join(asked, "block"), texts, "hub long, salt int, cls long, data binary")
-        return sent.groupBy("hub", "salt").applyInArrow(tile, "a long, b long")
+        sent = map_blocks(self.blocks.join(asked, "block"), texts, "x long, y long, cls long, component long, data binary")
+        return sent.groupBy("x", "y").applyInArrow(tile, "a long, b long")
 
     def _link(self, lists: DataFrame) -> DataFrame:
         """(node, component) of all classes with a link."""
         best = Window.partitionBy("cls").orderBy(F.desc("_votes"), "hub")
-        votes = lists.filter("hub <> cls").groupBy("hub", "cls").agg(F.count("*").alias("_votes"))
-        labels = durable(components(self._tiles(votes.withColumn("_r", F.row_number().over(best)).filter("_r <= 2").select("hub", "cls"))))
-        # the rest: pairs across components that share a list, of fitting sizes
+        votes = durable(lists.groupBy("hub", "cls").agg(F.count("*").alias("_votes")))
+        first = votes.filter("hub <> cls").withColumn("_r", F.row_number().over(best)).filter("_r <= 2").select("hub", "cls")
+        labels = durable(components(self._compare(self._around_hubs(first).withColumn("component", F.lit(None).cast("long")))))
+
         named = lists.join(labels, lists["cls"] == labels["node"], "left").select("list", "cls", "n", F.coalesce("component", "cls").alias("component"))
-        groups = named.groupBy("list").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("list")
-        split = durable(named.join(groups, "list", "left_semi"))
+        mixed = named.groupBy("list").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("list")
+        split = durable(named.join(mixed, "list", "left_semi"))
         if split.isEmpty():
             return labels
-        one, other = split.alias("x"), split.alias("y")
-        fits = "x.list = y.list and x.cls < y.cls and x.component <> y.component and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
-        pairs = one.join(other, F.expr(fits)).select(F.col("x.cls").alias("hub"), F.col("y.cls").alias("cls")).distinct()
-        more = self._tiles(durable(pairs))
+        # tiles by hub and size band; sets that link lie in the same or in neighbouring bands
+        hub = votes.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(F.col("cls").alias("_cls"), "hub")
+        banded = split.select("cls", "n", "component").distinct().join(hub, F.col("cls") == F.col("_cls")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+        sizes = banded.groupBy(F.col("hub").alias("_hub"), F.col("band").alias("_band")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
+        dealt = banded.join(sizes, (F.col("hub") == F.col("_hub")) & (F.col("band") == F.col("_band")))
+        dealt = durable(dealt.select("cls", "component", "band", F.xxhash64("hub", "band", F.pmod(F.xxhash64("cls"), F.col("_k"))).alias("tile")))
+        meets = durable(split.select("list", "cls").join(dealt, "cls").groupBy("list", "tile", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+        one, other = meets.alias("p"), meets.alias("q")
+        fits = "p.list = q.list and p.tile <= q.tile and abs(p.band - q.band) <= 1 and least(p.lo, q.lo) < greatest(p.hi, q.hi)"
+        pairs = durable(one.join(other, F.expr(fits)).select(F.col("p.tile").alias("x"), F.col("q.tile").alias("y")).distinct())
+        sides = pairs.select("x", "y", F.col("x").alias("tile")).union(pairs.filter("x <> y").select("x", "y", F.col("y").alias("tile")))
+        more = self._compare(sides.join(dealt.select("tile", "cls", "component"), "tile").select("x", "y", "cls", "component"))
         return durable(components(more.union(labels.selectExpr("node as a", "component as b"))))
 
     def membership(self) -> DataFrame:
