@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.runtime import durable, without
+from tallybook.llm.runtime import durable, small_side, without
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -121,13 +121,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_group: int = MIN_
     docs = without(docs, ["kept", "beyond"])
     counted = quality_counts(docs, text_col)
     cells = durable(sketch(counted))
-    return judge(counted, fences(cells, min_group, spread))
+    return judge(counted, small_side(fences(cells, min_group, spread)))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     counted = durable(quality_counts(docs).drop("text"))  # short rows: counted once
-    judged = judge(counted, fences(sketch(counted)))
+    judged = judge(counted, small_side(fences(sketch(counted))))
     return judged.select("doc_id", *COUNTS, "kept")
 
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.runtime import durable, without
+from tallybook.llm.runtime import durable, small_side, without
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = "0123456789"
@@ -115,7 +115,7 @@ def score_features(features: DataFrame, slim: DataFrame, labels: DataFrame, host
     prior, table = train_evidence(slim, labels)
     own = lambda e: 1 / (1 + F.exp(-(e + F.lit(math.log(prior / (1 - prior))))))
     paths, k2 = site_rates(slim.withColumn("_p", own(_evidence(table))), prior, host, path)
-    scored = features.withColumn("evidence", _evidence(table))
+    scored, paths = features.withColumn("evidence", _evidence(table)), small_side(paths)
     joined = scored.join(paths, scored[f"`{host}`"].eqNullSafe(paths["_host"]) & scored[f"`{path}`"].eqNullSafe(paths["_path"]), "left")
     rate = (F.col("s") - own(F.col("evidence")) + k2 * F.col("host_rate")) / (F.col("n") - 1 + k2)
     joined = joined.withColumn("site_rate", F.greatest(F.lit(1e-6), rate))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df computed once and marked for broadcast where it has at most so many (short) rows; beyond, Spark shuffles."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch holds: texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
