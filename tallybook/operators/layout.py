@@ -15,7 +15,7 @@ from tallybook.functions.values import compatible, standalone_money
 PAGE = ["document_id", "page"]
 # Labels by field, with keys that must not occur in the same line.
 LABELS = {
-    "INVOICE_NUMBER": ["INVOICE NUMBER", "INVOICE NO", "INVOICE #"],
+    "INVOICE_NUMBER": ["INVOICE NUMBER", "INVOICE NO", "INVOICE NUM"],
     "INVOICE_DATE": ["INVOICE DATE", "ISSUE DATE", "DATE"],
     "DUE_DATE": ["DUE DATE", "PAYMENT DUE"],
     "PURCHASE_ORDER_NUMBER": ["PURCHASE ORDER", "PO NUMBER", "PO NO", "ORDER ID"],
