@@ -243,7 +243,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = StructType(docs.schema.fields + [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_bytes", BinaryType()), StructField("kept_text", StringType())])
     arrow = to_arrow_schema(schema)
     blocks = pack_blocks(docs, text_col)
-    shards = shards_for(blocks, total_bytes(blocks) // (SPAN // 2), 200_000)
+    shards = shards_for(blocks, total_bytes(blocks) // (SPAN // 2), 50_000)
 
     def gram_keys(row: dict) -> Iterator[pa.RecordBatch]:
         *_, grams = anchors(texts_of(open_block(row["data"]), text_col))
