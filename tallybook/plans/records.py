@@ -43,7 +43,7 @@ def _sql(spark: SparkSession, sf: str, text: str, *names: str, **frames: DataFra
 
 # ---- layout -------------------------------------------------------------------------------
 
-_LINES = """
+_LINES_SQL = """
   select document_id, 1 as page, n as line_order, text, x, y, w, 20 as h from (
     select document_id, 1 as n, concat('ACME ', coalesce(supplier_name, 'Stores')) as text, 50 as x, 40 as y, 200 as w from {invoices}
     union all select document_id, 2, 'Buyer Company', 500, 40, 200 from {invoices}
@@ -55,12 +55,21 @@ _LINES = """
     union all select document_id, 8, 'Subtotal', 400, 600, 80 from {invoices}
     union all select document_id, 9, concat('$', cast(coalesce(subtotal, 0) as string)), 600, 602, 100 from {invoices}
     union all select document_id, 10, 'TOTAL', 400, 660, 60 from {invoices}
-    union all select document_id, 11, concat('$', cast(total as string)), 600, 662, 100 from {invoices} where total is not null) t"""
-_LINES_SQL = _LINES.replace("{invoices}", "invoices")
+    union all select document_id, 11, concat('$', cast(total as string)), 600, 662, 100 from {invoices} where total is not null) t""".replace("{invoices}", "invoices")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _sql(spark, sf, _LINES, "invoices").withColumn("right", F.col("x") + F.col("w")).withColumn("bottom", F.col("y") + F.col("h"))
+    """The lines that _LINES_SQL describes, in one pass over the invoices."""
+    text = lambda c: F.col(c).cast("string")
+    money = lambda c: F.concat(F.lit("$"), c.cast("string"))
+    layout = [
+        (F.concat(F.lit("ACME "), F.coalesce("supplier_name", F.lit("Stores"))), 50, 40, 200), (F.lit("Buyer Company"), 500, 40, 200), (F.concat(F.lit("Invoice No: INV-"), text("document_id")), 50, 120, 250),
+        (F.lit("Invoice Date"), 50, 160, 120), (text("invoice_date"), 200, 162, 100), (F.lit("Due Date"), 450, 160, 100), (F.lit("2030-01-15"), 460, 200, 100), (F.lit("Subtotal"), 400, 600, 80),
+        (money(F.coalesce(F.col("subtotal"), F.lit(0).cast("decimal(18,2)"))), 600, 602, 100), (F.lit("TOTAL"), 400, 660, 60), (money(F.col("total")), 600, 662, 100),
+    ]
+    rows = F.array(*[F.struct(F.lit(n).alias("line_order"), t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w")) for n, (t, x, y, w) in enumerate(layout, 1)])
+    out = derived(spark, sf, "invoices").select("document_id", F.lit(1).alias("page"), F.inline(rows)).filter("text is not null").withColumn("h", F.lit(20))
+    return out.withColumn("right", F.col("x") + F.col("w")).withColumn("bottom", F.col("y") + F.col("h"))
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:

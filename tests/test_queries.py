@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tallybook.plans import finance, records
+from tallybook.plans import finance, more, records
 
-ALL = {**finance.QUERIES, **records.QUERIES}
-SQL = {**finance.ORACLES, **records.ORACLES}
+ALL = {**finance.QUERIES, **records.QUERIES, **more.QUERIES}
+SQL = {**finance.ORACLES, **records.ORACLES, **more.ORACLES}
 
 
 @pytest.fixture(scope="module")
