@@ -233,14 +233,15 @@ class NearDuplicates:
         first = votes.filter("hub <> cls").withColumn("_r", F.row_number().over(best)).filter("_r <= 2").select("hub", "cls")
         labels = durable(components(self._compare(self._around_hubs(first).withColumn("component", F.lit(None).cast("long")))))
 
-        named = lists.join(labels, lists["cls"] == labels["node"], "left").select("list", "cls", "n", F.coalesce("component", "cls").alias("component"))
+        named = lists.join(labels, lists["cls"] == labels["node"], "left").select("list", "hub", "cls", "n", F.coalesce("component", "cls").alias("component"))
         mixed = named.groupBy("list").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("list")
         split = durable(named.join(mixed, "list", "left_semi"))
         if split.isEmpty():
             return labels
-        # tiles by hub and size band; sets that link lie in the same or in neighbouring bands
-        hub = votes.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(F.col("cls").alias("_cls"), "hub")
-        banded = split.select("cls", "n", "component").distinct().join(hub, F.col("cls") == F.col("_cls")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+        # tiles by the hub of a class's longest list and by size band: sets that link lie in the same or in neighbouring
+        # bands, and the classes of one long list fill few tiles
+        long = split.groupBy(F.col("list").alias("_list")).agg(F.count("*").alias("_size"))
+        banded = split.join(long, F.col("list") == F.col("_list")).groupBy("cls", "n", "component").agg(F.max_by("hub", F.struct("_size", "list")).alias("hub")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
         sizes = banded.groupBy(F.col("hub").alias("_hub"), F.col("band").alias("_band")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
         dealt = banded.join(sizes, (F.col("hub") == F.col("_hub")) & (F.col("band") == F.col("_band")))
         dealt = durable(dealt.select("cls", "component", "band", F.xxhash64("hub", "band", F.pmod(F.xxhash64("cls"), F.col("_k"))).alias("tile")))
