@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tallybook.llm.blocks import KEYS_SCHEMA, answer, by_shard, emit_keys, map_blocks, open_block, pack_blocks, shards_for, split_answers, texts_of, total_bytes
-from tallybook.llm.kernels import byte_windows_hash
+from tallybook.llm.kernels import byte_windows_hash, mix
 from tallybook.llm.runtime import durable, without
 
 LENGTH, GRAM = 400, 160
@@ -74,7 +74,7 @@ def _anchors(joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(SPAN - 1, np.uint32)
     highest = _sliding(np.concatenate((edge, least, edge)), SPAN, np.maximum)
     places = np.flatnonzero((highest == rank) & (highest > 0))
-    return places, grams[places]
+    return places, mix(grams[places])  # anchors have small hashes; mixed again, they spread over all shards
 
 
 def anchors(texts: list[bytes | None], step: int = 1 << 18) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
