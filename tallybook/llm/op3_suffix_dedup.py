@@ -10,7 +10,7 @@ in the corpus are answered by a hash exchange and never sorted.
    and the rest), with the bytes before the anchor, equal ones once.
 2. A shard merges its runs with a loser tree that knows, for each run, how
    many bytes its head shares with the last output, and compares only beyond.
-   Merging takes two levels: runs of some dozen blocks first, where equal
+   Merging takes two levels: runs of some hundred blocks first, where equal
    suffixes become one, and then what is left of those, so a passage that a
    third of all documents share does not meet in one task once per block.
 3. The shared lengths to the right come out of the merge; the contexts to the
@@ -43,7 +43,7 @@ from tallybook.llm.runtime import durable, without
 LENGTH, GRAM = 400, 160
 SPAN = LENGTH - GRAM + 1
 BACK = LENGTH - GRAM
-GROUP = 64
+GROUP = 256
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text"]
 
 
@@ -112,7 +112,7 @@ def pack_run(items: list[tuple[bytes, bytes, bool, bytes]]) -> bytes:
         before = right
     lefts, notes = [i[1] for i in items], [i[3] for i in items]
     sizes = np.array([common, [len(t) for t in tails], [len(x) for x in lefts], [len(x) for x in notes], [i[2] for i in items]], "<u4")
-    return zstandard.compress(np.uint32(len(items)).tobytes() + sizes.tobytes() + b"".join(tails) + b"".join(lefts) + b"".join(notes), 1)
+    return zstandard.compress(np.uint32(len(items)).tobytes() + sizes.tobytes() + b"".join(tails) + b"".join(lefts) + b"".join(notes), 6)
 
 
 def open_run(blob: bytes) -> list[tuple[int, bytes, bytes, bool, bytes]]:
@@ -243,7 +243,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = StructType(docs.schema.fields + [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_bytes", BinaryType()), StructField("kept_text", StringType())])
     arrow = to_arrow_schema(schema)
     blocks = pack_blocks(docs, text_col)
-    shards = shards_for(blocks, total_bytes(blocks) // (SPAN // 2), 50_000)
+    shards = shards_for(blocks, total_bytes(blocks) // (SPAN // 2), 200_000)
 
     def gram_keys(row: dict) -> Iterator[pa.RecordBatch]:
         *_, grams = anchors(texts_of(open_block(row["data"]), text_col))
