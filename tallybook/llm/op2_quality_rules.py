@@ -32,13 +32,15 @@ METRICS = {
     "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200),
     "word_length": ("word_chars * 1000 div greatest(n_words, 1)", 4000),
 }
+#: As METRICS, with duplicate lines by lines; None: the margin is the group's own, up to the end of its 99th percentile's cell.
+LIVE_METRICS = METRICS | {"dup_line_rate": ("n_dup_lines * 1000 div greatest(n_lines, 1)", None), "repeat_rate": (METRICS["repeat_rate"][0], None)}
 MIN_GROUP = 200
 SPREAD = 3
 
 
 def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    docs = without(docs, [*COUNTS, "_w", "_t", "_h", "_s", "_p"])
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and n_lines (those with a word)."""
+    docs = without(docs, [*COUNTS, "n_lines", "_w", "_t", "_h", "_s", "_p"])
     own = [docs[f"`{c}`"] for c in docs.columns]
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
@@ -53,11 +55,12 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.when(plain, F.lit(0)).otherwise(F.length("_t") - F.length(F.translate(F.col("_t"), SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.when(F.instr(F.col("_t"), "\n") == 0, F.lit(0)).otherwise(F.aggregate(F.array(lines), F.lit(0), lambda a, x: F.size(x) - F.size(F.array_distinct(x)))).cast("long").alias("n_dup_lines"),
+        F.when(F.instr(F.col("_t"), "\n") == 0, F.least(F.size("_w"), F.lit(1))).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     at = lambda i, k: F.get(F.col("_h"), i + F.lit(k))
     windows = F.when(F.size("_h") >= 5, F.transform(F.sequence(F.lit(0), F.size("_h") - 5), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2), at(i, 3), at(i, 4)))).otherwise(F.array().cast("array<long>"))
-    kept = [*docs.columns, *COUNTS[:4]]
+    kept = [*docs.columns, *COUNTS[:4], "n_lines"]
     step = step.select(*kept, windows.alias("_w"))
     # only texts with a repeated window pay for finding where it is
     paired = F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.array_sort(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -67,7 +70,7 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.select(*kept, F.array_sort(starts).alias("_p"))
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("_p", k + 1) - p, F.lit(5)))), F.lit(0).cast("long"), lambda a, n: a + n)
     # one struct, unfolded again: a later filter on a count cannot be pushed into the array functions, which would run once for each mention
-    counts = F.struct(*COUNTS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    counts = F.struct(*COUNTS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines")
     step = step.select(*docs.columns, F.inline(F.array(counts)))
     return step.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
@@ -78,34 +81,37 @@ def _cell(value: Column) -> Column:
     return value - value % step
 
 
-def sketch(counted: DataFrame) -> DataFrame:
+def sketch(counted: DataFrame, metrics: dict = METRICS) -> DataFrame:
     """Sketch cells (lang, source, metric, cell, n) of the documents that pass the base rules."""
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(sql).alias("value")) for m, (sql, _) in METRICS.items()])
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(sql).alias("value")) for m, (sql, _) in metrics.items()])
     long = counted.filter(~F.col("base_failed")).select("lang", "source", F.inline(values))
     return long.groupBy("lang", "source", "metric", _cell(F.col("value")).alias("cell")).agg(F.count("*").alias("n"))
 
 
-def fences(cells: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
+def fences(cells: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, metrics: dict = METRICS) -> DataFrame:
     """(lang, source, and for each metric its upper fence), from the finest sketch with enough documents."""
     levels = {"own": ["lang", "source", "metric"], "lang": ["lang", "metric"], "all": ["metric"]}
     groups = cells.select("lang", "source", "metric").distinct()
     for name, keys in levels.items():
         merged = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
         below = merged.selectExpr(*keys, "cell", "sum(n) over (partition by " + ", ".join(keys) + " order by cell) as upto", "sum(n) over (partition by " + ", ".join(keys) + ") as total")
-        at = below.groupBy(*keys).agg(F.max("total").alias("total"), *[F.min(F.expr(f"case when upto * 100 >= total * {q} then cell end")).alias(f"q{q}") for q in (50, 75)])
-        level = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.when(F.col("total") >= (0 if name == "all" else min_group), F.expr(f"q75 + {spread} * (q75 - q50)")).alias(f"fence_{name}"))
+        at = below.groupBy(*keys).agg(F.max("total").alias("total"), *[F.min(F.expr(f"case when upto * 100 >= total * {q} then cell end")).alias(f"q{q}") for q in (50, 75, 99)])
+        fence = F.expr(f"q75 + {spread} * (q75 - q50)")
+        top = F.expr("q99 + shiftleft(1L, greatest(0, length(bin(q99)) - 6)) - 1")
+        fence = F.when(F.col("metric").isin([m for m, (_, f) in metrics.items() if f is None]), F.greatest(fence, top)).otherwise(fence)
+        level = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.when(F.col("total") >= (0 if name == "all" else min_group), fence).alias(f"fence_{name}"))
         on = [groups[k].eqNullSafe(level[f"_{k}"]) for k in keys]
         groups = groups.join(level, on, "left").drop(*[f"_{k}" for k in keys])
     fence = F.coalesce("fence_own", "fence_lang", "fence_all")
-    free = F.create_map(*[F.lit(x) for m, (_, f) in METRICS.items() for x in (m, f)])
-    return groups.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, fence + F.element_at(free, F.col("metric")))).alias(f"fence_{m}") for m in METRICS])
+    free = F.create_map(*[F.lit(x) for m, (_, f) in metrics.items() for x in (m, f or 0)])
+    return groups.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, fence + F.element_at(free, F.col("metric")))).alias(f"fence_{m}") for m in metrics])
 
 
-def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
+def judge(counted: DataFrame, limits: DataFrame, metrics: dict = METRICS) -> DataFrame:
     """counted with kept and the metrics that put a document beyond its group's fences."""
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"fence_{m}") for m in METRICS])
     on = counted["lang"].eqNullSafe(limits["_lang"]) & counted["source"].eqNullSafe(limits["_source"])
-    over = [F.when(F.expr(f"{sql} > fence_{m}"), F.lit(m)) for m, (sql, _) in METRICS.items()]
+    over = [F.when(F.expr(f"{sql} > fence_{m}"), F.lit(m)) for m, (sql, _) in metrics.items()]
     joined = counted.join(limits, on, "left").withColumn("beyond", F.array_compact(F.array(*over)))
     kept = ~F.col("base_failed") & (F.size("beyond") == 0)
     return joined.withColumn("kept", kept).drop("_lang", "_source", *[f"fence_{m}" for m in METRICS])
@@ -120,8 +126,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_group: int = MIN_
     """
     docs = without(docs, ["kept", "beyond"])
     counted = quality_counts(docs, text_col)
-    cells = durable(sketch(counted))
-    return judge(counted, small_side(fences(cells, min_group, spread)))
+    cells = durable(sketch(counted, LIVE_METRICS))
+    return judge(counted, small_side(fences(cells, min_group, spread, LIVE_METRICS)), LIVE_METRICS)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -131,6 +137,14 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *COUNTS, "kept")
 
 
+def op2_live_rules(spark, sf_dir: str) -> DataFrame:
+    """As op2_quality_rules, with fences that can each reject what the base rules pass; no SQL twin."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    counted = durable(quality_counts(docs).drop("text"))
+    judged = judge(counted, small_side(fences(durable(sketch(counted, LIVE_METRICS)), metrics=LIVE_METRICS)), LIVE_METRICS)
+    return judged.select("doc_id", *COUNTS, "n_lines", "beyond", "kept")
+
+
 _RATE = {m: sql.replace(" div ", " // ") for m, (sql, _) in METRICS.items()}
 ORACLE = f"""
 with d as (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallybook.llm.op1_masked_lm import op1_masked_lm
 from tallybook.llm.op2_quality_rules import ORACLE as OP2_SQL
-from tallybook.llm.op2_quality_rules import op2_quality_rules
+from tallybook.llm.op2_quality_rules import op2_live_rules, op2_quality_rules
 from tallybook.llm.op3_suffix_dedup import op3_suffix_dedup
 from tallybook.llm.op4_media_shards import op4_media_shards
 from tallybook.llm.op5_length_buckets import op5_length_buckets
@@ -17,6 +17,7 @@ from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 QUERIES = {
     "op1_masked_lm": op1_masked_lm,
     "op2_quality_rules": op2_quality_rules,
+    "op2_live_rules": op2_live_rules,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_media_shards": op4_media_shards,
     "op5_length_buckets": op5_length_buckets,

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from tallybook.llm import op1_masked_lm
+from tallybook.llm import op1_masked_lm, op2_quality_rules
 from tallybook.llm.blocks import keys_to_bytes
 from tallybook.llm.kernels import Words
 
@@ -33,3 +33,20 @@ def test_masked_lm_vocabulary_follows_the_counted_words(spark):
     assert len(vocabulary.keys) == 6000 and vocabulary.classes == 78
     assert vocabulary.shared.sum() == 6000
     assert abs(sum(np.exp(vocabulary.log_shares(vocabulary.of(keys), counts))[counts == 2]) - 63) < 1e-6
+
+
+
+def test_each_quality_fence_rejects_below_the_base_limit(spark):
+    line = lambda d, k, n=10, w=6: " ".join(f"{d:03d}{k:02d}{i:02d}".ljust(w, "x") for i in range(n))
+    rows = [(d, "\n".join(line(d, k) for k in range(10)), "en", "s") for d in range(400)]
+    phrase = line(904, 99, 8)
+    rows += [
+        (901, " ".join(f"w{i}#" for i in range(100)), "en", "s"),
+        (902, "\n".join(line(902, k) + "\nshort" for k in range(10)), "en", "s"),
+        (903, line(903, 0, 100, 30), "en", "s"),
+        (904, phrase + " " + line(904, 0, 84) + " " + phrase, "en", "s"),
+    ]
+    got = {r.doc_id: r for r in op2_quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[d].base_failed for d in (901, 902, 903, 904))
+    assert [got[d].beyond for d in (901, 902, 903, 904)] == [["symbol_rate"], ["dup_line_rate"], ["word_length"], ["repeat_rate"]]
+    assert all(got[d].kept for d in range(400))
