@@ -57,6 +57,12 @@ def fn_comparison_key(spark, sf):
     return _docs(spark, sf).filter(F.col("text").rlike("^[\\x00-\\x7F]*$")).select("doc_id", F.md5(F.encode(T.comparison_key(F.col("text")), "UTF-8")).alias("key_md5"))
 
 
+@query()
+def fn_comparison_key_all(spark, sf):
+    """The key over all documents, null included; no SQL twin, as DuckDB's upper makes no SS of a sharp s."""
+    return _docs(spark, sf).select("doc_id", F.md5(F.encode(T.comparison_key(F.col("text")), "UTF-8")).alias("key_md5"))
+
+
 @query("select s_suppkey, upper(trim(regexp_replace(s_name || ', & Co. ' || n_name, '[^A-Za-z0-9]+', ' ', 'g'))) as key from supplier join nation on n_nationkey = s_nationkey")
 def fn_business_key(spark, sf):
     s, n = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("supplier", "nation"))

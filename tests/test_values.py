@@ -64,3 +64,16 @@ def test_failure_classes(spark):
 @pytest.mark.parametrize("attempt, want", [(1, 0.0), (2, 1.0), (3, 2.0), (9, 8.0)])
 def test_retry_delay(spark, attempt, want):
     assert one(spark, V.retry_delay(F.lit(attempt))) == want
+
+
+def test_comparison_key_covers_all_texts(spark, tmp_path):
+    import hashlib
+    import re
+
+    from tallybook.plans import finance
+
+    texts = ["Rue de l'Été 12", "Straße Köln", "ﬁn ſ ı", "año nuevo", "plain 7", "日本", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: hashlib.md5(re.sub("[^A-Z0-9]", "", (t or "").upper()).encode()).hexdigest() for i, t in enumerate(texts)}
+    got = {r.doc_id: r.key_md5 for r in finance.QUERIES["fn_comparison_key_all"](spark, str(tmp_path)).collect()}
+    assert got == want
