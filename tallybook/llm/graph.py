@@ -37,4 +37,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.selectExpr("a as node", "b as component").union(edges.selectExpr("b as node", "b as component")).groupBy("node").agg(F.min("component").alias("component"))

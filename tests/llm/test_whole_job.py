@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from tallybook.llm import op1_masked_lm, op2_quality_rules
+from tallybook.llm import graph, op1_masked_lm, op2_quality_rules
 from tallybook.llm.blocks import keys_to_bytes
 from tallybook.llm.kernels import Words
 
@@ -35,6 +36,12 @@ def test_masked_lm_vocabulary_follows_the_counted_words(spark):
     assert abs(sum(np.exp(vocabulary.log_shares(vocabulary.of(keys), counts))[counts == 2]) - 63) < 1e-6
 
 
+def test_components_do_not_stop_before_they_settle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in graph.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(chain, rounds=1)
+
 
 def test_each_quality_fence_rejects_below_the_base_limit(spark):
     line = lambda d, k, n=10, w=6: " ".join(f"{d:03d}{k:02d}{i:02d}".ljust(w, "x") for i in range(n))
