@@ -1,9 +1,9 @@
 """Substring dedup: windows of words that occur again anywhere are cut.
 
-1. Each block of documents makes a sparse count-min sketch of its windows
-   (two rows, width in proportion to the corpus); shards of cells are merged
-   by adding, which overestimates but never underestimates a window's count.
-2. Only windows that both rows estimate as repeated are grouped exactly, by
+1. Each block of documents sends the cell of each of its windows, twice, by two
+   hashes (cells in proportion to the corpus); shards mark the cells that occur
+   again. No counters are added; a repeated window is never missed.
+2. Only windows whose cells both occur again are grouped exactly, by
    96 hash bits that are independent of the cells.
 3. Words under a repeated window go; windows are judged on the input.
 
