@@ -95,11 +95,15 @@ def keys_from_bytes(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(raw, "<u8", 1, 1), gaps)), dtype=np.uint64)
 
 
+def shard_edges(shards: int) -> np.ndarray:
+    """The least key of each shard; shards are equal ranges of 64-bit keys."""
+    return np.array([(s << 64) // shards for s in range(shards)], np.uint64)
+
+
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts the keys, and where each of the shards (ranges of keys) starts in it."""
     order = np.argsort(keys, kind="stable")
-    edges = np.array([(s << 64) // shards for s in range(shards)], np.uint64)
-    return order, np.append(np.searchsorted(keys[order], edges), len(keys))
+    return order, np.append(np.searchsorted(keys[order], shard_edges(shards)), len(keys))
 
 
 def split_answers(n: int, order: np.ndarray, cuts: np.ndarray, answers: list) -> np.ndarray:
@@ -176,5 +180,6 @@ def map_blocks(df: DataFrame, func: Callable[[dict], Iterator[pa.RecordBatch]],
 
 
 def shards_for(blocks: DataFrame, keys: int, per_shard: int = 2_000_000) -> int:
-    """So many shards that one holds some two million keys, and at least one for each shuffle partition."""
-    return max(1, min(shuffle_width(blocks.sparkSession), 1024), -(-keys // per_shard))
+    """As many shards as keep each to about per_shard keys, however many keys there are, and no fewer than tasks can share."""
+    needed = -(-keys // per_shard)
+    return max(1, needed, min(shuffle_width(blocks.sparkSession), 1024))

@@ -97,8 +97,19 @@ class Words:
         return ok
 
 
-def byte_windows_hash(buf: np.ndarray, length: int) -> np.ndarray:
-    return windows_hash(_BYTE[buf], length, 1)
+def byte_sums(buf: np.ndarray, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial over bytes, and the inverse powers, for sums_hash."""
+    n = len(buf)
+    up, down = powers(which, n)
+    sums = np.empty(n + 1, U)
+    sums[0] = 0
+    np.cumsum(_BYTE[buf] * up[:n], dtype=U, out=sums[1:])
+    return sums, down
+
+
+def sums_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes in each span."""
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:

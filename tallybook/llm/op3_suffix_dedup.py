@@ -1,24 +1,33 @@
-"""Suffix-array dedup: bytes under a 400-byte string that also starts anywhere else are cut.
+"""Suffix-array dedup: bytes under a string of so many bytes that also starts anywhere else are cut.
 
 A sparse suffix array decides it. Suffixes are sorted only at anchors, the
-places of least hash among the 160-byte grams of each 400-byte window: equal
-windows have equal anchors, so nothing is lost. Anchors whose gram occurs once
-in the corpus are answered by a hash exchange and never sorted.
-
-1. Each block sorts the suffixes at its repeated anchors and sends one run to
-   each shard of grams: front-coded (the length shared with the suffix before,
-   and the rest), with the bytes before the anchor, equal ones once.
-2. A shard merges its runs with a loser tree that knows, for each run, how
-   many bytes its head shares with the last output, and compares only beyond.
-   Merging takes two levels: runs of some hundred blocks first, where equal
-   suffixes become one, and then what is left of those, so a passage that a
-   third of all documents share does not meet in one task once per block.
+places of least hash among the grams (two fifths of the length) of each
+window: equal windows have equal anchors, so nothing is lost.
+
+1. What must be sorted is found first. Each block sends the hashes of its
+   anchors' grams, and of all bytes that windows at the anchor can hold (its
+   context), each pair once. A gram that occurs once repeats no window. A context
+   that occurs again repeats all its windows, whoever holds it; one of its
+   holders stands for all. So inside long copies nothing is left to sort: only
+   anchors near an edge of a repeat, and one of each repeated context beside
+   them, go on.
+2. Of those each block sends one sorted run to each shard of grams: front-coded
+   (the length shared with the suffix before, and the rest), with the bytes
+   before the anchor. A shard merges its runs with a loser tree that knows, for
+   each run, how many bytes its head shares with the last output, and compares
+   only beyond.
 3. The shared lengths to the right come out of the merge; the contexts to the
    left are ordered within each gram. A window at offset j before an anchor
-   repeats where another suffix shares j bytes to the left and 400 - j to the
+   repeats where another suffix shares j bytes to the left and the rest to the
    right; the least and the largest such j give the anchor's cut.
+4. A gram with over hot different contexts (a passage that very many texts
+   share, each with its own surroundings) is not merged in one shard. Its
+   windows are compared as 128-bit hashes, dealt over all shards and sent once
+   from each block, so the work of one task does not grow with that group.
 
-Defined results: null text is empty; texts below 400 bytes keep everything;
+Contexts and the windows of step 4 count as equal where 128 hash bits are.
+
+Defined results: null text is empty; texts below the length keep everything;
 equal rows cut each other whole; other columns pass through, and an input
 column named like a result column is replaced. kept_bytes is exact; kept_text
 keeps a character where any of its bytes is kept, so it stays valid UTF-8.
@@ -27,6 +36,7 @@ keeps a character where any of its bytes is kept, so it stays valid UTF-8.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +46,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tallybook.llm.blocks import KEYS_SCHEMA, answer, by_shard, emit_keys, map_blocks, open_block, pack_blocks, shards_for, split_answers, texts_of, total_bytes
-from tallybook.llm.kernels import byte_windows_hash, mix
+from tallybook.llm.blocks import keys_from_bytes, keys_to_bytes, map_blocks, open_block, pack_blocks, shard_edges, shards_for, texts_of, total_bytes
+from tallybook.llm.kernels import byte_sums, mix, sums_hash
 from tallybook.llm.runtime import durable, without
 
-LENGTH, GRAM = 400, 160
-SPAN = LENGTH - GRAM + 1
-BACK = LENGTH - GRAM
-GROUP = 256
+LENGTH = 400
+HOT = 4096
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text"]
+U = np.uint64
+#: What is known of an anchor's context: its gram is alone; all its windows repeat (stated by another anchor);
+#: to be compared; all its windows repeat, and it stands for all that have it; the last two again for hot grams.
+ALONE, WHOLE, ASKS, STANDS, HOT_ASKS, HOT_STANDS = range(6)
+
+
+def gram_of(length: int) -> int:
+    return max(1, 2 * length // 5)
 
 
 def _sliding(a: np.ndarray, span: int, best) -> np.ndarray:
@@ -56,40 +72,72 @@ def _sliding(a: np.ndarray, span: int, best) -> np.ndarray:
     return best(a[: len(a) - (span - d)], a[span - d :]) if span > d else a
 
 
-def _anchors(joined: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor places in texts of these sizes, joined by one byte, and the hashes of their grams."""
-    if len(joined) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = byte_windows_hash(np.frombuffer(joined, np.uint8), GRAM)
-    rank = (grams >> np.uint64(32)).astype(np.uint32)
-    least = _sliding(rank, SPAN, np.minimum)  # for each window start
+def _anchors(sums: np.ndarray, down: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor places in texts of these sizes (one byte apart), and the hashes of their grams and contexts."""
+    gram, total = gram_of(length), len(sums) - 1
+    span = length - gram + 1
+    if total < length:
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
+    grams = mix((sums[gram:] - sums[: total - gram + 1]) * down[: total - gram + 1])
+    rank = np.maximum((grams >> U(32)).astype(np.uint32), 1)
+    least = _sliding(rank, span, np.minimum)  # for each window start
     inside = np.zeros(len(least), bool)
-    at = 0
-    for n in sizes.tolist():
-        if n >= LENGTH:
-            inside[at : at + n - LENGTH + 1] = True
-        at += n + 1
+    begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    for at, n in zip(begins.tolist(), sizes.tolist()):
+        if n >= length:
+            inside[at : at + n - length + 1] = True
     least[~inside] = 0
     # a gram is an anchor where some window that holds it has it as its least
-    edge = np.zeros(SPAN - 1, np.uint32)
-    highest = _sliding(np.concatenate((edge, least, edge)), SPAN, np.maximum)
+    edge = np.zeros(span - 1, np.uint32)
+    highest = _sliding(np.concatenate((edge, least, edge)), span, np.maximum)
     places = np.flatnonzero((highest == rank) & (highest > 0))
-    return places, mix(grams[places])  # anchors have small hashes; mixed again, they spread over all shards
-
-
-def anchors(texts: list[bytes | None], step: int = 1 << 18) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts joined, text edges, anchor places and the hashes of their grams, worked out some texts at a time."""
-    texts = [t or b"" for t in texts]
-    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    edges = np.concatenate(([0], np.cumsum(sizes + 1)))
-    places, grams, a = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + step, side="right")) - 1)
-        p, g = _anchors(b" ".join(texts[a:b]), sizes[a:b])
-        places.append(p + edges[a])
-        grams.append(g)
-        a = b
-    return b" ".join(texts), edges, np.concatenate(places), np.concatenate(grams)
+    doc = np.searchsorted(begins, places, side="right") - 1
+    lo = np.maximum(begins[doc], places - (length - gram))
+    hi = np.minimum(begins[doc] + sizes[doc], places + length)
+    sides = (places - lo).astype(U) << U(32) | (hi - places).astype(U)
+    context = mix(sums_hash(sums, down, lo, hi) ^ mix(sides + U(1)))
+    return places, mix(grams[places]), context  # anchors have small hashes; mixed again, they spread over all shards
+
+
+class Anchors:
+    """Anchors of one length in a block's texts; equal (gram, context) pairs are one entry, ascending."""
+
+    def __init__(self, places: np.ndarray, grams: np.ndarray, contexts: np.ndarray):
+        order = np.lexsort((contexts, grams))
+        g, c = grams[order], contexts[order]
+        fresh = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])) if len(g) else np.empty(0, bool)
+        self.grams, self.contexts = g[fresh], c[fresh]
+        self.entry = np.empty(len(g), np.int64)  # of each place
+        self.entry[order] = np.cumsum(fresh) - 1
+        self.many = np.bincount(self.entry, minlength=len(self.grams)) > 1
+        self.places = places
+        self.first = places[order[fresh]]
+
+
+class Anchored:
+    """A block's texts, joined by one byte, and their anchors for each length."""
+
+    def __init__(self, texts: list[bytes | None], lengths: tuple[int, ...], step: int = 1 << 18):
+        texts = [t or b"" for t in texts]
+        sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        self.texts = texts
+        self.edges = edges = np.concatenate(([0], np.cumsum(sizes + 1)))
+        found: list[list[tuple]] = [[(np.empty(0, np.int64), np.empty(0, U), np.empty(0, U))] for _ in lengths]
+        a = 0
+        while a < len(texts):  # some texts at a time, to bound memory
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + step, side="right")) - 1)
+            sums, down = byte_sums(np.frombuffer(b" ".join(texts[a:b]), np.uint8))
+            for k, length in enumerate(lengths):
+                places, *hashes = _anchors(sums, down, sizes[a:b], length)
+                found[k].append((places + edges[a], *hashes))
+            a = b
+        self.of = [Anchors(*(np.concatenate(x) for x in zip(*f))) for f in found]
+        self.joined = b" ".join(texts)
+
+    def sides(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the contexts at these places begin and end."""
+        doc = np.searchsorted(self.edges, places, side="right") - 1
+        return np.maximum(self.edges[doc], places - (length - gram_of(length))), np.minimum(self.edges[doc + 1] - 1, places + length)
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -99,35 +147,87 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
     return known + ((n - known) * 8 - x.bit_length()) // 8 if x else n
 
 
+# ---- which contexts occur again -------------------------------------------------------------
+
+KEYS = "shard int, block long, keys binary, more binary"
+_KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+_JUDGED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("states", pa.binary()), ("n_sent", pa.int64()), ("n_hot", pa.int64())])
+
+
+def ask(block: int, keys: np.ndarray, further: np.ndarray, many: np.ndarray, shards: int, base: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard that has some of these distinct (key, further) pairs, ascending; many: the pair is there more than once."""
+    cuts = np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
+    rows = []
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[s], cuts[s + 1])
+        rows.append((base + s, block, keys_to_bytes(keys[part]), further[part].tobytes() + np.packbits(many[part]).tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KEYS.types)], schema=_KEYS)
+
+
+def judge(table: pa.Table, hot: int = HOT) -> pa.Table:
+    """The state of each pair that a shard was sent."""
+    parts = [keys_from_bytes(b) for b in table.column("keys").to_pylist()]
+    sizes = [len(p) for p in parts]
+    keys = np.concatenate(parts)
+    more = table.column("more").to_pylist()
+    further = np.concatenate([np.frombuffer(m, "<u8", n) for m, n in zip(more, sizes)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, -1, 8 * n), count=n) for m, n in zip(more, sizes)])
+    order = np.lexsort((further, keys))
+    k, f = keys[order], further[order]
+    new_key = np.append(True, k[1:] != k[:-1])
+    new_pair = new_key | np.append(True, f[1:] != f[:-1])
+    pair = np.cumsum(new_pair) - 1
+    again = (np.bincount(pair, weights=1 + many[order]) > 1)[pair]
+    kinds = np.bincount(np.cumsum(new_key) - 1, weights=new_pair)[np.cumsum(new_key) - 1]
+    state = np.where(again, np.where((kinds > 1) & new_pair, STANDS, WHOLE), np.where(kinds > 1, ASKS, ALONE)).astype(np.uint8)
+    state[(kinds > hot) & (state >= ASKS)] += HOT_ASKS - ASKS
+    states = np.empty(len(keys), np.uint8)
+    states[order] = state
+    split = np.split(states, np.cumsum(sizes)[:-1])
+    counts = [np.bincount(s, minlength=6) for s in split]
+    return pa.Table.from_arrays([table.column("shard"), table.column("block"), pa.array([zstandard.compress(s.tobytes(), 3) for s in split], pa.binary()), pa.array([int(c[ASKS] + c[STANDS]) for c in counts], pa.int64()), pa.array([int(c[HOT_ASKS] + c[HOT_STANDS]) for c in counts], pa.int64())], schema=_JUDGED)
+
+
+def judged_states(keys: np.ndarray, answers: list, shards: int, base: int) -> np.ndarray:
+    """The states of a block's pairs, from what the shards answered."""
+    cuts = np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
+    states = np.zeros(len(keys), np.uint8)
+    for a in answers:
+        s = a["shard"] - base
+        if 0 <= s < shards:
+            states[cuts[s] : cuts[s + 1]] = np.frombuffer(zstandard.decompress(a["data"]), np.uint8)
+    return states
+
+
 # ---- runs: sorted suffixes, front-coded -----------------------------------------------------
 
 
-def pack_run(items: list[tuple[bytes, bytes, bool, bytes]]) -> bytes:
-    """items: (right, reversed left, seen more than once, note), ascending by right, left."""
+def pack_run(items: list[tuple[bytes, bytes, bool, int]]) -> bytes:
+    """items: (right, reversed left, seen more than once, number), ascending by right, left."""
     common, tails, before = [], [], b""
     for right, *_ in items:
         k = shared(before, right)
         common.append(k)
         tails.append(right[k:])
         before = right
-    lefts, notes = [i[1] for i in items], [i[3] for i in items]
-    sizes = np.array([common, [len(t) for t in tails], [len(x) for x in lefts], [len(x) for x in notes], [i[2] for i in items]], "<u4")
-    return zstandard.compress(np.uint32(len(items)).tobytes() + sizes.tobytes() + b"".join(tails) + b"".join(lefts) + b"".join(notes), 6)
+    lefts = [i[1] for i in items]
+    sizes = np.array([common, [len(t) for t in tails], [len(x) for x in lefts], [i[2] for i in items], [i[3] for i in items]], "<u4")
+    return zstandard.compress(np.uint32(len(items)).tobytes() + sizes.tobytes() + b"".join(tails) + b"".join(lefts), 6)
 
 
-def open_run(blob: bytes) -> list[tuple[int, bytes, bytes, bool, bytes]]:
-    """(bytes shared with the right before, right, left, more than once, note) for each item."""
+def open_run(blob: bytes) -> list[tuple[int, bytes, bytes, bool, int]]:
+    """(bytes shared with the right before, right, left, more than once, number) for each item."""
     raw = zstandard.decompress(blob)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    common, tail, left, note, more = np.frombuffer(raw, "<u4", 5 * n, 4).reshape(5, n).tolist()
+    common, tail, left, more, number = np.frombuffer(raw, "<u4", 5 * n, 4).reshape(5, n).tolist()
     t = 4 + 20 * n
     x = t + sum(tail)
-    y = x + sum(left)
     out, before = [], b""
-    for k, a, b, c, m in zip(common, tail, left, note, more):
+    for k, a, b, m, i in zip(common, tail, left, more, number):
         before = before[:k] + raw[t : t + a]
-        out.append((k, before, raw[x : x + b], bool(m), raw[y : y + c]))
-        t, x, y = t + a, x + b, y + c
+        out.append((k, before, raw[x : x + b], bool(m), i))
+        t, x = t + a, x + b
     return out
 
 
@@ -184,14 +284,15 @@ def merge_runs(runs: list[list[tuple]]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
-def reach(rights: list[int], lefts: list[bytes], common: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def reach(rights: list[int], lefts: list[bytes], common: np.ndarray, more: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes ascending by their right side: the largest and the least offset of a repeated window (-1: none).
 
     rights: lengths; common: bytes shared with the one before; more: stands for several equal ones.
     """
-    n = len(lefts)
+    n, gram_size = len(lefts), gram_of(length)
+    back = length - gram_size
     top, low = np.full(n, -1), np.full(n, -1)
-    gram = np.cumsum(common < GRAM)
+    gram = np.cumsum(common < gram_size)
     gids = gram.tolist()
     order = np.array(sorted(range(n), key=lambda i: (gids[i], lefts[i])), np.int64)
     near = np.full(n, -1)  # bytes to the left shared with the one before in this order
@@ -205,12 +306,12 @@ def reach(rights: list[int], lefts: list[bytes], common: np.ndarray, more: np.nd
     best_left[order] = np.maximum(near, np.append(near[1:], -1))
     best_right = np.where(more, right_len, best_right)
     best_left = np.where(more, left_len, best_left)
-    most = np.minimum(np.minimum(best_left, left_len), BACK)
-    least = np.maximum(LENGTH - best_right, 0)
+    most = np.minimum(np.minimum(best_left, left_len), back)
+    least = np.maximum(length - best_right, 0)
     open_ = (most >= least) & (best_left >= 0)
     # one that stands for several equal ones repeats every window it holds
-    whole = more & (right_len + left_len >= LENGTH)
-    top[whole], low[whole] = np.minimum(left_len, BACK)[whole], np.maximum(LENGTH - right_len, 0)[whole]
+    whole = more & (right_len + left_len >= length)
+    top[whole], low[whole] = np.minimum(left_len, back)[whole], np.maximum(length - right_len, 0)[whole]
 
     def search(offsets: range, found: np.ndarray) -> None:
         for j in offsets:
@@ -222,121 +323,151 @@ def reach(rights: list[int], lefts: list[bytes], common: np.ndarray, more: np.nd
             fit = np.flatnonzero((most >= j) & (least <= j) & open_ & wanted[gram])
             lid = np.empty(n, np.int64)
             lid[order] = np.cumsum(near < j)
-            rid = np.cumsum(common < LENGTH - j)
+            rid = np.cumsum(common < length - j)
             _, inverse, counts = np.unique(lid[fit] * (n + 1) + rid[fit], return_inverse=True, return_counts=True)
             hit = fit[counts[inverse] > 1]
             found[hit[found[hit] < 0]] = j
 
-    search(range(BACK, -1, -1), top)
-    search(range(BACK + 1), low)
+    search(range(back, -1, -1), top)
+    search(range(back + 1), low)
     return top, low
 
 
 # ---- the operator ---------------------------------------------------------------------------
 
-_RUN = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("run", pa.binary())])
+SENT = "shard int, block long, kind int, data binary, more binary"
+_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
+_MERGED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+RUN, WINDOWS = 1, 2
+SHARD_ITEMS = 20_000
 
 
-def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_bytes and kept_text."""
-    docs = without(docs, MADE)
-    schema = StructType(docs.schema.fields + [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_bytes", BinaryType()), StructField("kept_text", StringType())])
+def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, also: tuple[int, ...] = (), hot: int = HOT) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_bytes and kept_text; n_repeated_<n> counts the bytes that a further length n would cut."""
+    lengths = (length, *also)
+    docs = without(docs, MADE + [f"n_repeated_{n}" for n in also])
+    made_fields = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_bytes", BinaryType()), StructField("kept_text", StringType())]
+    schema = StructType(docs.schema.fields + made_fields + [StructField(f"n_repeated_{n}", LongType()) for n in also])
     arrow = to_arrow_schema(schema)
     blocks = pack_blocks(docs, text_col)
-    shards = shards_for(blocks, total_bytes(blocks) // (SPAN // 2), 200_000)
-
-    def gram_keys(row: dict) -> Iterator[pa.RecordBatch]:
-        *_, grams = anchors(texts_of(open_block(row["data"]), text_col))
-        if len(grams) and (out := emit_keys(row["block"], grams, None, shards)) is not None:
-            yield out
-
-    def runs(row: dict) -> Iterator[pa.RecordBatch]:
+    shards = shards_for(blocks, 2 * total_bytes(blocks) // max(1, min(lengths) - gram_of(min(lengths))), 1_000_000)
+
+    def judged_by(table: pa.Table) -> pa.Table:
+        return judge(table, hot)
+
+    def anchored(row: dict) -> Anchored:
+        return Anchored(texts_of(open_block(row["data"]), text_col), lengths)
+
+    def contexts(row: dict) -> Iterator[pa.RecordBatch]:
+        for k, a in enumerate(anchored(row).of):
+            yield from ask(row["block"], a.grams, a.contexts, a.many, shards, k * shards)
+
+    judged = durable(map_blocks(blocks, contexts, KEYS).groupBy("shard").applyInArrow(judged_by, "shard int, block long, states binary, n_sent long, n_hot long"))
+    n_sent, n_hot = judged.agg(F.coalesce(F.sum("n_sent"), F.lit(0)), F.coalesce(F.sum("n_hot"), F.lit(0))).first()
+    runs_in = shards_for(blocks, n_sent, SHARD_ITEMS)
+
+    def windows(a: Anchors, texts: Anchored, state: np.ndarray, size: int) -> tuple:
+        """Starts of the windows at hot anchors, and (key, further, many) of the distinct ones with each start's place among them."""
+        hot = np.flatnonzero(state >= HOT_ASKS)
+        lo, hi = texts.sides(a.first[hot], size)
+        starts = np.concatenate([np.arange(x, y - size + 1) for x, y in zip(lo.tolist(), hi.tolist())] or [np.empty(0, np.int64)])
+        twice = np.repeat(state[hot] == HOT_STANDS, hi - lo - size + 1)
+        starts, at = np.unique(starts, return_inverse=True)
+        twice = np.bincount(at, weights=twice, minlength=len(starts)) > 0
+        keys, further = np.empty(len(starts), U), np.empty(len(starts), U)
+        cuts = np.searchsorted(starts, texts.edges)
+        for d in np.flatnonzero(np.diff(cuts)).tolist():
+            part, buf = slice(cuts[d], cuts[d + 1]), np.frombuffer(texts.texts[d], np.uint8)
+            begin = starts[part] - texts.edges[d]
+            for out, which in ((keys, 1), (further, 2)):
+                out[part] = mix(sums_hash(*byte_sums(buf, which), begin, begin + size) + U(0x9E3779B97F4A7C15))
+        order = np.lexsort((further, keys))
+        k, f = keys[order], further[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])) if len(k) else np.empty(0, bool)
+        entry = np.empty(len(k), np.int64)
+        entry[order] = np.cumsum(fresh) - 1
+        many = np.bincount(entry, weights=1 + twice, minlength=int(fresh.sum())) > 1
+        return starts, k[fresh], f[fresh], many, entry
+
+    def send(row: dict) -> Iterator[pa.RecordBatch]:
         if not row["answers"]:
             return
-        joined, edges, at, grams = anchors(texts_of(open_block(row["data"]), text_col))
-        order, cuts = by_shard(grams, shards)
-        twice = split_answers(len(at), order, cuts, row["answers"])
-        at, grams = at[twice], grams[twice]
-        doc = np.searchsorted(edges, at, side="right") - 1
-        begins, ends = edges[doc], edges[doc + 1] - 1
-        shard = np.searchsorted(np.array([(s << 64) // shards for s in range(shards)], np.uint64), grams, side="right") - 1
-        mirror = joined[::-1]
-        size = len(joined)
-        by: dict[int, dict] = {}
-        for p, a, b, s in zip(at.tolist(), begins.tolist(), ends.tolist(), shard.tolist()):
-            right, left = joined[p : min(b, p + LENGTH)], mirror[size - p : size - max(a, p - BACK)]
-            by.setdefault(s, {}).setdefault((right, left), []).append(p)
-        for s, items in by.items():
-            run = [(right, left, len(places) > 1, np.array(places, "<u4").tobytes()) for (right, left), places in sorted(items.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([pack_run(run)], pa.binary())], schema=_RUN)
-
-    def first_level(table: pa.Table) -> pa.Table:
-        """Runs of some blocks as one; equal suffixes become one, whose note is its number in the group."""
-        opened = [open_run(b) for b in table.column("run").to_pylist()]
-        items, members, same = [], [], {}
-        for r, i, known in merge_runs(opened):
-            _, right, left, more, _ = opened[r][i]
-            if items and known < len(right) or items and len(items[-1][0]) != len(right):
-                same = {}
-            if left in same:
-                k = same[left]
-                items[k] = (items[k][0], left, True, items[k][3])
-            else:
-                k = same[left] = len(items)
-                items.append((right, left, more, np.uint32(k).tobytes()))
-            members.append((r, i, k))
-        where = [np.empty(len(o), np.uint32) for o in opened]
-        for r, i, k in members:
-            where[r][i] = k
-        n = table.num_rows
-        notes = [zstandard.compress(np.uint32(len(o)).tobytes() + w.tobytes() + np.array([len(x[4]) // 4 for x in o], "<u4").tobytes() + b"".join(x[4] for x in o), 1) for w, o in zip(where, opened)]
-        return pa.Table.from_arrays([pa.array([table.column("shard")[0].as_py()] * n, pa.int32()), pa.array([table.column("grp")[0].as_py()] * n, pa.int64()), table.column("part"), pa.array([pack_run(items)] + [None] * (n - 1), pa.binary()), pa.array(notes, pa.binary())], schema=_LEVEL1)
-
-    def second_level(table: pa.Table) -> pa.Table:
-        opened = [open_run(b) for b in table.column("run").to_pylist()]
+        texts = anchored(row)
+        mirror, size = texts.joined[::-1], len(texts.joined)
+        for k, (n, a) in enumerate(zip(lengths, texts.of)):
+            state = judged_states(a.grams, row["answers"], shards, k * shards)
+            wanted = np.flatnonzero((state == ASKS) | (state == STANDS))
+            at = a.first[wanted]
+            lo, hi = texts.sides(at, n)
+            shard = np.searchsorted(shard_edges(runs_in), a.grams[wanted], side="right") - 1
+            by: dict[int, list] = {}
+            for i, p, x, y, s, more in zip(wanted.tolist(), at.tolist(), lo.tolist(), hi.tolist(), shard.tolist(), (state[wanted] == STANDS).tolist()):
+                by.setdefault(s, []).append((texts.joined[p:y], mirror[size - p : size - x], more, i))
+            for s, items in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((k * runs_in + s, row["block"], RUN, pack_run(sorted(items)), None), _SENT.types)], schema=_SENT)
+            if (state >= HOT_ASKS).any():
+                _, keys, further, many, _ = windows(a, texts, state, n)
+                for b in ask(row["block"], keys, further, many, shards, k * shards):
+                    yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("block"), pa.array([WINDOWS] * b.num_rows, pa.int32()), b.column("keys"), b.column("more")], schema=_SENT)
+
+    def merge(table: pa.Table) -> pa.Table:
+        """For each block's items: the largest and the least offset of a repeated window, by number."""
+        n = lengths[table.column("shard")[0].as_py() // runs_in]
+        opened = [open_run(b) for b in table.column("data").to_pylist()]
         total = sum(map(len, opened))
         rights, lefts, common, more, origin = [], [], np.zeros(total, np.int64), np.zeros(total, bool), []
-        for n, (r, i, known) in enumerate(merge_runs(opened)):
-            _, right, left, many, _ = opened[r][i]
+        for i, (r, place, known) in enumerate(merge_runs(opened)):
+            _, right, left, many, _ = opened[r][place]
             rights.append(len(right))
             lefts.append(left)
-            common[n], more[n] = known, many
-            origin.append((r, i))
-        top, low = reach(rights, lefts, common, more) if total else (common, common)
-        outs = [np.full((2, len(o)), -1, "<i2") for o in opened]
-        for n, (r, i) in enumerate(origin):
-            outs[r][0, i], outs[r][1, i] = top[n], low[n]
-        return pa.Table.from_arrays([table.column("shard"), table.column("grp"), pa.array([zstandard.compress(o.tobytes(), 1) for o in outs], pa.binary())], schema=_LEVEL2)
-
-    def spread(row: dict) -> Iterator[pa.RecordBatch]:
-        """From the offsets of a group's suffixes to byte intervals of each of its blocks."""
-        ends = np.frombuffer(zstandard.decompress(row["ends"]), "<i2").reshape(2, -1)
-        raw = zstandard.decompress(row["notes"])
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        where, counts = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
-        places = np.frombuffer(raw, "<u4", -1, 4 + 8 * n).astype(np.int64)
-        item = np.repeat(where, counts)
-        top, low = ends[0, item].astype(np.int64), ends[1, item].astype(np.int64)
-        hit = top >= 0
-        cut = np.stack((places[hit] - top[hit], places[hit] - low[hit] + LENGTH)).astype("<u4")
-        if cut.size:
-            yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int64()), pa.array([cut.tobytes()], pa.binary())], schema=_CUTS)
+            common[i], more[i] = known, many
+            origin.append((r, place))
+        top, low = reach(rights, lefts, common, more, n)
+        outs = [np.full((3, len(o)), -1, "<i4") for o in opened]
+        for i, (r, place) in enumerate(origin):
+            outs[r][:, place] = opened[r][place][4], top[i], low[i]
+        return pa.Table.from_arrays([table.column("shard"), table.column("block"), pa.array([zstandard.compress(o.tobytes(), 3) for o in outs], pa.binary())], schema=_MERGED)
 
     def cut(row: dict) -> Iterator[pa.RecordBatch]:
         table = open_block(row["data"])
-        texts = [t or b"" for t in texts_of(table, text_col)]
-        at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
-        edge = np.zeros(int(at[-1]) + 1, np.int32)
-        for blob in row["cuts"] or ():
-            lo, hi = np.frombuffer(blob, "<u4").reshape(2, -1)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi, -1)
-        gone = np.cumsum(edge) > 0
-        made: list[list] = [[], [], [], [], []]
-        for d, text in enumerate(texts):
-            mask = gone[at[d] : at[d] + len(text)]
+        answers: dict[int, list] = {}
+        for x in row["answers"] or ():
+            answers.setdefault(x["kind"], []).append(x)
+        if answers:
+            texts = Anchored(texts_of(table, text_col), lengths)
+        else:
+            texts = Anchored(texts_of(table, text_col), ())
+        gone = []
+        for k, n in enumerate(lengths):
+            edge = np.zeros(int(texts.edges[-1]) + 1, np.int32)
+            if answers:
+                a = texts.of[k]
+                state = judged_states(a.grams, answers.get(0, []), shards, k * shards)
+                lo, hi = texts.sides(a.first, n)
+                top, low = np.full(len(state), -1, np.int64), np.full(len(state), -1, np.int64)
+                whole = (state == WHOLE) | (state == STANDS) | (state == HOT_STANDS)
+                top[whole], low[whole] = (a.first - lo)[whole], (a.first + n - hi)[whole]
+                for x in answers.get(RUN, []):
+                    if x["shard"] // runs_in == k:
+                        number, t, w = np.frombuffer(zstandard.decompress(x["data"]), "<i4").reshape(3, -1).astype(np.int64)
+                        top[number], low[number] = np.where(t >= 0, t, top[number]), np.where(t >= 0, w, low[number])
+                hit = top[a.entry] >= 0
+                places, entry = a.places[hit], a.entry[hit]
+                np.add.at(edge, places - top[entry], 1)
+                np.add.at(edge, places - low[entry] + n, -1)
+                if (state >= HOT_ASKS).any():
+                    starts, keys, _, _, at = windows(a, texts, state, n)
+                    seen = judged_states(keys, answers.get(WINDOWS, []), shards, k * shards)[at]
+                    begins = starts[(seen == WHOLE) | (seen == STANDS) | (seen == HOT_STANDS)]
+                    np.add.at(edge, begins, 1)
+                    np.add.at(edge, begins + n, -1)
+            gone.append(np.cumsum(edge) > 0)
+        made: list[list] = [[] for _ in range(5 + len(also))]
+        for d, text in enumerate(texts.texts):
+            place = slice(texts.edges[d], texts.edges[d] + len(text))
+            mask = gone[0][place]
             n = int(mask.sum())
-            kept = whole = text
+            kept = whole_text = text
             spans = 0
             if n:
                 spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
@@ -344,30 +475,37 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 kept = data[~mask].tobytes()
                 char = np.cumsum((data & 0xC0) != 0x80) - 1
                 stays = np.bincount(char, weights=~mask) > 0
-                whole = data[stays[char]].tobytes()
-            for column, value in zip(made, (len(text), n, spans, kept, whole)):
+                whole_text = data[stays[char]].tobytes()
+            for column, value in zip(made, (len(text), n, spans, kept, whole_text, *(int(g[place].sum()) for g in gone[1:]))):
                 column.append(value)
-        arrays = [pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
-        arrays[-1] = arrays[-1].cast(pa.string())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * len(also))
+        arrays = [pa.array(c, t) for c, t in zip(made, types)]
+        arrays[4] = arrays[4].cast(pa.string())
         yield from pa.Table.from_arrays([*table.columns, *arrays], names=arrow.names).cast(arrow).to_batches(max_chunksize=256)
 
-    repeated = answer(map_blocks(blocks, gram_keys, KEYS_SCHEMA))
-    sent = map_blocks(blocks.join(repeated, "block"), runs, "shard int, part long, run binary")
-    groups = max(1, -(-blocks.count() // GROUP))
-    grouped = sent.withColumn("grp", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("long"))
-    level1 = durable(grouped.groupBy("shard", "grp").applyInArrow(first_level, "shard int, grp long, part long, run binary, notes binary"))
-    level2 = level1.filter("run is not null").select("shard", "grp", "run").groupBy("shard").applyInArrow(second_level, "shard int, grp long, ends binary")
-    notes = level1.select("shard", "grp", "part", "notes").join(level2, ["shard", "grp"])
-    cuts = map_blocks(notes, spread, "part long, cut binary").groupBy(F.col("part").alias("block")).agg(F.collect_list("cut").alias("cuts"))
-    return map_blocks(blocks.join(cuts, "block", "left"), cut, schema)
+    def by_block(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, parts).groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("answers"))
+
+    known = judged.select("block", F.lit(0).alias("kind"), "shard", F.col("states").alias("data"))
+    parts = [known]
+    if n_sent or n_hot:
+        asked = judged.filter("n_sent + n_hot > 0").select("block").distinct()
+        sent = map_blocks(blocks.join(by_block([known.join(asked, "block", "left_semi")]), "block"), send, SENT)
+        if n_hot:
+            sent = durable(sent)  # read for the runs and for the windows
+        runs = sent.filter(f"kind = {RUN}") if n_hot else sent
+        parts.append(runs.groupBy("shard").applyInArrow(merge, "shard int, block long, data binary").select("block", F.lit(RUN).alias("kind"), "shard", "data"))
+        if n_hot:
+            asked_windows = sent.filter(f"kind = {WINDOWS}").select("shard", "block", F.col("data").alias("keys"), "more")
+            parts.append(asked_windows.groupBy("shard").applyInArrow(judged_by, "shard int, block long, states binary, n_sent long, n_hot long").select("block", F.lit(WINDOWS).alias("kind"), "shard", F.col("states").alias("data")))
+    return map_blocks(blocks.join(by_block(parts), "block", "left"), cut, schema)
 
 
-_LEVEL1 = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("part", pa.int64()), ("run", pa.binary()), ("notes", pa.binary())])
-_LEVEL2 = pa.schema([("shard", pa.int32()), ("grp", pa.int64()), ("ends", pa.binary())])
-_CUTS = pa.schema([("part", pa.int64()), ("cut", pa.binary())])
+#: A passage of over 50 words of four letters and a space holds more bytes than this.
+PASSAGE = 250
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = suffix_dedup(docs)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    done = suffix_dedup(docs, also=(PASSAGE,))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), F.col(f"n_repeated_{PASSAGE}").alias("n_passage_bytes"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.llm import op1_masked_lm, op2_quality_rules, op3_suffix_dedup, op4_media_shards, op5_length_buckets, op6_site_quality, op7_packed_ids, op8_ngram_jaccard, op9_piece_codec, op10_substring_dedup
+from tallybook.llm import blocks, op1_masked_lm, op2_quality_rules, op3_suffix_dedup, op4_media_shards, op5_length_buckets, op6_site_quality, op7_packed_ids, op8_ngram_jaccard, op9_piece_codec, op10_substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, kept string"
 
@@ -56,20 +56,30 @@ def test_substring_dedup(docs):
     assert collections.Counter(got) == collections.Counter(want)
 
 
-def test_suffix_dedup(docs):
-    rows = corpus()
-    seen = collections.Counter(_bytes(r[1])[i : i + 400] for r in rows for i in range(len(_bytes(r[1])) - 399))
-    want = []
+def _repeated_bytes(rows, length):
+    seen = collections.Counter(_bytes(r[1])[i : i + length] for r in rows for i in range(len(_bytes(r[1])) - length + 1))
     for r in rows:
         b = _bytes(r[1])
         gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = True
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        yield r[0], b, gone
+
+
+@pytest.mark.parametrize(("length", "block_bytes", "hot"), [(400, 2 << 20, 4096), (400, 3000, 4096), (150, 3000, 4096), (150, 3000, 2), (400, 3000, 1)])
+def test_suffix_dedup(docs, monkeypatch, length, block_bytes, hot):
+    monkeypatch.setattr(op3_suffix_dedup, "pack_blocks", lambda df, col: blocks.pack_blocks(df, col, block_bytes))
+    rows = corpus()
+    further = collections.Counter((i, int(gone.sum())) for i, _, gone in _repeated_bytes(rows, 90))
+    want = []
+    for i, b, gone in _repeated_bytes(rows, length):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        want.append((r[0], len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone])))
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in op3_suffix_dedup.suffix_dedup(docs).collect()]
+        want.append((i, len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone])))
+    found = op3_suffix_dedup.suffix_dedup(docs, length=length, also=(90,), hot=hot).collect()
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in found]
     assert collections.Counter(got) == collections.Counter(want)
+    assert collections.Counter((r.doc_id, r.n_repeated_90) for r in found) == further
 
 
 def test_loser_tree_merges_front_coded_runs():
@@ -77,7 +87,7 @@ def test_loser_tree_merges_front_coded_runs():
     runs = []
     for _ in range(7):
         items = sorted({bytes(r.choices(b"ab", k=r.randint(0, 9))) for _ in range(r.randint(0, 12))})
-        runs.append(op3_suffix_dedup.open_run(op3_suffix_dedup.pack_run([(i, b"", False, b"") for i in items])))
+        runs.append(op3_suffix_dedup.open_run(op3_suffix_dedup.pack_run([(i, b"", False, 0) for i in items])))
     out = list(op3_suffix_dedup.merge_runs(runs))
     merged = [runs[a][b][1] for a, b, _ in out]
     assert merged == sorted(x[1] for run in runs for x in run)
