@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.op2_quality_rules import quality_rules
-from tallybook.llm.op3_suffix_dedup import suffix_dedup
+from tallybook.llm.op3_suffix_dedup import PASSAGE, suffix_dedup
 from tallybook.llm.op5_length_buckets import length_buckets
 from tallybook.llm.op6_site_quality import site_quality
 from tallybook.llm.op8_ngram_jaccard import NearDuplicates
@@ -37,8 +37,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less what 400-byte strings repeat; n_chars follows the text."""
-    cut = suffix_dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Texts less what strings of PASSAGE bytes (about 50 words) repeat; n_chars follows the text."""
+    cut = suffix_dedup(docs, length=PASSAGE).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).withColumn("n_chars", F.char_length("text").cast("long"))
     return cut.select(*docs.columns)
 
 
