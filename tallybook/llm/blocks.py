@@ -25,8 +25,8 @@ BLOCK_BYTES = 2 << 20
 BLOCK_SCHEMA = "block long, n_bytes long, n_rows long, data binary"
 
 
-def pack_blocks(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (block, n_bytes, n_rows, data), kept in the shared folder; a longer text is a block alone."""
+def block_rows(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (block, n_bytes, n_rows, data); a longer text is a block alone."""
     small_batches(df.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,12 @@ def pack_blocks(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_
         if pending:
             yield flush()
 
-    return durable(df.mapInArrow(pack, BLOCK_SCHEMA))
+    return df.mapInArrow(pack, BLOCK_SCHEMA)
+
+
+def pack_blocks(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block_rows, computed once and kept in the shared folder."""
+    return durable(block_rows(df, text_col, block_bytes))
 
 
 def open_block(data: bytes) -> pa.Table:
@@ -106,17 +111,6 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.searchsorted(keys[order], shard_edges(shards)), len(keys))
 
 
-def split_answers(n: int, order: np.ndarray, cuts: np.ndarray, answers: list) -> np.ndarray:
-    """Undo by_shard for the bit masks that came back for each shard."""
-    sorted_mask = np.zeros(n, bool)
-    for a in answers or ():
-        lo, hi = cuts[a["shard"]], cuts[a["shard"] + 1]
-        sorted_mask[lo:hi] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=hi - lo)
-    mask = np.empty(n, bool)
-    mask[order] = sorted_mask
-    return mask
-
-
 KEYS_SCHEMA = "shard int, block long, keys binary, more binary"
 _ARROW_KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
 
@@ -131,39 +125,83 @@ def emit_keys(block: int, keys: np.ndarray, more: np.ndarray | None, shards: int
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW_KEYS.types)], schema=_ARROW_KEYS) if rows else None
 
 
-def repeated_mask(parts: list[np.ndarray], more: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each part, which of its keys occur at least twice in all parts together."""
+# ---- pairs of a key and a further hash: which occur again ---------------------------------
+
+#: What is known of a pair: its key is alone; the pair occurs again (another stands for it); the pair occurs once, its
+#: key with other pairs; it occurs again and stands for all its like; the last two again where a key has very many pairs.
+ALONE, WHOLE, ASKS, STANDS, HOT_ASKS, HOT_STANDS = range(6)
+REPEATED = [WHOLE, STANDS, HOT_STANDS]
+HOT = 4096
+U = np.uint64
+PAIRS = "shard int, block long, keys binary, more binary"
+_PAIRS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+JUDGED = "shard int, block long, states binary, n_sent long, n_hot long"
+_JUDGED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("states", pa.binary()), ("n_sent", pa.int64()), ("n_hot", pa.int64())])
+
+
+def distinct_pairs(keys: np.ndarray, further: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, further) pairs, ascending, and each row's place among them."""
+    order = np.lexsort((further, keys))
+    k, f = keys[order], further[order]
+    fresh = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])) if len(k) else np.empty(0, bool)
+    entry = np.empty(len(k), np.int64)
+    entry[order] = np.cumsum(fresh) - 1
+    return k[fresh], f[fresh], entry
+
+
+def ask(block: int, keys: np.ndarray, further: np.ndarray, many: np.ndarray, shards: int, base: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard that has some of these distinct (key, further) pairs, ascending; many: the pair is there more than once."""
+    cuts = np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
+    rows = []
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[s], cuts[s + 1])
+        rows.append((base + s, block, keys_to_bytes(keys[part]), further[part].tobytes() + np.packbits(many[part]).tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAIRS.types)], schema=_PAIRS)
+
+
+def judge(table: pa.Table, hot: int) -> pa.Table:
+    """The state of each pair that a shard was sent."""
+    parts = [keys_from_bytes(b) for b in table.column("keys").to_pylist()]
+    sizes = [len(p) for p in parts]
     keys = np.concatenate(parts)
-    if more is None:
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        same = k[1:] == k[:-1]
-    else:
-        rest = np.concatenate(more)
-        order = np.lexsort((rest, keys))
-        k, r = keys[order], rest[order]
-        same = (k[1:] == k[:-1]) & (r[1:] == r[:-1])
-    twice = np.zeros(len(keys), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    mask = np.empty(len(keys), bool)
-    mask[order] = twice
-    return np.split(mask, np.cumsum([len(p) for p in parts])[:-1])
-
-
-def answer(keys: DataFrame) -> DataFrame:
-    """(block, answers): for each shard a bit mask over the block's sorted keys, set where a key is repeated."""
-    out = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("mask", pa.binary())])
-
-    def group(table: pa.Table) -> pa.Table:
-        parts = [keys_from_bytes(b) for b in table.column("keys").to_pylist()]
-        extra = table.column("more").to_pylist()
-        more = [np.frombuffer(b, "<u4") for b in extra] if extra[0] is not None else None
-        masks = repeated_mask(parts, more)
-        return pa.Table.from_arrays([table.column("shard"), table.column("block"), pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())], schema=out)
-
-    masks = keys.groupBy("shard").applyInArrow(group, "shard int, block long, mask binary")
-    return masks.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("answers"))
+    more = table.column("more").to_pylist()
+    further = np.concatenate([np.frombuffer(m, "<u8", n) for m, n in zip(more, sizes)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, -1, 8 * n), count=n) for m, n in zip(more, sizes)])
+    order = np.lexsort((further, keys))
+    k, f = keys[order], further[order]
+    new_key = np.append(True, k[1:] != k[:-1])
+    new_pair = new_key | np.append(True, f[1:] != f[:-1])
+    pair = np.cumsum(new_pair) - 1
+    again = (np.bincount(pair, weights=1 + many[order]) > 1)[pair]
+    kinds = np.bincount(np.cumsum(new_key) - 1, weights=new_pair)[np.cumsum(new_key) - 1]
+    state = np.where(again, np.where((kinds > 1) & new_pair, STANDS, WHOLE), np.where(kinds > 1, ASKS, ALONE)).astype(np.uint8)
+    state[(kinds > hot) & (state >= ASKS)] += HOT_ASKS - ASKS
+    states = np.empty(len(keys), np.uint8)
+    states[order] = state
+    split = np.split(states, np.cumsum(sizes)[:-1])
+    counts = [np.bincount(s, minlength=6) for s in split]
+    return pa.Table.from_arrays([table.column("shard"), table.column("block"), pa.array([zstandard.compress(s.tobytes(), 3) for s in split], pa.binary()), pa.array([int(c[ASKS] + c[STANDS]) for c in counts], pa.int64()), pa.array([int(c[HOT_ASKS] + c[HOT_STANDS]) for c in counts], pa.int64())], schema=_JUDGED)
+
+
+def judged(asked: DataFrame, hot: int = HOT) -> DataFrame:
+    """(shard, block, states, n_sent, n_hot) of the pairs that blocks asked about."""
+
+    def shard(table: pa.Table) -> pa.Table:
+        return judge(table, hot)
+
+    return asked.groupBy("shard").applyInArrow(shard, JUDGED)
+
+
+def judged_states(keys: np.ndarray, answers: list, shards: int, base: int) -> np.ndarray:
+    """The states of a block's pairs, from what the shards answered."""
+    cuts = np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
+    states = np.zeros(len(keys), np.uint8)
+    for a in answers:
+        s = a["shard"] - base
+        if 0 <= s < shards:
+            states[cuts[s] : cuts[s + 1]] = np.frombuffer(zstandard.decompress(a["data"]), np.uint8)
+    return states
 
 
 def map_blocks(df: DataFrame, func: Callable[[dict], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

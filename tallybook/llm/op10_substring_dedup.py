@@ -1,10 +1,12 @@
 """Substring dedup: windows of words that occur again anywhere are cut.
 
-1. Each block of documents sends the cell of each of its windows, twice, by two
-   hashes (cells in proportion to the corpus); shards mark the cells that occur
-   again. No counters are added; a repeated window is never missed.
-2. Only windows whose cells both occur again are grouped exactly, by
-   96 hash bits that are independent of the cells.
+1. Each block of documents counts its windows in a count-min sketch of two rows
+   of cells (as many as fit the corpus) and sends its counters: the cells that
+   are not zero, with their counts, dealt by ranges of cells. A shard adds the
+   sketches of all blocks, counter by counter, and tells each block which of its
+   cells reached two. Estimates are never too small, so no repeat is missed.
+2. Only windows that both rows estimate as repeated are grouped exactly, by 128
+   hash bits that are independent of the cells; a block sends each window once.
 3. Words under a repeated window go; windows are judged on the input.
 
 Defined results: null or empty text has no words and keeps none; fewer words
@@ -18,23 +20,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallybook.llm.blocks import (KEYS_SCHEMA, answer, by_shard, emit_keys, map_blocks, open_block, pack_blocks, shards_for, split_answers, texts_of, total_bytes)
+from tallybook.llm.blocks import PAIRS, REPEATED, ask, distinct_pairs, judged, judged_states, keys_from_bytes, keys_to_bytes, map_blocks, open_block, pack_blocks, shard_edges, shards_for, texts_of, total_bytes
 from tallybook.llm.kernels import Words, covered, windows_hash
-from tallybook.llm.runtime import without
+from tallybook.llm.runtime import durable, without
 
 U = np.uint64
+ROWS = 2
 MADE = ["n_words", "n_removed", "kept_text"]
+COUNTERS = "shard int, block long, cells binary, counts binary"
+_COUNTERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+_SEEN = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 
 
-def _cells(hashes: np.ndarray, row: int, width_bits: int) -> np.ndarray:
-    """The cell of each window in one row of the sketch, as the top bits of a uint64."""
+def cells_of(hashes: np.ndarray, row: int, width_bits: int) -> np.ndarray:
+    """The cell of each window in one row of the sketch."""
     spread = hashes * U(0x9E3779B97F4A7C15) if row else hashes
-    return (spread >> U(64 - width_bits)) << U(64 - width_bits)
+    return spread >> U(64 - width_bits)
+
+
+def block_sketch(hashes: np.ndarray, row: int, width_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of one row that are not zero, ascending, their counters, and each window's place among them."""
+    cells, at, counts = np.unique(cells_of(hashes, row, width_bits), return_inverse=True, return_counts=True)
+    return cells, np.minimum(counts, 255).astype(np.uint8), at
+
+
+def cell_cuts(cells: np.ndarray, width_bits: int, shards: int) -> np.ndarray:
+    """Where the cells of each shard begin; shards are ranges of cells."""
+    return np.append(np.searchsorted(cells, shard_edges(shards) >> U(64 - width_bits)), len(cells))
+
+
+def add_sketches(table: pa.Table, width_bits: int, shards: int) -> pa.Table:
+    """One range of one row: the blocks' counters added, and for each block a bit per cell, set where two or more were counted."""
+    s = table.column("shard")[0].as_py() % shards
+    edges = np.append(shard_edges(shards) >> U(64 - width_bits), U(1 << width_bits))
+    counters = np.zeros(int(edges[s + 1] - edges[s]), np.uint8)
+    parts = [(keys_from_bytes(c) - edges[s]).astype(np.int64) for c in table.column("cells").to_pylist()]
+    for at, counts in zip(parts, table.column("counts").to_pylist()):
+        added = counters[at].astype(np.uint16) + np.frombuffer(zstandard.decompress(counts), np.uint8)  # a block names a cell once
+        counters[at] = np.minimum(added, 255)
+    masks = [np.packbits(counters[at] > 1).tobytes() for at in parts]
+    return pa.Table.from_arrays([table.column("shard"), table.column("block"), pa.array(masks, pa.binary())], schema=_SEEN)
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -> DataFrame:
@@ -44,7 +75,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     blocks = pack_blocks(docs, text_col)
     estimate = total_bytes(blocks) // 6 + 1
     width_bits = min(60, max(12, (8 * estimate).bit_length()))
-    shards = shards_for(blocks, estimate)
+    shards = shards_for(blocks, estimate, 1_000_000)
 
     def windows(row: dict) -> tuple[pa.Table, Words, np.ndarray, np.ndarray]:
         table = open_block(row["data"])
@@ -52,43 +83,55 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
         at = np.flatnonzero(words.window_starts(window))
         return table, words, at, windows_hash(words.hashes, window, 1)[at] if len(at) else np.empty(0, U)
 
-    def sketch(which: int):
-        def run(row: dict) -> Iterator[pa.RecordBatch]:
-            _, _, _, hashes = windows(row)
-            if (out := emit_keys(row["block"], _cells(hashes, which, width_bits), None, shards)) is not None:
-                yield out
+    def sketch(row: dict) -> Iterator[pa.RecordBatch]:
+        _, _, _, hashes = windows(row)
+        rows = []
+        for r in range(ROWS):
+            cells, counts, _ = block_sketch(hashes, r, width_bits)
+            cuts = cell_cuts(cells, width_bits, shards)
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[s], cuts[s + 1])
+                rows.append((r * shards + s, row["block"], keys_to_bytes(cells[part]), zstandard.compress(counts[part].tobytes(), 1)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _COUNTERS.types)], schema=_COUNTERS)
 
-        return run
+    def added(table: pa.Table) -> pa.Table:
+        return add_sketches(table, width_bits, shards)
 
-    merged = [answer(map_blocks(blocks, sketch(k), KEYS_SCHEMA)).withColumnRenamed("answers", f"row{k}") for k in (0, 1)]
+    merged = durable(map_blocks(blocks, sketch, COUNTERS).groupBy("shard").applyInArrow(added, "shard int, block long, data binary"))
 
     def estimated(row: dict) -> tuple:
+        """Windows that both rows of the merged sketch estimate as repeated."""
         table, words, at, hashes = windows(row)
         hot = np.ones(len(at), bool)
-        for k in (0, 1):
-            order, cuts = by_shard(_cells(hashes, k, width_bits), shards)
-            hot &= split_answers(len(at), order, cuts, row[f"row{k}"])
-        return table, words, at[hot], hashes[hot]
-
-    def exact_keys(words: Words, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        answers = {a["shard"]: a["data"] for a in row["answers"] or () if a["kind"] == 0}
+        for r in range(ROWS):
+            cells, _, place = block_sketch(hashes, r, width_bits)
+            cuts = cell_cuts(cells, width_bits, shards)
+            full = np.zeros(len(cells), bool)
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                full[cuts[s] : cuts[s + 1]] = np.unpackbits(np.frombuffer(answers[r * shards + s], np.uint8), count=cuts[s + 1] - cuts[s])
+            hot &= full[place]
+        at, hashes = at[hot], hashes[hot]
         again = windows_hash(words.hashes, window, 2)[at] if len(at) else np.empty(0, U)
-        return again, (hashes & U(0xFFFFFFFF)).astype("<u4")
+        return table, words, at, distinct_pairs(again, hashes)
 
     def candidates(row: dict) -> Iterator[pa.RecordBatch]:
-        _, words, at, hashes = estimated(row)
-        if len(at) and (out := emit_keys(row["block"], *exact_keys(words, at, hashes), shards)) is not None:
-            yield out
+        _, _, _, (keys, further, entry) = estimated(row)
+        yield from ask(row["block"], keys, further, np.bincount(entry, minlength=len(keys)) > 1, shards, 0)
+
+    def by_block(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("answers"))
 
-    joined = blocks.join(merged[0], "block", "left").join(merged[1], "block", "left")
-    exact = answer(map_blocks(joined, candidates, KEYS_SCHEMA))
+    seen = merged.select("block", F.lit(0).alias("kind"), "shard", "data")
+    exact = judged(map_blocks(blocks.join(by_block(seen), "block"), candidates, PAIRS))
+    answers = by_block(seen.union(exact.select("block", F.lit(1).alias("kind"), "shard", F.col("states").alias("data"))))
     arrow_out = to_arrow_schema(out_schema)
 
     def cut(row: dict) -> Iterator[pa.RecordBatch]:
-        table, words, at, hashes = estimated(row)
-        keys, _ = exact_keys(words, at, hashes)
-        order, cuts = by_shard(keys, shards)
-        twice = split_answers(len(at), order, cuts, row["answers"])
-        gone = covered(at[twice], window, len(words.starts))
+        table, words, at, (keys, _, entry) = estimated(row)
+        states = judged_states(keys, [a for a in row["answers"] or () if a["kind"] == 1], shards, 0)
+        gone = covered(at[np.isin(states, REPEATED)[entry]], window, len(words.starts))
         removed, kept = [], []
         for d, text in enumerate(words.texts):
             mask = gone[words.first[d] : words.first[d + 1]]
@@ -100,7 +143,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
         full = pa.Table.from_arrays([*table.columns, *made], names=arrow_out.names).cast(arrow_out)
         yield from full.to_batches(max_chunksize=256)
 
-    return map_blocks(joined.join(exact, "block", "left"), cut, out_schema)
+    return map_blocks(blocks.join(answers, "block", "left"), cut, out_schema)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

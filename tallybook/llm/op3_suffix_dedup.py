@@ -46,17 +46,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tallybook.llm.blocks import keys_from_bytes, keys_to_bytes, map_blocks, open_block, pack_blocks, shard_edges, shards_for, texts_of, total_bytes
+from tallybook.llm.blocks import (ASKS, HOT, HOT_ASKS, HOT_STANDS, PAIRS, REPEATED, STANDS, ask, distinct_pairs, judged, judged_states, map_blocks, open_block, pack_blocks, shard_edges, shards_for, texts_of,
+                                  total_bytes)
 from tallybook.llm.kernels import byte_sums, mix, sums_hash
 from tallybook.llm.runtime import durable, without
 
 LENGTH = 400
-HOT = 4096
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text"]
 U = np.uint64
-#: What is known of an anchor's context: its gram is alone; all its windows repeat (stated by another anchor);
-#: to be compared; all its windows repeat, and it stands for all that have it; the last two again for hot grams.
-ALONE, WHOLE, ASKS, STANDS, HOT_ASKS, HOT_STANDS = range(6)
 
 
 def gram_of(length: int) -> int:
@@ -103,15 +100,11 @@ class Anchors:
     """Anchors of one length in a block's texts; equal (gram, context) pairs are one entry, ascending."""
 
     def __init__(self, places: np.ndarray, grams: np.ndarray, contexts: np.ndarray):
-        order = np.lexsort((contexts, grams))
-        g, c = grams[order], contexts[order]
-        fresh = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])) if len(g) else np.empty(0, bool)
-        self.grams, self.contexts = g[fresh], c[fresh]
-        self.entry = np.empty(len(g), np.int64)  # of each place
-        self.entry[order] = np.cumsum(fresh) - 1
+        self.grams, self.contexts, self.entry = distinct_pairs(grams, contexts)
         self.many = np.bincount(self.entry, minlength=len(self.grams)) > 1
         self.places = places
-        self.first = places[order[fresh]]
+        self.first = np.empty(len(self.grams), np.int64)
+        self.first[self.entry[::-1]] = places[::-1]
 
 
 class Anchored:
@@ -147,59 +140,6 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
     return known + ((n - known) * 8 - x.bit_length()) // 8 if x else n
 
 
-# ---- which contexts occur again -------------------------------------------------------------
-
-KEYS = "shard int, block long, keys binary, more binary"
-_KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
-_JUDGED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("states", pa.binary()), ("n_sent", pa.int64()), ("n_hot", pa.int64())])
-
-
-def ask(block: int, keys: np.ndarray, further: np.ndarray, many: np.ndarray, shards: int, base: int) -> Iterator[pa.RecordBatch]:
-    """A row for each shard that has some of these distinct (key, further) pairs, ascending; many: the pair is there more than once."""
-    cuts = np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
-    rows = []
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        part = slice(cuts[s], cuts[s + 1])
-        rows.append((base + s, block, keys_to_bytes(keys[part]), further[part].tobytes() + np.packbits(many[part]).tobytes()))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KEYS.types)], schema=_KEYS)
-
-
-def judge(table: pa.Table, hot: int = HOT) -> pa.Table:
-    """The state of each pair that a shard was sent."""
-    parts = [keys_from_bytes(b) for b in table.column("keys").to_pylist()]
-    sizes = [len(p) for p in parts]
-    keys = np.concatenate(parts)
-    more = table.column("more").to_pylist()
-    further = np.concatenate([np.frombuffer(m, "<u8", n) for m, n in zip(more, sizes)])
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, -1, 8 * n), count=n) for m, n in zip(more, sizes)])
-    order = np.lexsort((further, keys))
-    k, f = keys[order], further[order]
-    new_key = np.append(True, k[1:] != k[:-1])
-    new_pair = new_key | np.append(True, f[1:] != f[:-1])
-    pair = np.cumsum(new_pair) - 1
-    again = (np.bincount(pair, weights=1 + many[order]) > 1)[pair]
-    kinds = np.bincount(np.cumsum(new_key) - 1, weights=new_pair)[np.cumsum(new_key) - 1]
-    state = np.where(again, np.where((kinds > 1) & new_pair, STANDS, WHOLE), np.where(kinds > 1, ASKS, ALONE)).astype(np.uint8)
-    state[(kinds > hot) & (state >= ASKS)] += HOT_ASKS - ASKS
-    states = np.empty(len(keys), np.uint8)
-    states[order] = state
-    split = np.split(states, np.cumsum(sizes)[:-1])
-    counts = [np.bincount(s, minlength=6) for s in split]
-    return pa.Table.from_arrays([table.column("shard"), table.column("block"), pa.array([zstandard.compress(s.tobytes(), 3) for s in split], pa.binary()), pa.array([int(c[ASKS] + c[STANDS]) for c in counts], pa.int64()), pa.array([int(c[HOT_ASKS] + c[HOT_STANDS]) for c in counts], pa.int64())], schema=_JUDGED)
-
-
-def judged_states(keys: np.ndarray, answers: list, shards: int, base: int) -> np.ndarray:
-    """The states of a block's pairs, from what the shards answered."""
-    cuts = np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
-    states = np.zeros(len(keys), np.uint8)
-    for a in answers:
-        s = a["shard"] - base
-        if 0 <= s < shards:
-            states[cuts[s] : cuts[s + 1]] = np.frombuffer(zstandard.decompress(a["data"]), np.uint8)
-    return states
-
-
 # ---- runs: sorted suffixes, front-coded -----------------------------------------------------
 
 
@@ -352,9 +292,6 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     blocks = pack_blocks(docs, text_col)
     shards = shards_for(blocks, 2 * total_bytes(blocks) // max(1, min(lengths) - gram_of(min(lengths))), 1_000_000)
 
-    def judged_by(table: pa.Table) -> pa.Table:
-        return judge(table, hot)
-
     def anchored(row: dict) -> Anchored:
         return Anchored(texts_of(open_block(row["data"]), text_col), lengths)
 
@@ -362,8 +299,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
         for k, a in enumerate(anchored(row).of):
             yield from ask(row["block"], a.grams, a.contexts, a.many, shards, k * shards)
 
-    judged = durable(map_blocks(blocks, contexts, KEYS).groupBy("shard").applyInArrow(judged_by, "shard int, block long, states binary, n_sent long, n_hot long"))
-    n_sent, n_hot = judged.agg(F.coalesce(F.sum("n_sent"), F.lit(0)), F.coalesce(F.sum("n_hot"), F.lit(0))).first()
+    known_pairs = durable(judged(map_blocks(blocks, contexts, PAIRS), hot))
+    n_sent, n_hot = known_pairs.agg(F.coalesce(F.sum("n_sent"), F.lit(0)), F.coalesce(F.sum("n_hot"), F.lit(0))).first()
     runs_in = shards_for(blocks, n_sent, SHARD_ITEMS)
 
     def windows(a: Anchors, texts: Anchored, state: np.ndarray, size: int) -> tuple:
@@ -381,13 +318,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
             begin = starts[part] - texts.edges[d]
             for out, which in ((keys, 1), (further, 2)):
                 out[part] = mix(sums_hash(*byte_sums(buf, which), begin, begin + size) + U(0x9E3779B97F4A7C15))
-        order = np.lexsort((further, keys))
-        k, f = keys[order], further[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])) if len(k) else np.empty(0, bool)
-        entry = np.empty(len(k), np.int64)
-        entry[order] = np.cumsum(fresh) - 1
-        many = np.bincount(entry, weights=1 + twice, minlength=int(fresh.sum())) > 1
-        return starts, k[fresh], f[fresh], many, entry
+        keys, further, entry = distinct_pairs(keys, further)
+        return starts, keys, further, np.bincount(entry, weights=1 + twice, minlength=len(keys)) > 1, entry
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         if not row["answers"]:
@@ -445,7 +377,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
                 state = judged_states(a.grams, answers.get(0, []), shards, k * shards)
                 lo, hi = texts.sides(a.first, n)
                 top, low = np.full(len(state), -1, np.int64), np.full(len(state), -1, np.int64)
-                whole = (state == WHOLE) | (state == STANDS) | (state == HOT_STANDS)
+                whole = np.isin(state, REPEATED)
                 top[whole], low[whole] = (a.first - lo)[whole], (a.first + n - hi)[whole]
                 for x in answers.get(RUN, []):
                     if x["shard"] // runs_in == k:
@@ -458,7 +390,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
                 if (state >= HOT_ASKS).any():
                     starts, keys, _, _, at = windows(a, texts, state, n)
                     seen = judged_states(keys, answers.get(WINDOWS, []), shards, k * shards)[at]
-                    begins = starts[(seen == WHOLE) | (seen == STANDS) | (seen == HOT_STANDS)]
+                    begins = starts[np.isin(seen, REPEATED)]
                     np.add.at(edge, begins, 1)
                     np.add.at(edge, begins + n, -1)
             gone.append(np.cumsum(edge) > 0)
@@ -486,10 +418,10 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     def by_block(parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.union, parts).groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("answers"))
 
-    known = judged.select("block", F.lit(0).alias("kind"), "shard", F.col("states").alias("data"))
+    known = known_pairs.select("block", F.lit(0).alias("kind"), "shard", F.col("states").alias("data"))
     parts = [known]
     if n_sent or n_hot:
-        asked = judged.filter("n_sent + n_hot > 0").select("block").distinct()
+        asked = known_pairs.filter("n_sent + n_hot > 0").select("block").distinct()
         sent = map_blocks(blocks.join(by_block([known.join(asked, "block", "left_semi")]), "block"), send, SENT)
         if n_hot:
             sent = durable(sent)  # read for the runs and for the windows
@@ -497,7 +429,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
         parts.append(runs.groupBy("shard").applyInArrow(merge, "shard int, block long, data binary").select("block", F.lit(RUN).alias("kind"), "shard", "data"))
         if n_hot:
             asked_windows = sent.filter(f"kind = {WINDOWS}").select("shard", "block", F.col("data").alias("keys"), "more")
-            parts.append(asked_windows.groupBy("shard").applyInArrow(judged_by, "shard int, block long, states binary, n_sent long, n_hot long").select("block", F.lit(WINDOWS).alias("kind"), "shard", F.col("states").alias("data")))
+            parts.append(judged(asked_windows).select("block", F.lit(WINDOWS).alias("kind"), "shard", F.col("states").alias("data")))
     return map_blocks(blocks.join(by_block(parts), "block", "left"), cut, schema)
 
 
