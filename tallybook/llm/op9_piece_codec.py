@@ -2,14 +2,21 @@
 
 Where no piece of the vocabulary holds a whitespace marker behind another
 character, merges never cross the start of a marker run. A text then splits
-into marked chunks, each distinct chunk is segmented once for a task's rows,
-and the ids are joined back by position. Texts that hold the marker character
-itself, and vocabularies without this property, are encoded whole.
-
-The table lives in the Python worker, as a dictionary of at most table_limit
-chunks (emptied when full), so memory does not grow with the corpus; one
-global table would have to send every (block, chunk) pair over the network,
-which is more than encoding the tail of rare chunks once in each task.
+into marked chunks, which are segmented apart:
+
+1. Each block of texts sends its distinct chunks, sorted, to shards of chunk
+   hashes. A shard joins the lists of its blocks to one table of distinct
+   chunks and segments each of them once.
+2. It sends each block the ids of its chunks, and the block joins them back by
+   position. Blocks are joined by a digest of what they hold, so the input may be
+   read twice instead of being kept; a chunk without an answer (the input came in
+   another order) is segmented in place.
+
+A shard serves at most about GROUP_BLOCKS blocks: beyond, groups of blocks have
+tables of their own, so a chunk that every block holds does not gather all
+blocks in one task, and is segmented once for each 4 GB of text. Chunks over
+LONG bytes are segmented in place, as are texts that hold the marker character
+itself; vocabularies without the property above encode whole texts.
 
 Defined results: null text is encoded as empty text (begin and end ids only);
 other columns pass through; an input column named like a result is replaced.
@@ -18,21 +25,30 @@ other columns pass through; an input column named like a result is replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tallybook.llm.runtime import small_batches, without
+from tallybook.llm.blocks import BLOCK_BYTES, block_rows, map_blocks, open_block, texts_of
+from tallybook.llm.runtime import shuffle_width, without
 
-MARK = "▁"
+MARK = "▁".encode()
 CHUNK = re.compile(rb" *[^ ]+(?: +\Z)?")
+BETWEEN = b"\xff"  # never in UTF-8
+LONG = 200
+GROUP_BLOCKS = 2048
+SHARD_BYTES = 12_000_000
 MADE = ["n_tokens", "ids", "decoded"]
 _CODECS: dict[str, "ChunkCodec"] = {}
+_ASKED = pa.schema([("shard", pa.int64()), ("digest", pa.string()), ("chunks", pa.binary())])
+_TOLD = pa.schema([("shard", pa.int64()), ("digest", pa.string()), ("ids", pa.binary())])
 
 
 def default_model() -> str:
@@ -42,64 +58,111 @@ def default_model() -> str:
 
 
 class ChunkCodec:
-    """Encodes texts to little-endian uint32 ids through the chunk table."""
+    """The model, and texts as chunks."""
 
-    def __init__(self, model_file: str, table_limit: int):
+    def __init__(self, model_file: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        mark = MARK.decode()
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
-        self.splits = all(MARK not in p.lstrip(MARK) for p in pieces) and self.sp.encode("a  b", out_type=str)[0].startswith(MARK)
-        self.table: dict[bytes, bytes] = {}
-        self.limit = table_limit
+        self.splits = all(mark not in p.lstrip(mark) for p in pieces) and self.sp.encode("a  b", out_type=str)[0].startswith(mark)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
 
-    def encode(self, text: bytes) -> bytes:
-        if not self.splits or MARK.encode() in text or not text.strip(b" "):
-            return self.begin + np.array(self.sp.encode(text.decode()), "<u4").tobytes() + self.end
+    def chunks(self, text: bytes) -> list[bytes] | None:
+        """The text's chunks; None where it must be encoded whole."""
+        if not self.splits or MARK in text or not text.strip(b" "):
+            return None
         if b"  " in text or text[0] == 32 or text[-1] == 32:
-            chunks = [c[1:] for c in CHUNK.findall(b" " + text)]
-        else:
-            chunks = text.split(b" ")
-        table = self.table
-        new = [c for c in set(chunks) if c not in table]
-        if new:
-            if len(table) + len(new) > self.limit:
-                table.clear()
-                new = list(set(chunks))
-            for c, ids in zip(new, self.sp.encode([c.decode() for c in new], num_threads=1)):
-                table[c] = np.array(ids, "<u4").tobytes()
-        return self.begin + b"".join([table[c] for c in chunks]) + self.end
+            return [c[1:] for c in CHUNK.findall(b" " + text)]
+        return text.split(b" ")
+
+    def segment(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk, little-endian uint32."""
+        ids = self.sp.encode([c.decode() for c in chunks], num_threads=1) if chunks else []
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()
+        flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts: list[bytes], split: list[list[bytes] | None], table: dict[bytes, bytes]) -> list[bytes]:
+        """Begin, the chunks' ids by position and end, for each text; table gets what it lacks."""
+        lacks = list({c for s in split if s for c in s if c not in table})
+        table.update(zip(lacks, self.segment(lacks)))
+        whole = [i for i, s in enumerate(split) if s is None]
+        alone = dict(zip(whole, self.segment([texts[i] for i in whole])))
+        return [self.begin + (alone[i] if s is None else b"".join([table[c] for c in s])) + self.end for i, s in enumerate(split)]
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-def codec(model_file: str | None, table_limit: int) -> ChunkCodec:
+def codec(model_file: str | None) -> ChunkCodec:
     """One codec for each model in a Python worker."""
     key = model_file or default_model()
     if key not in _CODECS:
-        _CODECS[key] = ChunkCodec(key, table_limit)
+        _CODECS[key] = ChunkCodec(key)
     return _CODECS[key]
 
 
-def encode_pieces(docs: DataFrame, text_col: str = "text", model_file: str | None = None, decode: bool = True, table_limit: int = 300_000) -> DataFrame:
+def dealt(split: list[list[bytes] | None], shards: int) -> dict[int, list[bytes]]:
+    """The distinct chunks of a block, ascending, for each shard of their hashes."""
+    out: dict[int, list[bytes]] = {}
+    for c in sorted({c for s in split if s for c in s}):
+        if len(c) <= LONG:
+            out.setdefault(zlib.crc32(c) % shards, []).append(c)
+    return out
+
+
+def encode_pieces(docs: DataFrame, text_col: str = "text", model_file: str | None = None, decode: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_tokens, ids (little-endian uint32, begin and end included) and decoded text."""
     docs = without(docs, MADE)
     schema = StructType(docs.schema.fields + [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())])
     arrow = to_arrow_schema(schema)
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(model_file, table_limit)
-        for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            ids = [tool.encode(t or b"") for t in texts]
-            back = [tool.decode(i) if decode else None for i in ids]
-            made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *made], arrow)], schema=arrow)
-
-    return docs.mapInArrow(run, schema)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    groups = -(-size // (GROUP_BLOCKS * block_bytes)) or 1
+    shards = max(-(-size // (groups * SHARD_BYTES)), min(shuffle_width(docs.sparkSession), 1024))
+    blocks = block_rows(docs, text_col, block_bytes).select("data", F.sha2("data", 256).alias("digest"))
+
+    def texts_in(row: dict) -> tuple[pa.Table, list[bytes], list[list[bytes] | None]]:
+        table, tool = open_block(row["data"]), codec(model_file)
+        texts = [t or b"" for t in texts_of(table, text_col)]
+        return table, texts, [tool.chunks(t) for t in texts]
+
+    def ask(row: dict) -> Iterator[pa.RecordBatch]:
+        _, _, split = texts_in(row)
+        group = int(row["digest"][:8], 16) % groups
+        asked = [(group * shards + s, row["digest"], zstandard.compress(BETWEEN.join(c), 3)) for s, c in dealt(split, shards).items()]
+        if asked:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*asked), _ASKED.types)], schema=_ASKED)
+
+    def segment(table: pa.Table) -> pa.Table:
+        """One shard: its distinct chunks segmented once, and each block's share of the ids."""
+        lists = [zstandard.decompress(b).split(BETWEEN) for b in table.column("chunks").to_pylist()]
+        distinct = sorted(set().union(*lists))
+        known = dict(zip(distinct, codec(model_file).segment(distinct)))
+        told = []
+        for chunks in lists:
+            ids = [known[c] for c in chunks]
+            told.append(zstandard.compress(np.fromiter(map(len, ids), "<u2", len(ids)).tobytes() + b"".join(ids), 3))
+        return pa.Table.from_arrays([table.column("shard"), table.column("digest"), pa.array(told, pa.binary())], schema=_TOLD)
+
+    def join(row: dict) -> Iterator[pa.RecordBatch]:
+        table, texts, split = texts_in(row)
+        tool, told = codec(model_file), {t["shard"] % shards: t["ids"] for t in row["told"] or ()}
+        known: dict[bytes, bytes] = {}
+        for s, chunks in dealt(split, shards).items() if told else ():
+            if s in told:
+                raw = zstandard.decompress(told[s])
+                ends = 2 * len(chunks) + np.cumsum(np.frombuffer(raw, "<u2", len(chunks)), dtype=np.int64)
+                known.update(zip(chunks, [raw[a:b] for a, b in zip([2 * len(chunks), *ends.tolist()], ends.tolist())]))
+        ids = tool.encode(texts, split, known)
+        back = [tool.decode(i) if decode else None for i in ids]
+        made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
+        yield from pa.Table.from_arrays([*table.columns, *made], names=arrow.names).cast(arrow).to_batches(max_chunksize=256)
+
+    told = map_blocks(blocks, ask, "shard long, digest string, chunks binary").groupBy("shard").applyInArrow(segment, "shard long, digest string, ids binary")
+    answers = told.groupBy("digest").agg(F.collect_list(F.struct("shard", "ids")).alias("told"))
+    return map_blocks(blocks.join(answers, "digest", "left"), join, schema)
 
 
 def op9_piece_codec(spark, sf_dir: str) -> DataFrame:
