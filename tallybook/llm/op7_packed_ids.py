@@ -24,13 +24,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
-from tallybook.llm.op9_piece_codec import codec
-from tallybook.llm.runtime import small_batches
+from tallybook.llm.op9_piece_codec import encode_pieces
 
 ROW_LENGTH = 2048
-SCHEMA = "row_id long, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, n_tokens int, ids binary, positions binary"
-_ARROW = pa.schema([("row_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary())])
+
+
+def packed_schema(id_type: DataType) -> StructType:
+    """Columns of the packed rows; doc_ids are of the documents' own type."""
+    kinds = {"row_id": LongType(), "doc_ids": ArrayType(id_type), "doc_offsets": ArrayType(LongType()), "cu_seqlens": ArrayType(IntegerType()), "n_tokens": IntegerType(), "ids": BinaryType(), "positions": BinaryType()}
+    return StructType([StructField(n, t) for n, t in kinds.items()])
 
 
 class CapacityTree:
@@ -87,34 +92,35 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_length: int = ROW_LENGTH, model_file: str | None = None, pad_id: int = 0, group_tokens: int = 4_000_000, table_limit: int = 400_000) -> DataFrame:
-    """Packed rows, see SCHEMA."""
-    small_batches(docs.sparkSession)
+def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_length: int = ROW_LENGTH, model_file: str | None = None, pad_id: int = 0, group_tokens: int = 4_000_000) -> DataFrame:
+    """Packed rows, see packed_schema."""
+    schema = packed_schema(docs.schema[id_col].dataType)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part, seq = codec(model_file, table_limit), TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, int, bytes]] = []
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []  # (document, offset, ids)
         tokens = 0
+        count = np.arange(row_length + 1, dtype="<u4").tobytes()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq
             rows = best_fit(np.array([len(s[2]) // 4 for s in held], np.int64), row_length)
             for at in range(0, len(rows), 64):
-                out: list[list] = [[] for _ in _ARROW]
+                out: list[list] = [[] for _ in arrow]
                 for members in rows[at : at + 64]:
                     parts = [held[i] for i in members]
-                    lengths = [len(p[2]) // 4 for p in parts]
-                    used = sum(lengths)
-                    ids = b"".join(p[2] for p in parts) + np.full(row_length - used, pad_id, "<u4").tobytes()
-                    positions = np.concatenate([np.arange(n, dtype="<u4") for n in [*lengths, row_length - used]]).tobytes()
-                    for c, v in zip(out, ((part << 32) | seq, [p[0] for p in parts], [p[1] for p in parts], np.concatenate(([0], np.cumsum(lengths))).tolist(), used, ids, positions)):
+                    ends = np.cumsum([0] + [len(p[2]) // 4 for p in parts]).tolist()
+                    used = ends[-1]
+                    ids = b"".join(p[2] for p in parts) + padding[: 4 * (row_length - used)]
+                    positions = b"".join([count[: len(p[2])] for p in parts]) + count[: 4 * (row_length - used)]
+                    for c, v in zip(out, ((part << 32) | seq, [p[0] for p in parts], [p[1] for p in parts], ends, used, ids, positions)):
                         c.append(v)
                     seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
         for batch in batches:
-            for doc, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).cast(pa.binary()).to_pylist()):
-                ids = tool.encode(text or b"")
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for at in range(0, len(ids), 4 * row_length):
                     held.append((doc, at // 4, ids[at : at + 4 * row_length]))
                 tokens += len(ids) // 4
@@ -124,7 +130,9 @@ def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    padding = np.full(row_length, pad_id, "<u4").tobytes()
+    coded = encode_pieces(docs.select(docs[f"`{id_col}`"].alias("doc"), docs[f"`{text_col}`"].alias("text")), model_file=model_file, decode=False)
+    return coded.select("doc", "ids").mapInArrow(run, schema)
 
 
 def op7_packed_ids(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,9 @@ def _bytes(t):
     return (t or "").encode()
 
 
-def test_substring_dedup(docs):
+@pytest.mark.parametrize("block_bytes", [2 << 20, 2000])
+def test_substring_dedup(docs, monkeypatch, block_bytes):
+    monkeypatch.setattr(op10_substring_dedup, "pack_blocks", lambda df, col: blocks.pack_blocks(df, col, block_bytes))
     rows = corpus()
     words = [_bytes(r[1]).split() for r in rows]
     seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -221,20 +223,28 @@ def test_packed_ids_lose_nothing(docs):
             assert sum((p for _, p in sorted(parts[r[0]])), []) == sp.encode(r[1] or "", add_bos=True, add_eos=True)
 
 
+def test_packed_ids_of_texts(spark):
+    rows = op7_packed_ids.pack_token_ids(spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "key string, body string"), id_col="key", text_col="body").collect()
+    assert sorted((i or "") for r in rows for i in r.doc_ids) == ["", "a", "b"]
+
+
 def test_best_fit_takes_the_fullest_row():
     rows = op7_packed_ids.best_fit(np.array([6, 3, 5, 4, 2]), 10)
     assert [[int(i) for i in r] for r in rows] == [[0, 3], [2, 1, 4]]
 
 
-def test_piece_codec(docs):
+@pytest.mark.parametrize("block_bytes", [2 << 20, 2000])
+def test_piece_codec(docs, monkeypatch, block_bytes):
+    monkeypatch.setattr(op9_piece_codec, "GROUP_BLOCKS", 8)  # several groups of blocks
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=op9_piece_codec.default_model())
-    tool = op9_piece_codec.codec(None, 300_000)
-    for t in ["", " ", "  a", "a  ", " a b", "x ▁ y", "a\nb\t c", "日本 語 🙂", "a" * 500]:
-        ids = sp.encode(t, add_bos=True, add_eos=True)
-        assert np.frombuffer(tool.encode(t.encode()), "<u4").tolist() == ids
-    for r in op9_piece_codec.encode_pieces(docs).collect():
+    tool = op9_piece_codec.codec(None)
+    odd = ["", " ", "  a", "a  ", " a b", "x ▁ y", "a\nb\t c", "日本 語 🙂", "a" * 500, "a" * 199 + " b"]
+    for t, found in zip(odd, tool.encode([t.encode() for t in odd], [tool.chunks(t.encode()) for t in odd], {})):
+        assert np.frombuffer(found, "<u4").tolist() == sp.encode(t, add_bos=True, add_eos=True)
+    more = docs.sparkSession.createDataFrame([(1000 + i, t, None, None, None, None) for i, t in enumerate(odd)], SCHEMA)
+    for r in op9_piece_codec.encode_pieces(docs.union(more), block_bytes=block_bytes).collect():
         ids = sp.encode(r.text or "", add_bos=True, add_eos=True)
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == sp.decode(ids) and r.n_tokens == len(ids)
 
