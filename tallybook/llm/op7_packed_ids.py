@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
-from tallybook.llm.op9_piece_codec import encode_pieces
+from tallybook.llm.op9_piece_codec import with_ids
 
 ROW_LENGTH = 2048
 
@@ -97,7 +97,7 @@ def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = packed_schema(docs.schema[id_col].dataType)
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(blocks: Iterator[tuple[pa.Table, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []  # (document, offset, ids)
         tokens = 0
@@ -119,8 +119,8 @@ def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seq += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for table, coded in blocks:
+            for doc, ids in zip(table.column("doc").to_pylist(), coded):
                 for at in range(0, len(ids), 4 * row_length):
                     held.append((doc, at // 4, ids[at : at + 4 * row_length]))
                 tokens += len(ids) // 4
@@ -131,8 +131,8 @@ def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from flush()
 
     padding = np.full(row_length, pad_id, "<u4").tobytes()
-    coded = encode_pieces(docs.select(docs[f"`{id_col}`"].alias("doc"), docs[f"`{text_col}`"].alias("text")), model_file=model_file, decode=False)
-    return coded.select("doc", "ids").mapInArrow(run, schema)
+    named = docs.select(docs[f"`{id_col}`"].alias("doc"), docs[f"`{text_col}`"].alias("text"))
+    return with_ids(named, "text", model_file, finish, schema)
 
 
 def op7_packed_ids(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tallybook.llm.blocks import BLOCK_BYTES, block_rows, map_blocks, open_block, texts_of
+from tallybook.llm.blocks import block_rows, map_blocks, open_block, texts_of
 from tallybook.llm.runtime import shuffle_width, without
 
 MARK = "▁".encode()
 CHUNK = re.compile(rb" *[^ ]+(?: +\Z)?")
 BETWEEN = b"\xff"  # never in UTF-8
 LONG = 200
-GROUP_BLOCKS = 2048
+CHUNKED_BYTES = 8 << 20
+GROUP_BLOCKS = 512
 SHARD_BYTES = 12_000_000
 MADE = ["n_tokens", "ids", "decoded"]
 _CODECS: dict[str, "ChunkCodec"] = {}
@@ -67,6 +69,7 @@ class ChunkCodec:
         mark = MARK.decode()
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         self.splits = all(mark not in p.lstrip(mark) for p in pieces) and self.sp.encode("a  b", out_type=str)[0].startswith(mark)
+        self.width = 2 if self.sp.get_piece_size() <= 1 << 16 else 4
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
 
     def chunks(self, text: bytes) -> list[bytes] | None:
@@ -78,19 +81,18 @@ class ChunkCodec:
         return text.split(b" ")
 
     def segment(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each chunk, little-endian uint32."""
+        """The ids of each chunk, little-endian in the codec's own width."""
         ids = self.sp.encode([c.decode() for c in chunks], num_threads=1) if chunks else []
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()
-        flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * self.width).tolist()
+        flat = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[bytes], split: list[list[bytes] | None], table: dict[bytes, bytes]) -> list[bytes]:
-        """Begin, the chunks' ids by position and end, for each text; table gets what it lacks."""
-        lacks = list({c for s in split if s for c in s if c not in table})
-        table.update(zip(lacks, self.segment(lacks)))
+        """Begin, the chunks' ids by position and end, little-endian uint32, for each text; table holds all chunks."""
         whole = [i for i, s in enumerate(split) if s is None]
         alone = dict(zip(whole, self.segment([texts[i] for i in whole])))
-        return [self.begin + (alone[i] if s is None else b"".join([table[c] for c in s])) + self.end for i, s in enumerate(split)]
+        joined = [alone[i] if s is None else b"".join([table[c] for c in s]) for i, s in enumerate(split)]
+        return [self.begin + np.frombuffer(j, f"<u{self.width}").astype("<u4").tobytes() + self.end for j in joined]
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, "<u4").tolist())
@@ -104,21 +106,23 @@ def codec(model_file: str | None) -> ChunkCodec:
     return _CODECS[key]
 
 
-def dealt(split: list[list[bytes] | None], shards: int) -> dict[int, list[bytes]]:
-    """The distinct chunks of a block, ascending, for each shard of their hashes."""
+def distinct(split: list[list[bytes] | None]) -> list[bytes]:
+    """The distinct chunks of some texts, ascending."""
+    return sorted(set(chain.from_iterable(filter(None, split))))
+
+
+def dealt(chunks: list[bytes], shards: int) -> dict[int, list[bytes]]:
+    """Ascending chunks for each shard of their hashes; those over LONG bytes are left out."""
     out: dict[int, list[bytes]] = {}
-    for c in sorted({c for s in split if s for c in s}):
+    for c in chunks:
         if len(c) <= LONG:
             out.setdefault(zlib.crc32(c) % shards, []).append(c)
     return out
 
 
-def encode_pieces(docs: DataFrame, text_col: str = "text", model_file: str | None = None, decode: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_tokens, ids (little-endian uint32, begin and end included) and decoded text."""
-    docs = without(docs, MADE)
-    schema = StructType(docs.schema.fields + [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())])
-    arrow = to_arrow_schema(schema)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+def with_ids(docs: DataFrame, text_col: str, model_file: str | None, finish: Callable, schema: str | StructType, block_bytes: int = CHUNKED_BYTES) -> DataFrame:
+    """finish(table, ids) of the rows of all blocks and their ids, task by task: finish takes an iterator of them and yields Arrow batches of schema."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(docs[f"`{text_col}`"])), F.lit(0))).first()[0]
     groups = -(-size // (GROUP_BLOCKS * block_bytes)) or 1
     shards = max(-(-size // (groups * SHARD_BYTES)), min(shuffle_width(docs.sparkSession), 1024))
     blocks = block_rows(docs, text_col, block_bytes).select("data", F.sha2("data", 256).alias("digest"))
@@ -131,38 +135,64 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model_file: str | Non
     def ask(row: dict) -> Iterator[pa.RecordBatch]:
         _, _, split = texts_in(row)
         group = int(row["digest"][:8], 16) % groups
-        asked = [(group * shards + s, row["digest"], zstandard.compress(BETWEEN.join(c), 3)) for s, c in dealt(split, shards).items()]
+        asked = [(group * shards + s, row["digest"], zstandard.compress(BETWEEN.join(c), 3)) for s, c in dealt(distinct(split), shards).items()]
         if asked:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*asked), _ASKED.types)], schema=_ASKED)
 
     def segment(table: pa.Table) -> pa.Table:
         """One shard: its distinct chunks segmented once, and each block's share of the ids."""
         lists = [zstandard.decompress(b).split(BETWEEN) for b in table.column("chunks").to_pylist()]
-        distinct = sorted(set().union(*lists))
-        known = dict(zip(distinct, codec(model_file).segment(distinct)))
+        chunks = sorted(set().union(*lists))
+        known = dict(zip(chunks, codec(model_file).segment(chunks)))
         told = []
-        for chunks in lists:
-            ids = [known[c] for c in chunks]
+        for asked in lists:
+            ids = [known[c] for c in asked]
             told.append(zstandard.compress(np.fromiter(map(len, ids), "<u2", len(ids)).tobytes() + b"".join(ids), 3))
         return pa.Table.from_arrays([table.column("shard"), table.column("digest"), pa.array(told, pa.binary())], schema=_TOLD)
 
-    def join(row: dict) -> Iterator[pa.RecordBatch]:
+    def joined(row: dict) -> tuple[pa.Table, list[bytes]]:
         table, texts, split = texts_in(row)
         tool, told = codec(model_file), {t["shard"] % shards: t["ids"] for t in row["told"] or ()}
         known: dict[bytes, bytes] = {}
-        for s, chunks in dealt(split, shards).items() if told else ():
+        chunks = distinct(split)
+        for s, asked in dealt(chunks, shards).items() if told else ():
             if s in told:
                 raw = zstandard.decompress(told[s])
-                ends = 2 * len(chunks) + np.cumsum(np.frombuffer(raw, "<u2", len(chunks)), dtype=np.int64)
-                known.update(zip(chunks, [raw[a:b] for a, b in zip([2 * len(chunks), *ends.tolist()], ends.tolist())]))
-        ids = tool.encode(texts, split, known)
-        back = [tool.decode(i) if decode else None for i in ids]
-        made = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
-        yield from pa.Table.from_arrays([*table.columns, *made], names=arrow.names).cast(arrow).to_batches(max_chunksize=256)
+                ends = (2 * len(asked) + np.cumsum(np.frombuffer(raw, "<u2", len(asked)), dtype=np.int64)).tolist()
+                known.update(zip(asked, [raw[a:b] for a, b in zip([2 * len(asked), *ends], ends)]))
+        lacks = [c for c in chunks if c not in known]
+        known.update(zip(lacks, tool.segment(lacks)))
+        return table, tool.encode(texts, split, known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[pa.Table, list[bytes]]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield joined({n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)})
+
+        yield from finish(rows())
 
     told = map_blocks(blocks, ask, "shard long, digest string, chunks binary").groupBy("shard").applyInArrow(segment, "shard long, digest string, ids binary")
     answers = told.groupBy("digest").agg(F.collect_list(F.struct("shard", "ids")).alias("told"))
-    return map_blocks(blocks.join(answers, "digest", "left"), join, schema)
+    return blocks.join(answers, "digest", "left").mapInArrow(run, schema)
+
+
+def encode_pieces(docs: DataFrame, text_col: str = "text", model_file: str | None = None, decode: bool = True, block_bytes: int = CHUNKED_BYTES) -> DataFrame:
+    """docs with n_tokens, ids (little-endian uint32, begin and end included) and decoded text."""
+    docs = without(docs, MADE)
+    schema = StructType(docs.schema.fields + [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def finish(rows: Iterator[tuple[pa.Table, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        for table, ids in rows:
+            tool = codec(model_file)
+            for at in range(0, len(ids), 256):
+                some, part = ids[at : at + 256], table.slice(at, 256)
+                back = [tool.decode(i) if decode else None for i in some]
+                made = [pa.array([len(i) // 4 for i in some], pa.int64()), pa.array(some, pa.binary()), pa.array(back, pa.string())]
+                yield from pa.Table.from_arrays([*part.columns, *made], names=arrow.names).cast(arrow).combine_chunks().to_batches()
+
+    return with_ids(docs, text_col, model_file, finish, schema, block_bytes)
 
 
 def op9_piece_codec(spark, sf_dir: str) -> DataFrame:

@@ -45,8 +45,9 @@ def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds: texts can be long."""
+    """Bound what one Arrow batch holds, in rows and in bytes: texts can be long, and a row may be a whole block."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def shuffle_width(spark: SparkSession) -> int:

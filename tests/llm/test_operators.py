@@ -241,7 +241,9 @@ def test_piece_codec(docs, monkeypatch, block_bytes):
     sp = sentencepiece.SentencePieceProcessor(model_file=op9_piece_codec.default_model())
     tool = op9_piece_codec.codec(None)
     odd = ["", " ", "  a", "a  ", " a b", "x ▁ y", "a\nb\t c", "日本 語 🙂", "a" * 500, "a" * 199 + " b"]
-    for t, found in zip(odd, tool.encode([t.encode() for t in odd], [tool.chunks(t.encode()) for t in odd], {})):
+    split = [tool.chunks(t.encode()) for t in odd]
+    chunks = op9_piece_codec.distinct(split)
+    for t, found in zip(odd, tool.encode([t.encode() for t in odd], split, dict(zip(chunks, tool.segment(chunks))))):
         assert np.frombuffer(found, "<u4").tolist() == sp.encode(t, add_bos=True, add_eos=True)
     more = docs.sparkSession.createDataFrame([(1000 + i, t, None, None, None, None) for i, t in enumerate(odd)], SCHEMA)
     for r in op9_piece_codec.encode_pieces(docs.union(more), block_bytes=block_bytes).collect():
