@@ -1,16 +1,20 @@
 """Packing by optimal length buckets and token-budget batches.
 
-The histogram of lengths over all documents is counted in Spark; its cells are
-exact up to 4096 tokens and keep twelve leading bits beyond, so it stays small
-whatever the corpus. On it, dynamic programming (divide and conquer over the
-monotone choice) finds the bucket boundaries that minimise padding. Inside each
+The histogram of lengths over all documents is counted in Spark: one cell for
+each length that occurs, so it grows with the longest text, not with the corpus.
+On it, dynamic programming (divide and conquer over the monotone choice) finds
+the bucket boundaries that minimise padding, exactly. Inside each
 bucket, documents in input order fill batches of floor(budget / boundary) rows.
 Ranks come from counts of short input slices plus the place in the slice, so no
 bucket is ever sorted or numbered in one task.
 
+Lengths are white-space words, or what length_col holds (such as n_tokens of
+encode_pieces; null counts as 0), of which the budget is then kept.
+
 Defined results: null or empty text has length 0 and still gets a batch; a
 document longer than the budget is a batch alone; equal rows are rows like any
-others; other columns of the input are left out but for id_cols.
+others; other columns of the input are left out but for id_cols, which must not
+be named like a result column.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.runtime import durable
 
-EXACT_BITS = 12
 SLICE = 20_000
 
 
@@ -30,15 +33,17 @@ def word_count(text: str):
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
-def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
-    """Boundaries (some of the ascending lengths, the last included) of least total padding.
+def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+    """Boundaries (some of the ascending distinct lengths, the last included) of least total padding.
 
-    lengths are the cells' upper ends, sums the tokens in each cell.
+    The best choice before a boundary moves up with it, so each layer is found
+    by halving: all middle boundaries of a level at once, each among the choices
+    that its neighbours leave.
     """
     n = len(lengths)
     if not n:
         return []
-    rows, tokens = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(sums)))
+    rows, tokens = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * lengths)))
     ends = np.concatenate(([0], lengths)).astype(np.int64)
     big = np.iinfo(np.int64).max // 4
     cost = np.full(n + 1, big, np.int64)
@@ -47,17 +52,20 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     for _ in range(min(buckets, n)):
         new, choice = np.full(n + 1, big, np.int64), np.zeros(n + 1, np.int64)
         new[0] = 0
-        todo = [(1, n, 0, n)]
-        while todo:
-            lo, hi, first, last = todo.pop()
-            if lo > hi:
-                continue
+        lo, hi, first, last = (np.array([x]) for x in (1, n, 0, n))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            values = cost[i] + ends[j] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
-            k = int(values.argmin())
-            new[j], choice[j] = values[k], i[k]
-            todo += [(lo, j - 1, first, int(i[k])), (j + 1, hi, int(i[k]), last)]
+            sizes = np.minimum(last, j - 1) - first + 1
+            starts = np.cumsum(sizes) - sizes
+            i = np.arange(sizes.sum()) - np.repeat(starts - first, sizes)
+            at = np.repeat(j, sizes)
+            values = cost[i] + ends[at] * (rows[at] - rows[i]) - (tokens[at] - tokens[i])
+            least = np.minimum.reduceat(values, starts)
+            where = np.flatnonzero(values == np.repeat(least, sizes))
+            best = i[where[np.searchsorted(where, starts)]]
+            new[j], choice[j] = least, best
+            below, above = lo < j, j < hi
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo[below], j[above] + 1), (j[below] - 1, hi[above]), (first[below], best[above]), (best[below], last[above])))
         cost = new
         choices.append(choice)
     out, j = [], n
@@ -69,14 +77,13 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     return sorted(set(out))
 
 
-def length_buckets(docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), buckets: int = 16, budget: int = 16_384) -> DataFrame:
+def length_buckets(docs: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), buckets: int = 16, budget: int = 16_384, length_col: str | None = None) -> DataFrame:
     """id_cols with n_tokens, bucket, bucket_length, batch, place and padding."""
     ids = [docs[f"`{c}`"] for c in id_cols]
-    rows = durable(docs.select(*ids, word_count(text_col).alias("n_tokens")))
-    # the cell's upper end: the length itself up to 12 bits, else rounded up to 12 leading bits
-    step = F.expr(f"shiftleft(1L, greatest(0, length(bin(greatest(n_tokens - 1, 0))) - {EXACT_BITS}))")
-    cells = rows.groupBy((F.ceil(F.col("n_tokens") / step).cast("long") * step).alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("cell").collect()
-    bounds = best_boundaries(np.array([c.cell for c in cells], np.int64), np.array([c.n for c in cells], np.int64), np.array([c.tokens for c in cells], np.int64), buckets) or [0]
+    length = word_count(text_col) if length_col is None else F.greatest(F.coalesce(docs[f"`{length_col}`"].cast("long"), F.lit(0)), F.lit(0))
+    rows = durable(docs.select(*ids, length.alias("n_tokens")))
+    cells = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
+    bounds = best_boundaries(np.array([c.n_tokens for c in cells], np.int64), np.array([c.n for c in cells], np.int64), buckets) or [0]
 
     at = F.array(*[F.lit(b).cast("long") for b in bounds])
     numbered = rows.withColumn("bucket", F.size(F.filter(at, lambda b: b < F.col("n_tokens")))).withColumn("_at", F.monotonically_increasing_id())
