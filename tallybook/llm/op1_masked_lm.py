@@ -13,7 +13,8 @@ of the corpus. The others share hashed ids, and the share of the word among all
 tokens of its id comes from the joined counts, so each word has a conditional
 probability of its own: P(id | context) * n(word) / n(id). Each task trains the
 network in numpy on all its tokens; the tasks' parameters are averaged, weighted
-by tokens, in two levels of grouped aggregation, and broadcast for scoring.
+by tokens, in a tree of grouped aggregations, and broadcast for scoring. So the
+scores depend, a little, on how the texts are dealt to tasks.
 
 Defined results: null or empty text has no tokens and score 0; equal texts (up to rounding)
 have equal scores; other columns pass through, and an input column named like
@@ -43,6 +44,7 @@ KNOWN_FROM = 0.15  # words counted this many times the root of the number of tok
 OOV = 64  # ids 1 to 63 are shared by rare words, 0 is the edge of a text
 WIDTH = 16
 STEP = 8192
+FAN = 32
 REACH = (-2, -1, 1, 2)
 MADE = ["n_tokens", "log_likelihood"]
 TEXT_BYTES = 1 << 20
@@ -257,14 +259,15 @@ def contexts(words: Words, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str, rate: float = 0.05) -> np.ndarray:
-    """Parameters averaged over the tasks, each of which has trained on all its tokens."""
-    box = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def train(blocks: DataFrame, vocabulary: Vocabulary, text_col: str, rate: float = 0.05) -> np.ndarray:
+    """Parameters averaged over the tasks, each of which has trained on all its tokens, by a tree of FAN branches as deep as needed."""
+    box = blocks.sparkSession.sparkContext.broadcast(vocabulary)
     slices = max(8, -(-len(Network(vocabulary.frequency).flat()) // (1 << 16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, tokens = Network(box.value.frequency), 0
-        for _, words in _chunks(batches, text_col):
+        texts = (open_block(blob.as_py()) for batch in batches for blob in batch.column(0))
+        for _, words in _chunks((b for table in texts for b in table.to_batches()), text_col):
             ids = box.value.of(words.hashes)
             around = contexts(words, ids)
             for at in range(0, len(ids), STEP):
@@ -283,9 +286,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str, rate: float =
             total = v.copy() if total is None else total + v
         return pa.Table.from_pydict({"slice": [table.column("slice")[0].as_py()], "part": [table.column("part")[0].as_py()], "n": [sum(table.column("n").to_pylist())], "sums": [total.tobytes()]}, schema=_PARTS)
 
-    sent = docs.select(text_col).mapInArrow(run, PARTS)
-    level1 = sent.groupBy("slice", F.floor(F.col("part") / 32).alias("_salt")).applyInArrow(add, PARTS)
-    rows = level1.groupBy("slice").applyInArrow(add, PARTS).collect()
+    level, tasks = blocks.select("data").mapInArrow(run, PARTS), blocks.rdd.getNumPartitions()
+    while tasks > FAN:
+        level = level.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("slice", "part").applyInArrow(add, PARTS)
+        tasks = -(-tasks // FAN)
+    rows = level.groupBy("slice").applyInArrow(add, PARTS).collect()
     if not rows:
         return Network(vocabulary.frequency).flat()
     return np.concatenate([np.frombuffer(r.sums, "<f8") / r.n for r in sorted(rows, key=lambda r: r.slice)])
@@ -302,8 +307,7 @@ def masked_lm_scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
     blocks = pack_blocks(docs, text_col)
     counted = count_words(blocks, text_col, shards_for(blocks, total_bytes(blocks) // 16))
     vocabulary = Vocabulary(counted)
-    small_batches(docs.sparkSession)
-    flat = train(docs, vocabulary, text_col).astype(np.float32)
+    flat = train(blocks, vocabulary, text_col).astype(np.float32)
     box = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
     schema = StructType(docs.schema.fields + [StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType())])
     arrow = to_arrow_schema(schema)
