@@ -8,8 +8,9 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
+# Fixed value: the label before an order reference.
 PO_LABEL = r"(?i)^(?:PO|P\.O\.|PURCHASE\s+ORDER|ORDER\s+ID)(?:\s+NUMBER|\s+NO\.?)?\s*[:#-]*\s*"
 
 
@@ -18,32 +19,62 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@F.pandas_udf(StringType())
-def _compatible(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+#: Blocks whose characters are normalised: Latin, Greek, Cyrillic, marks, signs, ligatures, half and full width forms.
+BLOCKS = [(0xA0, 0x530), (0x1D2C, 0x1DC0), (0x1E00, 0x2190), (0x2460, 0x2500), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFF01, 0xFFEF)]
+MARKS = "[\u0300-\u036f]"
 
 
-@F.pandas_udf(StringType())
-def _without_marks(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)))
+def _forms(form: str, marks: bool) -> tuple[dict[str, str], dict[str, str]]:
+    """What the characters of BLOCKS become in a Unicode form, less combining marks if asked: by one character, by none or several."""
+    one, other = {}, {}
+    for c in (chr(p) for lo, hi in BLOCKS for p in range(lo, hi)):
+        new = unicodedata.normalize(form, c)
+        new = new if marks else "".join(x for x in new if not unicodedata.combining(x))
+        if new != c:
+            (one if len(new) == 1 else other)[c] = new
+    return one, other
 
 
-def clean_text(c: Column, unicode_form: bool = False) -> Column:
-    """null as empty, white space runs as one space, trimmed; NFKC on request (an Arrow UDF)."""
-    text = F.coalesce(c, F.lit(""))
-    text = _compatible(text) if unicode_form else text
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+def _replaced(text: Column, one: dict[str, str], other: dict[str, str]) -> Column:
+    """Each character by its form; texts of ASCII alone are left as they are."""
+    several = {k: v for k, v in other.items() if v}
+    dropped = "".join(k for k, v in other.items() if not v)
+    table = F.map_from_arrays(F.split(F.lit("\x01".join(several)), "\x01"), F.split(F.lit("\x01".join(several.values())), "\x01"))
+    short = F.translate(text, "".join(one) + dropped, "".join(one.values()))
+    long = F.array_join(F.transform(F.split(short, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.char_length(text) == F.octet_length(text), text).when(text.rlike("[" + "".join(several) + "]"), long).otherwise(short)
+
+
+NFKC, NFKD_BARE = _forms("NFKC", True), _forms("NFKD", False)
+#: Letters with a mark behind them, as one character.
+COMPOSED = {unicodedata.normalize("NFD", chr(p)): chr(p) for lo, hi in BLOCKS for p in range(lo, hi) if unicodedata.normalize("NFD", chr(p)) != chr(p) and unicodedata.normalize("NFC", chr(p)) == chr(p)}
+
+
+def compatible_form(text: Column) -> Column:
+    """NFKC for the characters of BLOCKS, by native expressions; marks join the letter before them."""
+    table = F.map_from_arrays(F.split(F.lit("\x01".join(COMPOSED)), "\x01"), F.split(F.lit("\x01".join(COMPOSED.values())), "\x01"))
+    clusters = F.regexp_extract_all(text, F.lit(f"(?s).{MARKS}*"), F.lit(0))
+    joined = F.array_join(F.transform(clusters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return let(F.when(text.rlike(MARKS), joined).otherwise(text), lambda t: _replaced(t, *NFKC))
+
+
+def without_marks(text: Column) -> Column:
+    """Accents and other marks dropped, compatible characters as plain letters and digits."""
+    return _replaced(text, *NFKD_BARE)
+
+
+def clean_text(c: Column) -> Column:
+    """null as empty, NFKC, white space runs as one space, trimmed."""
+    return F.trim(F.regexp_replace(compatible_form(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
 
 
 def comparison_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(clean_text(c)), "[^A-Z0-9]", "")
 
 
-def business_key(c: Column, accents: bool = False) -> Column:
-    """Upper case words of letters and digits, one space between; accents folded on request (an Arrow UDF)."""
-    text = F.coalesce(c, F.lit(""))
-    text = _without_marks(text) if accents else text
-    return F.upper(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+def business_key(c: Column) -> Column:
+    """Upper case words of letters and digits, marks folded, one space between."""
+    return F.upper(F.trim(F.regexp_replace(without_marks(F.coalesce(c, F.lit(""))), "[^A-Za-z0-9]+", " ")))
 
 
 def reference_key(c: Column) -> Column:
@@ -51,14 +82,6 @@ def reference_key(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), PO_LABEL, ""), "[^A-Za-z0-9]", ""))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - distance / longest of two business keys, four places; 0 where either is empty."""
-    x, y = business_key(a), business_key(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    ratio = F.round(1 - F.levenshtein(x, y) / longest, 4)
-    return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).otherwise(ratio)
-
-
 @F.pandas_udf(DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two keys, four places; argument order matters."""

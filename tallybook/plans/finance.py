@@ -271,10 +271,18 @@ def supplier_exact(spark, sf):
     return M.exact_suppliers(derived(spark, sf, "invoices"), _suppliers(spark, sf))
 
 
+#: The longest common run of a and b, the first in a and then in b: its length, and its places negated.
+_RUN = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda j: {'k': list_max(list_filter(range(0, least(length(a) - i, length(b) - j) + 2), lambda n: substr(a, i, n) = substr(b, j, n))), 'i': -i, 'j': -j}))))"""
+#: Names against supplier names: matching-blocks ratios of the pairs whose edit distance allows 0.9, by splitting at the longest common run.
 _NAMES = """
- with n as (select distinct supplier_name, """ + _KEY.format("supplier_name") + """ as k from invoices where supplier_name is not null),
+ with recursive n as (select distinct supplier_name, """ + _KEY.format("supplier_name") + """ as k from invoices where supplier_name is not null),
  s as (select supplier_id, active, approved, """ + _KEY.format("legal_name") + """ as k from suppliers union select supplier_id, active, approved, """ + _KEY.format("alias") + """ from suppliers),
- p as (select supplier_name, supplier_id, active, approved, max(case when n.k = s.k then 1.0 else round(1 - levenshtein(n.k, s.k) / greatest(length(n.k), length(s.k)), 4) end) as score from n join s on levenshtein(n.k, s.k) <= 0.1001 * greatest(length(n.k), length(s.k)) group by all),
+ near as (select distinct n.k as x, s.k as y from n join s on n.k <> s.k and levenshtein(n.k, s.k) <= 0.1 * (length(n.k) + length(s.k))),
+ seg as (select x, y, x as a, y as b from near union all
+   select x, y, case side when 1 then left(a, -f.i - 1) else substr(a, f.k - f.i) end, case side when 1 then left(b, -f.j - 1) else substr(b, f.k - f.j) end
+   from (select *, """ + _RUN + """ as f from seg where a <> '' and b <> '') t, (values (1), (2)) v(side) where f.k > 0),
+ ratio as (select x, y, round(2.0 * sum((""" + _RUN + """).k) / (length(x) + length(y)), 4) as score from seg where a <> '' and b <> '' group by x, y union all select distinct k, k, 1.0 from n),
+ p as (select supplier_name, supplier_id, active, approved, max(score)::double as score from n join ratio on x = n.k join s on y = s.k group by all),
  r as (select *, row_number() over (partition by supplier_name order by score desc, supplier_id desc) as rank from p where score >= 0.9)"""
 
 
@@ -283,11 +291,6 @@ def supplier_fuzzy(spark, sf):
     return M.score_suppliers(derived(spark, sf, "invoices"), _suppliers(spark, sf)).select("supplier_name", "supplier_id", "score", "rank")
 
 
-@query(None)
-def supplier_fuzzy_exact(spark, sf):
-    return M.score_suppliers(derived(spark, sf, "invoices"), _suppliers(spark, sf), exact=True).select("supplier_name", "supplier_id", "score", "rank")
-
-
 _RESOLVED = _NAMES + """,
  t as (select supplier_name, max(case when rank = 1 then supplier_id end) as sid, max(case when rank = 1 then score end) as a, max(case when rank = 2 then score end) as b, bool_or(rank = 1 and active) as active, bool_or(rank = 1 and approved) as approved from r where rank <= 5 group by supplier_name),
  sup as (select document_id, supplier_name, sid, case when a is null then 'NOT_FOUND' when b is not null and round(a - b, 4) <= 0.05 then 'AMBIGUOUS' when not active or not approved then 'CONFLICT' else 'MATCHED' end as st, a, active, approved from invoices left join t using (supplier_name)),
@@ -344,13 +347,14 @@ def received_qty(spark, sf):
 
 
 def _line_inputs(spark: SparkSession, sf: str, orders: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Invoice lines beside the order line of the same number."""
+    """Lines of invoices with a matched order, beside the order line that each is assigned to."""
     matched = orders.filter("po_status = 'MATCHED'").select("document_id", "po_key").join(receipts.select("document_id", "match_mode"), "document_id")
     part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part_key"), F.col("p_name").alias("po_description"))
-    po_lines = derived(spark, sf, "po_lines").join(part, "part_key").select("po_key", "line_number", F.col("line_number").alias("po_line_number"), F.col("qty").cast("decimal(18,4)").alias("po_qty"), F.col("unit_price").alias("po_price"), F.col("line_total").alias("po_total"), "po_description")
-    got = M.received_quantities(derived(spark, sf, "gr"), derived(spark, sf, "gr_lines"))
-    j = derived(spark, sf, "inv_lines").join(matched, "document_id").join(po_lines, ["po_key", "line_number"], "left").join(got, ["po_key", "line_number"], "left")
-    return j.withColumn("score", T.similarity(F.col("description"), F.col("po_description")))
+    po_lines = derived(spark, sf, "po_lines").join(part, "part_key").select("po_key", F.col("line_number").alias("po_line_number"), F.col("qty").cast("decimal(18,4)").alias("po_qty"), F.col("unit_price").alias("po_price"), F.col("line_total").alias("po_total"), "po_description")
+    got = M.received_quantities(derived(spark, sf, "gr"), derived(spark, sf, "gr_lines")).withColumnRenamed("line_number", "po_line_number")
+    lines = derived(spark, sf, "inv_lines").join(matched, "document_id")
+    taken = M.match_lines(lines, po_lines).select("document_id", "line_number", "po_line_number", "score")
+    return lines.join(taken, ["document_id", "line_number"], "left").join(po_lines.drop("po_description"), ["po_key", "po_line_number"], "left").join(got, ["po_key", "po_line_number"], "left")
 
 
 _LINES = _RECEIPTS + """,
@@ -381,12 +385,14 @@ def line_eval(spark, sf):
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part_key"), F.col("p_name").alias("po_description"))
     po = derived(spark, sf, "po_lines").join(part, "part_key").select(F.col("po_key").alias("document_id"), F.col("line_number").alias("po_line_number"), "po_description")
-    return derived(spark, sf, "inv_lines").select("document_id", "line_number", "description").join(po, "document_id").withColumn("score", T.similarity(F.col("description"), F.col("po_description")))
+    return derived(spark, sf, "inv_lines").select("document_id", "line_number", "description").join(po, "document_id")
 
 
-@query(None)
+@query("select document_id, line_number, line_number as po_line_number, 1.0::double as score, 'DESCRIPTION' as method from inv_lines", "inv_lines")
 def line_greedy(spark, sf):
-    return M.assign_lines(_pairs(spark, sf))
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part_key"), F.col("p_name").alias("po_description"))
+    po = derived(spark, sf, "po_lines").join(part, "part_key").select("po_key", F.col("line_number").alias("po_line_number"), "po_description")
+    return M.match_lines(derived(spark, sf, "inv_lines").select("document_id", F.col("document_id").alias("po_key"), "line_number", "description"), po)
 
 
 @query(f"select document_id, i.line_number, p.line_number as po_line_number, i.description = q.p_name as same from inv_lines i join po_lines p on p.po_key = i.document_id join part q on q.p_partkey = p.part_key", "inv_lines")

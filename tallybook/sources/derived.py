@@ -89,6 +89,8 @@ def with_tables(sql: str, *names: str) -> str:
 
     text = ",\n".join(f"{n} as ({TABLES[n]})" for n in _needed(list(names)))
     text = re.sub(r"\{(\w+)\}", r"\1", text)
+    if sql.lstrip().startswith("with recursive "):
+        return f"with recursive {text},\n{sql.lstrip()[15:]}"
     return f"with {text}\n{sql}" if not sql.lstrip().startswith("with ") else f"with {text},\n{sql.lstrip()[5:]}"
 
 

@@ -51,8 +51,8 @@ def test_uuid5(spark):
 
 
 def test_keys_fold_accents_and_white_space(spark):
-    assert one(spark, T.business_key(F.lit("Café  Müller & Co."), accents=True)) == "CAFE MULLER CO"
-    assert one(spark, T.clean_text(F.lit(" ﬁne  print "), unicode_form=True)) == "fine print"
+    assert one(spark, T.business_key(F.lit("Café  Müller & Co."))) == "CAFE MULLER CO"
+    assert one(spark, T.clean_text(F.lit(" ﬁne  print "))) == "fine print"
 
 
 def test_failure_classes(spark):
