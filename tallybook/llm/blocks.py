@@ -34,10 +34,9 @@ def block_rows(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_B
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, pending, size
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pending[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for p in pending:
-                    out.write_batch(p)
+            sink, table = pa.BufferOutputStream(), pa.Table.from_batches(pending).combine_chunks()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                out.write_table(table)
             row = {"block": [(at << 32) | seq], "n_bytes": [size], "n_rows": [sum(p.num_rows for p in pending)], "data": [sink.getvalue().to_pybytes()]}
             seq, pending, size = seq + 1, [], 0
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("n_rows", pa.int64()), ("data", pa.binary())]))

@@ -7,8 +7,8 @@ into marked chunks, which are segmented apart:
 1. Each block of texts sends its distinct chunks, sorted, to shards of chunk
    hashes. A shard joins the lists of its blocks to one table of distinct
    chunks and segments each of them once.
-2. It sends each block the ids of its chunks, and the block joins them back by
-   position. Blocks are joined by a digest of what they hold, so the input may be
+2. It sends each block its chunks with their ids, and the block joins them back
+   by position. Blocks are joined by a digest of what they hold, so the input may be
    read twice instead of being kept; a chunk without an answer (the input came in
    another order) is segmented in place.
 
@@ -50,7 +50,7 @@ SHARD_BYTES = 12_000_000
 MADE = ["n_tokens", "ids", "decoded"]
 _CODECS: dict[str, "ChunkCodec"] = {}
 _ASKED = pa.schema([("shard", pa.int64()), ("digest", pa.string()), ("chunks", pa.binary())])
-_TOLD = pa.schema([("shard", pa.int64()), ("digest", pa.string()), ("ids", pa.binary())])
+_TOLD = pa.schema([("digest", pa.string()), ("chunks", pa.binary()), ("ids", pa.binary())])
 
 
 def default_model() -> str:
@@ -88,10 +88,19 @@ class ChunkCodec:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[bytes], split: list[list[bytes] | None], table: dict[bytes, bytes]) -> list[bytes]:
-        """Begin, the chunks' ids by position and end, little-endian uint32, for each text; table holds all chunks."""
+        """Begin, the chunks' ids by position and end, little-endian uint32, for each text; table gets the chunks it lacks."""
         whole = [i for i, s in enumerate(split) if s is None]
         alone = dict(zip(whole, self.segment([texts[i] for i in whole])))
-        joined = [alone[i] if s is None else b"".join([table[c] for c in s]) for i, s in enumerate(split)]
+
+        def ids(chunks: list[bytes]) -> bytes:
+            try:
+                return b"".join([table[c] for c in chunks])
+            except KeyError:
+                lacks = [c for c in set(chunks) if c not in table]
+                table.update(zip(lacks, self.segment(lacks)))
+                return b"".join([table[c] for c in chunks])
+
+        joined = [alone[i] if s is None else ids(s) for i, s in enumerate(split)]
         return [self.begin + np.frombuffer(j, f"<u{self.width}").astype("<u4").tobytes() + self.end for j in joined]
 
     def decode(self, ids: bytes) -> str:
@@ -141,28 +150,24 @@ def with_ids(docs: DataFrame, text_col: str, model_file: str | None, finish: Cal
 
     def segment(table: pa.Table) -> pa.Table:
         """One shard: its distinct chunks segmented once, and each block's share of the ids."""
-        lists = [zstandard.decompress(b).split(BETWEEN) for b in table.column("chunks").to_pylist()]
+        blobs = table.column("chunks").to_pylist()
+        lists = [zstandard.decompress(b).split(BETWEEN) for b in blobs]
         chunks = sorted(set().union(*lists))
         known = dict(zip(chunks, codec(model_file).segment(chunks)))
         told = []
         for asked in lists:
             ids = [known[c] for c in asked]
             told.append(zstandard.compress(np.fromiter(map(len, ids), "<u2", len(ids)).tobytes() + b"".join(ids), 3))
-        return pa.Table.from_arrays([table.column("shard"), table.column("digest"), pa.array(told, pa.binary())], schema=_TOLD)
+        return pa.Table.from_arrays([table.column("digest"), pa.array(blobs, pa.binary()), pa.array(told, pa.binary())], schema=_TOLD)
 
     def joined(row: dict) -> tuple[pa.Table, list[bytes]]:
         table, texts, split = texts_in(row)
-        tool, told = codec(model_file), {t["shard"] % shards: t["ids"] for t in row["told"] or ()}
         known: dict[bytes, bytes] = {}
-        chunks = distinct(split)
-        for s, asked in dealt(chunks, shards).items() if told else ():
-            if s in told:
-                raw = zstandard.decompress(told[s])
-                ends = (2 * len(asked) + np.cumsum(np.frombuffer(raw, "<u2", len(asked)), dtype=np.int64)).tolist()
-                known.update(zip(asked, [raw[a:b] for a, b in zip([2 * len(asked), *ends], ends)]))
-        lacks = [c for c in chunks if c not in known]
-        known.update(zip(lacks, tool.segment(lacks)))
-        return table, tool.encode(texts, split, known)
+        for told in row["told"] or ():
+            asked, raw = zstandard.decompress(told["chunks"]).split(BETWEEN), zstandard.decompress(told["ids"])
+            ends = (2 * len(asked) + np.cumsum(np.frombuffer(raw, "<u2", len(asked)), dtype=np.int64)).tolist()
+            known.update(zip(asked, [raw[a:b] for a, b in zip([2 * len(asked), *ends], ends)]))
+        return table, codec(model_file).encode(texts, split, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -172,8 +177,8 @@ def with_ids(docs: DataFrame, text_col: str, model_file: str | None, finish: Cal
 
         yield from finish(rows())
 
-    told = map_blocks(blocks, ask, "shard long, digest string, chunks binary").groupBy("shard").applyInArrow(segment, "shard long, digest string, ids binary")
-    answers = told.groupBy("digest").agg(F.collect_list(F.struct("shard", "ids")).alias("told"))
+    told = map_blocks(blocks, ask, "shard long, digest string, chunks binary").groupBy("shard").applyInArrow(segment, "digest string, chunks binary, ids binary")
+    answers = told.groupBy("digest").agg(F.collect_list(F.struct("chunks", "ids")).alias("told"))
     return blocks.join(answers, "digest", "left").mapInArrow(run, schema)
 
 
