@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import clean_text
-from tallybook.functions.values import CODES, currency_code, typed_value
+from tallybook.functions.text import clean_text, comparison_key, party_name
+from tallybook.functions.values import CODES, currency_code, money, parse_decimal, typed_value
 from tallybook.operators import layout as L
 
 REQUIRED = ["INVOICE_NUMBER", "INVOICE_DATE", "TOTAL_AMOUNT"]
-TEXT_LABELS = {"SUPPLIER_NAME", "PURCHASE_ORDER_NUMBER"}
 
 
 def _candidate(rows: DataFrame, field: Column, raw: Column, confidence: Column, method: str, seq: Column) -> DataFrame:
@@ -20,20 +19,35 @@ def _candidate(rows: DataFrame, field: Column, raw: Column, confidence: Column,
     return rows.select("document_id", field.alias("field"), clean_text(raw).alias("raw"), scored.alias("confidence"), F.lit(method).alias("method"), seq.cast("long").alias("seq"))
 
 
+def labelled_texts(labelled: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """Parties beside or below their label, terms beside it (with no other label), addresses below it."""
+    inline = L.inline_values(labelled.filter(F.col("field").isin(*L.PARTIES, "PAYMENT_TERMS")))
+    inline = inline.filter((F.col("field") != "PAYMENT_TERMS") | ~L.shows_label(F.col("value"))).filter((F.col("field") == "PAYMENT_TERMS") | party_name(F.col("value")))
+    below = L.values_below(labelled.filter(F.col("field").isin(L.PARTIES)), lines).filter(party_name(F.col("v_text")) & ~L.shows_label(F.col("v_text")))
+    addresses = L.combined_address(L.values_below(labelled.filter(F.col("field").isin(L.ADDRESSES)), lines, top=4)).join(labelled.select(*L.PAGE, "line_order", "field", "confidence"), [*L.PAGE, "line_order", "field"])
+    return [
+        _candidate(inline, F.col("field"), F.col("value"), F.col("confidence") + 2, "LABEL_VALUE", F.col("line_order")),
+        _candidate(below, F.col("field"), F.col("v_text"), F.col("confidence") - 2 * (F.col("rank") - 1), "SPATIAL_PROXIMITY", F.col("line_order") * 1000 + F.col("rank")),
+        _candidate(addresses, F.col("field"), F.col("address"), F.col("confidence"), "SPATIAL_PROXIMITY", F.col("line_order")),
+    ]
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """Inline, beside-label, currency and header candidates with typed values; confidence is adjusted by kind and rank."""
+    """Inline, beside-label, labelled-text, currency and header candidates with typed values; confidence is adjusted by kind and rank."""
     labelled = L.label_lines(lines)
-    inline = L.inline_values(labelled)
-    beside = L.values_beside(labelled, lines, top=3)
+    typed_labels = labelled.filter(F.col("field").isin(L.TYPED))
+    inline = L.inline_values(typed_labels)
+    beside = L.values_beside(typed_labels, lines, top=3)
     code = currency_code(F.col("text"))
     marked = lines.filter(code.isNotNull())
     explicit = F.upper("text").rlike("(?<![A-Z])(" + "|".join(CODES) + ")(?![A-Z])")
     totalish = F.upper("text").contains("TOTAL")
     streams = [
         _candidate(inline, F.col("field"), F.col("value"), F.col("confidence") + 2, "LABEL_VALUE", F.col("line_order")),
-        _candidate(beside, F.col("field"), F.col("v_text"), F.col("confidence") - 2 * F.col("rank") + F.when(F.col("same_row"), 1).otherwise(0), "SPATIAL", F.col("line_order") * 1000 + F.col("rank")),
-        _candidate(marked, F.lit("CURRENCY"), F.col("text"), F.col("confidence") + F.when(explicit, 6).otherwise(0) + F.when(totalish, 4).otherwise(0), "LABELLED_TEXT", F.col("line_order")),
-        _candidate(L.header_parties(lines).withColumn("confidence", F.lit(75.0)), F.col("field"), F.col("text"), F.col("confidence"), "HEADER", F.lit(0)),
+        _candidate(beside, F.col("field"), F.col("v_text"), F.col("confidence") - 2 * F.col("rank") + F.when(F.col("same_row"), 1).otherwise(0), "SPATIAL_PROXIMITY", F.col("line_order") * 1000 + F.col("rank")),
+        *labelled_texts(labelled, lines),
+        _candidate(marked, F.lit("CURRENCY"), F.col("text"), F.col("confidence") + F.when(explicit, 6).otherwise(0) + F.when(totalish, 4).otherwise(0), "REGULAR_EXPRESSION", F.col("line_order")),
+        _candidate(L.header_parties(lines).withColumn("confidence", F.lit(75.0)), F.col("field"), F.col("text"), F.col("confidence"), "COMBINED_RULES", F.lit(0)),
     ]
     typed = reduce(DataFrame.unionByName, streams).withColumn("v", typed_value(F.col("field"), F.col("raw")))
     value = F.coalesce(F.col("v.text_value"), F.col("v.decimal_value").cast("string"), F.col("v.date_value").cast("string"))
@@ -63,14 +77,72 @@ def documents(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return out.select("document_id", *kept, (F.size(reasons) > 0).alias("review"), reasons.alias("reasons"))
 
 
+def combined_confidence(references: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with confidence: the mean over distinct references, from 0 to 100, two places."""
+    mean = F.avg("confidence")
+    return references.dropDuplicates([*keys, "reference_id"]).groupBy(*keys).agg(F.round(F.least(F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(0.0)), F.lit(100.0)), 2).alias("confidence"))
+
+
+def page_rollup(pages: DataFrame) -> DataFrame:
+    """pages (document_id, page, status, engine) by document: FAILED with no page left, REVIEW_REQUIRED with any under review or failed, and the engines."""
+    g = pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "REVIEW_REQUIRED").alias("review_pages"), F.count_if(F.col("status") == "FAILED").alias("failed_pages"), F.concat(F.lit("phase-3:"), F.array_join(F.sort_array(F.collect_set("engine")), ",")).alias("engines"))
+    status = F.when(F.col("failed_pages") == F.col("pages"), "FAILED").when(F.col("failed_pages") + F.col("review_pages") > 0, "REVIEW_REQUIRED").otherwise("SUCCEEDED")
+    return g.withColumn("status", status)
+
+
+# Headers of a line table's columns, and the keys of lines that end it.
+COLUMNS = {"DESCRIPTION": ["DESCRIPTION", "ITEM", "ITEMS"], "QUANTITY": ["QUANTITY", "QTY"], "UNIT_PRICE": ["UNIT PRICE", "RATE", "PRICE"], "AMOUNT": ["AMOUNT", "LINE TOTAL", "TOTAL"]}
+TABLE_ENDS = ["SUBTOTAL", "SUB TOTAL", "NET TOTAL", "GRAND TOTAL", "AMOUNT DUE", "BALANCE DUE"]
+
+
+def table_headers(lines: DataFrame) -> DataFrame:
+    """(document_id, page, col, line_order, x, bottom): each page's best row of headers, three columns at least.
+
+    Around each description header the nearest header of every other column, within twice the larger height, counts;
+    more columns win, then DESCRIPTION before ITEM, then the smaller sum of distances, then reading order.
+    """
+    aliases = lines.sparkSession.createDataFrame([(c, "".join(x for x in a if x.isalnum())) for c, names in COLUMNS.items() for a in names], "col string, key string")
+    named = lines.withColumn("key", comparison_key(F.col("text"))).join(F.broadcast(aliases), "key")
+    heads = named.filter("col = 'DESCRIPTION'").select(*L.PAGE, F.col("line_order").alias("_d"), F.col("y").alias("_y"), F.col("h").alias("_h"), F.when(F.col("key") == "DESCRIPTION", 0).otherwise(1).alias("_p"))
+    gap = F.abs(F.col("y") + F.col("h") / 2 - F.col("_y") - F.col("_h") / 2)
+    close = named.filter("col <> 'DESCRIPTION'").join(heads, L.PAGE).withColumn("_gap", gap).filter(F.col("_gap") <= 2 * F.greatest("_h", "h", F.lit(25)))
+    nearest = close.withColumn("_r", F.row_number().over(Window.partitionBy(*L.PAGE, "_d", "col").orderBy("_gap", "line_order"))).filter("_r = 1")
+    rows = nearest.groupBy(*L.PAGE, "_d", "_p").agg(F.count("*").alias("_n"), F.sum("_gap").alias("_sum"))
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*L.PAGE).orderBy(F.desc("_n"), "_p", "_sum", "_d"))).filter("_r = 1 and _n >= 2").select(*L.PAGE, "_d")
+    place = [*L.PAGE, "col", "line_order", "x", "bottom"]
+    own = named.filter("col = 'DESCRIPTION'").join(best, [*L.PAGE]).filter(F.col("line_order") == F.col("_d")).select(*place)
+    return own.union(nearest.join(best, [*L.PAGE, "_d"]).select(*place))
+
+
+def table_items(lines: DataFrame, most: int = 500) -> DataFrame:
+    """Line items between a page's table headers and its first end marker (or the page's bottom): one typed row for each row of boxes."""
+    key = comparison_key(F.col("text"))
+    ends = key.rlike("|".join("".join(x for x in m if x.isalnum()) for m in TABLE_ENDS))
+    heads = table_headers(lines)
+    below = lines.join(heads.groupBy(*L.PAGE).agg(F.max("bottom").alias("_top")), L.PAGE)
+    page = Window.partitionBy(*L.PAGE)
+    below = below.withColumn("_end", F.coalesce(F.min(F.when(ends & (F.col("y") > F.col("_top")), F.col("y"))).over(page), F.max("bottom").over(page)))
+    centre = F.col("y") + F.col("h") / 2
+    body = below.filter((centre > F.col("_top")) & (centre < F.col("_end")) & (key != "") & ~ends)
+    rows = L.row_clusters(body.withColumn("box_id", F.col("line_order").cast("long"))).withColumnRenamed("box_id", "line_order")
+    cells = L.assign_columns(body.join(rows, [*L.PAGE, "line_order"]).select(*L.PAGE, "row", "line_order", "x", "text", "confidence"), heads.select(*L.PAGE, "col", F.col("x").alias("hx")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "line_order", "text"))), lambda t: t["text"]), " ")
+    joined = cells.groupBy(*L.PAGE, "row", "col").agg(text.alias("text"), F.round(F.avg("confidence"), 2).alias("confidence"))
+    return line_items(joined, most)
+
+
 def line_items(cells: DataFrame, most: int = 500) -> DataFrame:
-    """cells (document_id, page, row, col, text) with two or more filled columns as line items, numbered on their page."""
-    from pyspark.sql import Window
-
-    columns = ["DESCRIPTION", "QUANTITY", "PRICE", "AMOUNT"]
-    wide = cells.groupBy("document_id", "page", "row").agg(*[F.max(F.when(F.col("col") == c, F.col("text"))).alias(c.lower()) for c in columns])
-    filled = sum(F.col(c.lower()).isNotNull().cast("int") for c in columns)
-    missing = F.array_compact(F.array(*[F.when(F.col(c.lower()).isNull(), F.lit(f"LINE_{c}_MISSING")) for c in columns]))
-    w = Window.partitionBy("document_id").orderBy("page", "row")
-    on_page = F.row_number().over(Window.partitionBy("document_id", "page").orderBy("row"))
-    return wide.filter(filled >= 2).withColumn("reasons", missing).withColumn("line_number", on_page).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    """cells (document_id, page, row, col, text, confidence) with two or more values as typed line items, numbered in their document.
+
+    A document keeps its first most items; where it has more, truncated says so on each.
+    """
+    cell = {c: F.max(F.when(F.col("col") == c, F.col("text"))) for c in COLUMNS}
+    wide = cells.groupBy("document_id", "page", "row").agg(*[v.alias(f"_{c}") for c, v in cell.items()], F.min("confidence").alias("_least"))
+    values = {"description": F.nullif(clean_text(F.col("_DESCRIPTION")), F.lit("")), "quantity": parse_decimal(F.col("_QUANTITY")).cast("decimal(18,4)"), "unit_price": money(F.col("_UNIT_PRICE")), "amount": money(F.col("_AMOUNT"))}
+    typed = wide.select("document_id", "page", "row", "_least", *[v.alias(n) for n, v in values.items()])
+    filled = sum(F.col(c).isNotNull().cast("int") for c in values)
+    reasons = F.array_compact(F.array(F.when(F.col("description").isNull(), "LINE_DESCRIPTION_MISSING"), F.when(F.col("quantity").isNull(), "LINE_QUANTITY_MISSING"), F.when(F.col("unit_price").isNull() & F.col("amount").isNull(), "LINE_FINANCIAL_VALUE_MISSING"), F.when(F.col("_least") < 70, "LOW_FIELD_CONFIDENCE")))
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "row"))
+    count = F.count("*").over(Window.partitionBy("document_id"))
+    numbered = typed.filter(filled >= 2).withColumn("reasons", reasons).withColumn("line_number", number).withColumn("truncated", count > most)
+    return numbered.filter(F.col("line_number") <= most).drop("_least")

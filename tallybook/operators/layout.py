@@ -10,21 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import clean_text, comparison_key, party_name
-from tallybook.functions.values import compatible, standalone_money
+from tallybook.functions.values import compatible, fits, kinds, standalone_money
 
 PAGE = ["document_id", "page"]
-# Labels by field, with keys that must not occur in the same line.
+# The labels of each field, keys that must not occur in the same line, keys that show another field's label.
 LABELS = {
-    "INVOICE_NUMBER": ["INVOICE NUMBER", "INVOICE NO", "INVOICE NUM"],
+    "INVOICE_NUMBER": ["INVOICE NUMBER", "INVOICE NO", "INVOICE NUM", "INVOICE #"],
     "INVOICE_DATE": ["INVOICE DATE", "ISSUE DATE", "DATE"],
-    "DUE_DATE": ["DUE DATE", "PAYMENT DUE"],
-    "PURCHASE_ORDER_NUMBER": ["PURCHASE ORDER", "PO NUMBER", "PO NO", "ORDER ID"],
-    "SUBTOTAL": ["SUBTOTAL", "SUB TOTAL"],
+    "DUE_DATE": ["DUE DATE", "EXPIRY DATE", "PAYMENT DUE"],
+    "PURCHASE_ORDER_NUMBER": ["PURCHASE ORDER NUMBER", "PURCHASE ORDER", "PO NUMBER", "PO NO", "ORDER ID"],
+    "SUBTOTAL": ["SUB TOTAL", "SUBTOTAL", "NET TOTAL"],
     "TAX_AMOUNT": ["TAX", "VAT", "GST"],
-    "TOTAL_AMOUNT": ["GRAND TOTAL", "TOTAL DUE", "TOTAL"],
-    "SUPPLIER_NAME": ["SUPPLIER", "VENDOR", "SELLER"],
+    "DISCOUNT_AMOUNT": ["DISCOUNT"],
+    "SHIPPING_AMOUNT": ["SHIPPING", "DELIVERY", "FREIGHT"],
+    "TOTAL_AMOUNT": ["GRAND TOTAL", "AMOUNT DUE", "BALANCE DUE", "INVOICE TOTAL", "TOTAL"],
+    "SUPPLIER_NAME": ["SUPPLIER", "VENDOR", "FROM", "SOLD BY"],
+    "CUSTOMER_NAME": ["BILL TO", "CUSTOMER", "BUYER"],
+    "SUPPLIER_ADDRESS": ["SUPPLIER ADDRESS", "VENDOR ADDRESS", "FROM ADDRESS"],
+    "CUSTOMER_ADDRESS": ["BILLING ADDRESS", "CUSTOMER ADDRESS", "SHIP TO"],
+    "PAYMENT_TERMS": ["PAYMENT TERMS", "TERMS"],
 }
-NOT_WITH = {"TOTAL_AMOUNT": "SUBTOTAL|NETTOTAL", "INVOICE_DATE": "DUE|EXPIRY", "TAX_AMOUNT": "GSTIN"}
+NOT_WITH = {"TOTAL_AMOUNT": "SUBTOTAL|NETTOTAL", "INVOICE_DATE": "DUEDATE|EXPIRYDATE|PAYMENTDUE", "TAX_AMOUNT": "GSTIN"}
+OTHER_LABELS = ["ORDERID", "PONUMBER", "PURCHASEORDER", "INVOICENUMBER", "INVOICEDATE", "ISSUEDATE", "DUEDATE", "EXPIRYDATE", "SUBTOTAL", "GRANDTOTAL", "BALANCEDUE", "AMOUNTDUE"]
+TYPED = ["INVOICE_NUMBER", "INVOICE_DATE", "DUE_DATE", "PURCHASE_ORDER_NUMBER", "SUBTOTAL", "TAX_AMOUNT", "DISCOUNT_AMOUNT", "SHIPPING_AMOUNT", "TOTAL_AMOUNT"]
+PARTIES, ADDRESSES = ["SUPPLIER_NAME", "CUSTOMER_NAME"], ["SUPPLIER_ADDRESS", "CUSTOMER_ADDRESS"]
 
 
 def tokens_from_arrays(ocr: DataFrame) -> DataFrame:
@@ -84,7 +93,7 @@ def label_lines(lines: DataFrame) -> DataFrame:
 def inline_values(labelled: DataFrame) -> DataFrame:
     """The rest of a line behind its label, where it fits the field."""
     at = F.instr(F.upper("text"), F.col("label"))
-    rest = F.trim(F.regexp_replace(F.substring("text", at + F.length("label"), F.lit(1000)), r"^[\s:#=\-–]+", ""))
+    rest = F.trim(F.regexp_replace(F.substring("text", at + F.length("label"), F.length("text")), r"^[\s:#=\-–—]+", ""))
     return labelled.filter(at > 0).withColumn("value", rest).filter(compatible(F.col("field"), F.col("value")))
 
 
@@ -94,13 +103,12 @@ def _centre(y: str, h: str) -> Column:
 
 def values_beside(labelled: DataFrame, lines: DataFrame, top: int = 1) -> DataFrame:
     """Compatible lines in a label's row or close in reading order, nearest first."""
-    o = lines.select(*[F.col(c).alias(f"v_{c}") for c in ("document_id", "page", "line_order", "text", "x", "y", "w", "h")])
+    o = lines.select(*[F.col(c).alias(f"v_{c}") for c in ("document_id", "page", "line_order", "text", "x", "y", "w", "h")], kinds(F.col("text")).alias("v_kinds"))
     j = labelled.join(o, (F.col("document_id") == F.col("v_document_id")) & (F.col("page") == F.col("v_page")) & (F.col("line_order") != F.col("v_line_order")))
     dy = F.abs(_centre("v_y", "v_h") - _centre("y", "h"))
     same_row = dy <= 1.5 * F.greatest("h", "v_h", F.lit(20))
     near = F.abs(F.col("v_line_order") - F.col("line_order")) <= 2
-    money = F.when(F.col("field").isin("SUBTOTAL", "TAX_AMOUNT", "TOTAL_AMOUNT"), standalone_money(F.col("v_text"))).otherwise(F.lit(True))
-    j = j.withColumn("same_row", same_row).withColumn("_dy", dy).filter((F.col("same_row") | near) & money & compatible(F.col("field"), F.col("v_text")))
+    j = j.withColumn("same_row", same_row).withColumn("_dy", dy).filter((F.col("same_row") | near) & fits(F.col("field"), F.col("v_kinds"), alone=True)).drop("v_kinds")
     after = F.col("v_line_order") > F.col("line_order")
     w = Window.partitionBy(*PAGE, "line_order", "field").orderBy(F.desc(after), F.desc("same_row"), "_dy", F.abs(F.col("v_x") - F.col("x")), F.abs(F.col("v_line_order") - F.col("line_order")), "v_line_order")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
@@ -127,7 +135,8 @@ def totals_without_value(lines: DataFrame) -> DataFrame:
     return bare.join(o, close, "left_anti").select(*PAGE)
 
 
-METHODS = {"LABEL_VALUE": 5, "SPATIAL": 4, "LABELLED_TEXT": 3, "HEADER": 2}
+# How much each way of finding a value counts.
+METHODS = {"LABEL_VALUE": 5, "TABLE_STRUCTURE": 4, "REGULAR_EXPRESSION": 3, "SPATIAL_PROXIMITY": 2, "COMBINED_RULES": 1}
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
@@ -139,7 +148,7 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     """
     dedupe = Window.partitionBy("document_id", "field", "value").orderBy(F.desc("confidence"), "seq")
     one = candidates.withColumn("_r", F.row_number().over(dedupe)).filter("_r = 1")
-    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("method")), F.lit(1))
+    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("method")), F.lit(0))
     w = Window.partitionBy("document_id", "field").orderBy(F.desc("priority"), F.desc("confidence"), "seq")
     ranked = one.withColumn("priority", priority).withColumn("_p", F.lead("priority").over(w)).withColumn("_c", F.lead("confidence").over(w)).withColumn("rank", F.row_number().over(w))
     ambiguous = F.coalesce((F.col("_p") == F.col("priority")) & (F.col("confidence") - F.col("_c") < 10), F.lit(False))
@@ -187,8 +196,13 @@ def header_parties(lines: DataFrame) -> DataFrame:
     return j.withColumn("field", side).withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("document_id", "field", "text")
 
 
+def shows_label(text: Column) -> Column:
+    """Whether a text holds the label of another field."""
+    return comparison_key(text).rlike("|".join(OTHER_LABELS))
+
+
 def combined_address(below: DataFrame, lines_kept: int = 4) -> DataFrame:
-    """Up to four lines below an address label joined by commas in (y, x) order; below: values_below's rows."""
-    kept = below.filter(F.col("rank") <= lines_kept)
+    """Up to four lines below an address label, less those with another label, joined by commas in (y, x) order; below: values_below's rows."""
+    kept = below.filter((F.col("rank") <= lines_kept) & ~shows_label(F.col("v_text")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v_y", "v_x", "v_text"))), lambda t: t["v_text"]), ", ")
     return kept.groupBy(*PAGE, "line_order", "field").agg(joined.alias("address"))

@@ -130,5 +130,5 @@ def extracted_review(spark, sf):
 
 @query("select po_key as document_id, least(count(*), 500)::bigint as n from po_lines group by po_key", "po_lines")
 def line_items(spark, sf):
-    cells = _sql(spark, sf, "select po_key as document_id, 1 as page, line_number as row, 'DESCRIPTION' as col, 'x' as text from {po_lines} union all select po_key, 1, line_number, 'AMOUNT', '1' from {po_lines} union all select po_key, 2, line_number, 'PRICE', '1' from {po_lines}", "po_lines")
+    cells = _sql(spark, sf, "select po_key as document_id, 1 as page, line_number as row, 'DESCRIPTION' as col, 'x' as text, 90.0D as confidence from {po_lines} union all select po_key, 1, line_number, 'AMOUNT', '1', 90.0D from {po_lines} union all select po_key, 2, line_number, 'UNIT_PRICE', '1', 90.0D from {po_lines}", "po_lines")
     return X.line_items(cells).groupBy("document_id").agg(F.count("*").alias("n"))

@@ -92,7 +92,7 @@ def page_confidence(spark, sf):
     return L.page_confidence(_tokens(spark, sf)).select("document_id", "n_tokens", "n_low", "n_chars", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("""select document_id, unnest(['INVOICE_NUMBER', 'INVOICE_DATE', 'DUE_DATE', 'SUBTOTAL', 'TOTAL_AMOUNT']) as field, unnest([3, 4, 6, 8, 10])::integer as line_order from invoices""", "invoices")
+@query("""select document_id, unnest(['CUSTOMER_NAME', 'INVOICE_NUMBER', 'INVOICE_NUMBER', 'INVOICE_DATE', 'DUE_DATE', 'SUBTOTAL', 'TOTAL_AMOUNT']) as field, unnest([2, 3, 4, 4, 6, 8, 10])::integer as line_order from invoices""", "invoices")
 def label_lines(spark, sf):
     return L.label_lines(_lines(spark, sf)).select("document_id", "field", "line_order")
 
@@ -138,11 +138,11 @@ def row_clusters(spark, sf):
     return L.row_clusters(_lines(spark, sf).withColumn("box_id", F.col("line_order").cast("long")))
 
 
-_CANDIDATES = """select user_id as document_id, event_type as field, cast(event_id % 7 as string) as value, case event_id % 4 when 0 then 'LABEL_VALUE' when 1 then 'SPATIAL' when 2 then 'LABELLED_TEXT' else 'HEADER' end as method,
+_CANDIDATES = """select user_id as document_id, event_type as field, cast(event_id % 7 as string) as value, case event_id % 4 when 0 then 'LABEL_VALUE' when 1 then 'REGULAR_EXPRESSION' when 2 then 'SPATIAL_PROXIMITY' else 'COMBINED_RULES' end as method,
   event_id * 37 % 101 as confidence, event_id as seq from {events}"""
 
 
-@query(f"""with c as ({_CANDIDATES.replace('{events}', 'events')}), o as (select *, case method when 'LABEL_VALUE' then 5 when 'SPATIAL' then 4 when 'LABELLED_TEXT' then 3 else 2 end as p from c qualify row_number() over (partition by document_id, field, value order by confidence desc, seq) = 1),
+@query(f"""with c as ({_CANDIDATES.replace('{events}', 'events')}), o as (select *, case method when 'LABEL_VALUE' then 5 when 'REGULAR_EXPRESSION' then 3 when 'SPATIAL_PROXIMITY' then 2 else 1 end as p from c qualify row_number() over (partition by document_id, field, value order by confidence desc, seq) = 1),
   r as (select *, lead(p) over w as np, lead(confidence) over w as nc, row_number() over w as k from o window w as (partition by document_id, field order by p desc, confidence desc, seq))
   select document_id, field, value, method, confidence, coalesce(np = p and confidence - nc < 10, false) as ambiguous from r where k = 1""")
 def best_candidate(spark, sf):
