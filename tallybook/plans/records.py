@@ -428,19 +428,23 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append", key:
     return spark.read.parquet(f"{at}/rows")
 
 
-@query("select min(event_id) as first_id, user_id, event_type from events group by user_id, event_type")
+@query("select user_id, event_type, 1::bigint as kept, 1::bigint as known from events group by user_id, event_type")
 def stream_dedupe(spark, sf):
+    """What the stream let through: one row of each key, and how many of those the events hold."""
     stream = J.stream_of(spark, f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     kept = _drained(spark, J.deduplicated(stream, ["user_id", "event_type"], "ts", "36500 days"))
-    firsts = kept.select("user_id", "event_type")
-    return _read(spark, sf, "events").join(firsts, ["user_id", "event_type"], "left_semi").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
+    held = _read(spark, sf, "events").select("event_id", F.col("user_id").alias("_u"), F.col("event_type").alias("_t"))
+    j = kept.join(held, "event_id", "left")
+    return j.groupBy("user_id", "event_type").agg(F.count("*").alias("kept"), F.count_if((F.col("user_id") == F.col("_u")) & (F.col("event_type") == F.col("_t"))).alias("known"))
 
 
-@query(None)
+@query("""select job_id, f.s as status, n as events, f.n as illegal from (select job_id, count(*) as n, list_reduce(list_prepend({'s': '', 'n': 0::bigint}, list({'s': status, 'n': 0::bigint} order by seq)),
+  lambda a, b: case when (a.s = '' and b.s = 'QUEUED') or (a.s = 'QUEUED' and b.s in ('RUNNING', 'FAILED')) or (a.s = 'RUNNING' and b.s in ('RUNNING', 'SUCCEEDED', 'FAILED')) then {'s': b.s, 'n': a.n} else {'s': a.s, 'n': a.n + 1} end) as f from jobs group by job_id) t""", "jobs")
 def stream_job_state(spark, sf):
+    """Events in order through the stateful fold; the last state of each job."""
     at = _scratch(spark)
-    derived(spark, sf, "jobs").select("job_id", "seq", "status").write.parquet(f"{at}/events")
-    return _drained(spark, J.job_states(J.stream_of(spark, f"{at}/events", 100)), "update").drop("batch")
+    derived(spark, sf, "jobs").select("job_id", "seq", "status").repartition("job_id").sortWithinPartitions("job_id", "seq").write.parquet(f"{at}/events")
+    return J.last_states(_drained(spark, J.job_states(J.stream_of(spark, f"{at}/events", 1)), "update"))
 
 
 @query("select event_type, count(*) as n from events group by event_type")

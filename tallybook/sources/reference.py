@@ -31,9 +31,9 @@ def suppliers(spark: SparkSession, path: str) -> DataFrame:
     return _defaults(spark.read.schema(SUPPLIER).json(path, multiLine=True))
 
 
-def orders(spark: SparkSession, path: str) -> DataFrame:
-    """Orders with typed amounts; what does not parse is null."""
-    raw = _defaults(spark.read.schema(ORDER).json(path, multiLine=True))
+def orders(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Orders with typed amounts; what does not parse is null. One JSON array a file, or one object a line."""
+    raw = _defaults(spark.read.schema(ORDER).json(path, multiLine=multi_line))
     return raw.withColumn("total_amount", F.col("total_amount").try_cast("decimal(18,2)")).withColumn("order_date", F.col("order_date").try_cast("date"))
 
 

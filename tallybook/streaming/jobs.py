@@ -48,19 +48,27 @@ def counts(stream: DataFrame, column: str) -> DataFrame:
     return stream.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def intake(spark: SparkSession, path: str, pattern: str = "*", files_per_trigger: int = 100) -> DataFrame:
+    """Files of a folder and those that arrive later, one row each: path, modificationTime, length, content, sha256."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return files.withColumn("sha256", F.sha2("content", 256))
+
+
 def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", key: list[str] | None = None) -> None:
-    """Run what is there through a Parquet sink; with a key, only rows whose key the target lacks are added."""
+    """Run what is there through a Parquet sink. With a key, the stream's state lets the first row of each key through,
+    so the target is never read; a repeated batch replaces its own folder, so nothing is added twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.dropDuplicates(key) if key else batch
-        spark = batch.sparkSession
-        path = f"{target}/batch={batch_id}"  # a repeated batch replaces its own folder
-        if key and batch_id:
-            held = spark.read.parquet(target).filter(F.col("batch") != batch_id).select(*key).distinct()
-            out = out.join(held, key, "left_anti")
-        out.write.mode("overwrite").parquet(path)
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    out = stream.dropDuplicates(key) if key else stream
+    out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def last_states(updates: DataFrame, key: str = "job_id") -> DataFrame:
+    """Of rows that an update-mode stream has drained (with batch), the last of each key."""
+    return updates.groupBy(key).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in (key, "batch")]), "batch").alias("_s")).select(key, "_s.*")
 
 
 def stale_claims(cases: DataFrame, now: str, seconds: int = 1800) -> DataFrame:
