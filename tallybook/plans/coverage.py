@@ -138,6 +138,13 @@ def line_table_headers(spark, sf):
     return X.table_headers(_table_pages(spark, sf)).select("document_id", "col")
 
 
+def _table_pages(spark, sf):
+    """The pages' lines, written once."""
+    at = _scratch(spark)
+    _sql(spark, sf, _PAGE, "po", "po_lines").withColumn("confidence", F.lit(90.0)).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 # ---- stored payloads ------------------------------------------------------------------------
 
 
