@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import clean_text, comparison_key, party_name
+from tallybook.functions.text import clean_text, comparison_key, let, party_name
 from tallybook.functions.values import compatible, fits, kinds, standalone_money
 
 PAGE = ["document_id", "page"]
@@ -177,11 +177,10 @@ def row_clusters(boxes: DataFrame) -> DataFrame:
 
     def step(rows: Column, b: Column) -> Column:
         gaps = F.transform(rows, lambda r: F.abs(r["s"] / r["n"] - b["c"]))
-        least = F.array_min(gaps)
-        at = F.when(least <= F.col("reach"), F.array_position(gaps, least) - 1).otherwise(F.lit(-1))
-        grown = F.transform(rows, lambda r, i: F.when(i == at, F.struct((r["n"] + 1).cast("int").alias("n"), (r["s"] + b["c"]).alias("s"), F.concat(r["ids"], F.array(b["box_id"].cast("bigint"))).alias("ids"))).otherwise(r))
+        nearest = let(gaps, lambda g: F.when(F.array_min(g) <= F.col("reach"), F.array_position(g, F.array_min(g)) - 1).otherwise(F.lit(-1)))
+        grow = lambda at: F.transform(rows, lambda r, i: F.when(i == at, F.struct((r["n"] + 1).cast("int").alias("n"), (r["s"] + b["c"]).alias("s"), F.concat(r["ids"], F.array(b["box_id"].cast("bigint"))).alias("ids"))).otherwise(r))
         fresh = F.concat(rows, F.array(F.struct(F.lit(1).alias("n"), b["c"].alias("s"), F.array(b["box_id"].cast("bigint")).alias("ids"))))
-        return F.when(at >= 0, grown).otherwise(fresh).cast(kind)
+        return let(nearest, lambda at: F.when(at >= 0, grow(at)).otherwise(fresh)).cast(kind)
 
     rows = page.select(*PAGE, F.posexplode(F.aggregate("b", F.array().cast(kind), step)).alias("row", "r"))
     return rows.select(*PAGE, "row", F.explode("r.ids").alias("box_id"))

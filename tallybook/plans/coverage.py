@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallybook.functions import text as T
@@ -122,9 +120,9 @@ _PAGE = """
     union all select po_key, line_number * 10 + 1, cast(qty as string), 305, 101 + 40 * line_number from {po_lines} where part_key % 7 <> 0
     union all select po_key, line_number * 10 + 2, concat('$', cast(unit_price as string)), 455, 99 + 40 * line_number from {po_lines} where po_key % 3 <> 2
     union all select po_key, line_number * 10 + 3, concat('$', cast(line_total as string)), 605, 100 + 40 * line_number from {po_lines} where po_key % 5 <> 0
-    union all select po_key, 5000, 'SUBTOTAL', 450, 600 from {po} where po_key % 2 = 0
-    union all select po_key, 5001, concat('$', cast(total_amount as string)), 605, 601 from {po} where po_key % 2 = 0
-    union all select po_key, 5002, 'Thank you', 50, 700 from {po}) t"""
+    union all select po_key, 5000, 'SUBTOTAL', 450, 1600 from {po} where po_key % 2 = 0
+    union all select po_key, 5001, concat('$', cast(total_amount as string)), 605, 1601 from {po} where po_key % 2 = 0
+    union all select po_key, 5002, 'Thank you', 50, 1700 from {po}) t"""
 
 
 @query("""select po_key as document_id, row_number() over (partition by po_key order by line_number) as line_number, 'Part ' || part_key as description, case when part_key % 7 <> 0 then qty::double end as quantity, case when po_key % 3 <> 2 then unit_price::double end as unit_price, case when po_key % 5 <> 0 then line_total::double end as amount,

@@ -11,7 +11,7 @@ from tallybook.functions import text as T
 from tallybook.functions import values as V
 from tallybook.operators import matching as M
 from tallybook.operators import validation as C
-from tallybook.sources.derived import derived, with_tables
+from tallybook.sources.derived import derived, held_tables, with_tables
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 QUERIES: dict = {}
@@ -28,9 +28,9 @@ def query(sql: str | None = None, *tables: str):
     return register
 
 
-def _inv(spark: SparkSession, sf: str) -> DataFrame:
+def _inv(spark: SparkSession, sf: str, get=None) -> DataFrame:
     """Invoices as the checks read them."""
-    i = derived(spark, sf, "invoices")
+    i = get("invoices") if get else derived(spark, sf, "invoices")
     bad, due = F.col("invoice_date_bad"), F.col("due_present")
     days = F.when(F.col("due_early"), F.lit(-5)).otherwise(F.lit(30))
     signal = F.array_compact(F.array(F.upper("currency"), F.when(F.col("symbol") == "$", "USD")))
@@ -310,15 +310,22 @@ _ORDERS = _RESOLVED + """,
  pos as (select document_id, case when po_reference is null then 'NOT_REFERENCED' when po_key is null then 'NOT_FOUND' when po_reason is not null then 'CONFLICT' else 'MATCHED' end as po_status, po_key, po_reason from por)"""
 
 
-def _resolved(spark: SparkSession, sf: str) -> tuple:
-    inv = _inv(spark, sf)
+def _tables(spark: SparkSession, sf: str):
+    """Derived tables by name; the lines and heads of orders, which all others come from, are worked out and written once."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    held = held_tables(spark, sf, f"{base}/orders-{uuid.uuid4()}", "po_lines", "po")
+    return lambda name: derived(spark, sf, name, held)
+
+
+def _resolved(spark: SparkSession, sf: str, get) -> tuple:
+    inv = _inv(spark, sf, get)
     sup = M.resolve_suppliers(inv, _suppliers(spark, sf))
-    return inv, sup, M.resolve_orders(inv, derived(spark, sf, "po"), sup)
+    return inv, sup, M.resolve_orders(inv, get("po"), sup)
 
 
 @query(f"{_ORDERS} select * from pos", "invoices", "suppliers", "po")
 def po_resolution(spark, sf):
-    return _resolved(spark, sf)[2]
+    return _resolved(spark, sf, _tables(spark, sf))[2]
 
 
 _RECEIPTS = _ORDERS + """,
@@ -332,13 +339,14 @@ _RECEIPTS = _ORDERS + """,
 _FIVE = ("invoices", "suppliers", "po", "gr_lines", "inv_lines")
 
 
-def _receipts(spark: SparkSession, sf: str, orders: DataFrame) -> DataFrame:
-    return M.resolve_receipts(orders, *(derived(spark, sf, t) for t in ("po", "po_lines", "gr", "gr_lines")))
+def _receipts(get, orders: DataFrame) -> DataFrame:
+    return M.resolve_receipts(orders, *(get(t) for t in ("po", "po_lines", "gr", "gr_lines")))
 
 
 @query(f"{_RECEIPTS} select * from grr", *_FIVE)
 def gr_resolution(spark, sf):
-    return _receipts(spark, sf, _resolved(spark, sf)[2])
+    get = _tables(spark, sf)
+    return _receipts(get, _resolved(spark, sf, get)[2])
 
 
 @query("select l.po_key, po_line_number as line_number, sum(quantity_received)::double as received from gr_lines l join gr on gr.goods_receipt_id = l.goods_receipt_id where gr.state = 'POSTED' group by all", "gr_lines")
@@ -346,13 +354,13 @@ def received_qty(spark, sf):
     return M.received_quantities(derived(spark, sf, "gr"), derived(spark, sf, "gr_lines")).withColumn("received", F.col("received").cast("double"))
 
 
-def _line_inputs(spark: SparkSession, sf: str, orders: DataFrame, receipts: DataFrame) -> DataFrame:
+def _line_inputs(spark: SparkSession, sf: str, get, orders: DataFrame, receipts: DataFrame) -> DataFrame:
     """Lines of invoices with a matched order, beside the order line that each is assigned to."""
     matched = orders.filter("po_status = 'MATCHED'").select("document_id", "po_key").join(receipts.select("document_id", "match_mode"), "document_id")
     part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part_key"), F.col("p_name").alias("po_description"))
-    po_lines = derived(spark, sf, "po_lines").join(part, "part_key").select("po_key", F.col("line_number").alias("po_line_number"), F.col("qty").cast("decimal(18,4)").alias("po_qty"), F.col("unit_price").alias("po_price"), F.col("line_total").alias("po_total"), "po_description")
-    got = M.received_quantities(derived(spark, sf, "gr"), derived(spark, sf, "gr_lines")).withColumnRenamed("line_number", "po_line_number")
-    lines = derived(spark, sf, "inv_lines").join(matched, "document_id")
+    po_lines = get("po_lines").join(part, "part_key").select("po_key", F.col("line_number").alias("po_line_number"), F.col("qty").cast("decimal(18,4)").alias("po_qty"), F.col("unit_price").alias("po_price"), F.col("line_total").alias("po_total"), "po_description")
+    got = M.received_quantities(get("gr"), get("gr_lines")).withColumnRenamed("line_number", "po_line_number")
+    lines = get("inv_lines").join(matched, "document_id")
     taken = M.match_lines(lines, po_lines).select("document_id", "line_number", "po_line_number", "score")
     return lines.join(taken, ["document_id", "line_number"], "left").join(po_lines.drop("po_description"), ["po_key", "po_line_number"], "left").join(got, ["po_key", "po_line_number"], "left")
 
@@ -371,14 +379,15 @@ _LINES = _RECEIPTS + """,
     case unit_price_status when 'REVIEW_REQUIRED' then 'INVOICE_LINE_UNIT_PRICE_MISSING' when 'FAILED' then 'UNIT_PRICE_VARIANCE_EXCEEDS_TOLERANCE' end, case line_total_status when 'REVIEW_REQUIRED' then 'INVOICE_LINE_TOTAL_MISSING' when 'FAILED' then 'LINE_TOTAL_VARIANCE_EXCEEDS_TOLERANCE' end) as reasons from ev)"""
 
 
-def _line_rows(spark: SparkSession, sf: str, orders: DataFrame, receipts: DataFrame) -> DataFrame:
-    return M.evaluate_lines(_line_inputs(spark, sf, orders, receipts))
+def _line_rows(spark: SparkSession, sf: str, get, orders: DataFrame, receipts: DataFrame) -> DataFrame:
+    return M.evaluate_lines(_line_inputs(spark, sf, get, orders, receipts))
 
 
 @query(f"{_LINES} select * exclude (match_mode) from ev2", *_FIVE)
 def line_eval(spark, sf):
-    orders = _resolved(spark, sf)[2]
-    rows = _line_rows(spark, sf, orders, _receipts(spark, sf, orders)).withColumn("reasons", F.array_join("reasons", "|"))
+    get = _tables(spark, sf)
+    orders = _resolved(spark, sf, get)[2]
+    rows = _line_rows(spark, sf, get, orders, _receipts(get, orders)).withColumn("reasons", F.array_join("reasons", "|"))
     return rows.select(*[F.col(c).cast("double").alias(c) if c.endswith("variance") else F.col(c) for c in rows.columns])
 
 
@@ -414,9 +423,10 @@ _SUMMARY = _LINES + """,
 
 
 def match_all(spark: SparkSession, sf: str) -> DataFrame:
-    inv, sup, orders = _resolved(spark, sf)
-    receipts = _receipts(spark, sf, orders)
-    return M.summarise_matches(inv, sup, orders, receipts, _line_rows(spark, sf, orders, receipts), derived(spark, sf, "po"))
+    get = _tables(spark, sf)
+    inv, sup, orders = _resolved(spark, sf, get)
+    receipts = _receipts(get, orders)
+    return M.summarise_matches(inv, sup, orders, receipts, _line_rows(spark, sf, get, orders, receipts), get("po"))
 
 
 @query(f"{_SUMMARY} select * exclude (inherited_review), case when failed + review > 0 or inherited_review then 'REVIEW_REQUIRED' else 'SUCCEEDED' end as overall from fin", *_FIVE)

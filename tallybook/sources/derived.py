@@ -71,13 +71,13 @@ TABLES = {
 }
 
 
-def _needed(names: list[str]) -> list[str]:
+def _needed(names: list[str], held: set[str] = frozenset()) -> list[str]:
     import re
 
     order, todo = [], list(names)
     while todo:
         n = todo.pop()
-        if n not in order:
+        if n not in order and n not in held:
             order.append(n)
             todo += [t for t in TABLES if t != n and re.search(rf"\b(from|join) {t}\b", TABLES[n])]
     return [t for t in TABLES if t in order]
@@ -94,10 +94,24 @@ def with_tables(sql: str, *names: str) -> str:
     return f"with {text}\n{sql}" if not sql.lstrip().startswith("with ") else f"with {text},\n{sql.lstrip()[5:]}"
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame."""
+def derived(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived table as a DataFrame; tables in held are read from there instead of being worked out again."""
     import re
 
-    text = ",\n".join(f"{n} as ({TABLES[n]})" for n in _needed([name]))
-    used = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    return spark.sql(f"with {text} select * from {name}", **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    held = held or {}
+    if name in held:
+        return held[name]
+    reads = re.compile(r"\b(from|join) (" + "|".join(held) + r")\b") if held else None
+    text = {t: reads.sub(r"\1 {\2}", TABLES[t]) if reads else TABLES[t] for t in _needed([name], set(held)) if t not in held}
+    used = sorted(set(re.findall(r"\{(\w+)\}", " ".join(text.values()))))
+    frames = {t: held[t] if t in held else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    return spark.sql("with " + ",\n".join(f"{n} as ({t})" for n, t in text.items()) + f" select * from {name}", **frames)
+
+
+def held_tables(spark: SparkSession, sf_dir: str, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Derived tables written once to a folder that all executors share, each from those before it."""
+    held: dict[str, DataFrame] = {}
+    for n in names:
+        derived(spark, sf_dir, n, held).write.parquet(f"{folder}/{n}")
+        held[n] = spark.read.parquet(f"{folder}/{n}")
+    return held
