@@ -45,7 +45,13 @@ def _replaced(text: Column, one: dict[str, str], other: dict[str, str]) -> Colum
     return F.when(F.char_length(text) == F.octet_length(text), text).when(text.rlike("[" + "".join(several) + "]"), long).otherwise(short)
 
 
-NFKC, NFKD_BARE = _forms("NFKC", True), _forms("NFKD", False)
+def _plain(one: dict[str, str], other: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Of the forms what matters where only letters and digits of ASCII count."""
+    kept = {k: "".join(x if x.isascii() else " " for x in v) for k, v in other.items()}
+    return {k: v for k, v in one.items() if v.isascii() and v.isalnum()}, {k: kept[k] for k, v in other.items() if not v or any(x.isalnum() for x in kept[k])}
+
+
+NFKC, NFKD_BARE = _forms("NFKC", True), _plain(*_forms("NFKD", False))
 #: Letters with a mark behind them, as one character.
 COMPOSED = {unicodedata.normalize("NFD", chr(p)): chr(p) for lo, hi in BLOCKS for p in range(lo, hi) if unicodedata.normalize("NFD", chr(p)) != chr(p) and unicodedata.normalize("NFC", chr(p)) == chr(p)}
 
@@ -59,7 +65,7 @@ def compatible_form(text: Column) -> Column:
 
 
 def without_marks(text: Column) -> Column:
-    """Accents and other marks dropped, compatible characters as plain letters and digits."""
+    """Accents and other marks dropped, compatible characters as plain letters and digits; other characters stay."""
     return _replaced(text, *NFKD_BARE)
 
 

@@ -310,22 +310,35 @@ _ORDERS = _RESOLVED + """,
  pos as (select document_id, case when po_reference is null then 'NOT_REFERENCED' when po_key is null then 'NOT_FOUND' when po_reason is not null then 'CONFLICT' else 'MATCHED' end as po_status, po_key, po_reason from por)"""
 
 
-def _tables(spark: SparkSession, sf: str):
-    """Derived tables by name; the lines and heads of orders, which all others come from, are worked out and written once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    held = held_tables(spark, sf, f"{base}/orders-{uuid.uuid4()}", "po_lines", "po")
-    return lambda name: derived(spark, sf, name, held)
+class _Tables:
+    """Derived tables by name, and results kept in a folder that all executors share.
 
+    The lines and heads of orders, which all other tables come from, are worked
+    out once, and so is each resolution, however many joins read it.
+    """
 
-def _resolved(spark: SparkSession, sf: str, get) -> tuple:
+    def __init__(self, spark: SparkSession, sf: str):
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        self.spark, self.sf, self.folder = spark, sf, f"{base}/orders-{uuid.uuid4()}"
+        self.held = held_tables(spark, sf, self.folder, "po_lines", "po")
+
+    def __call__(self, name: str) -> DataFrame:
+        return derived(self.spark, self.sf, name, self.held)
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+
+def _resolved(spark: SparkSession, sf: str, get: _Tables) -> tuple:
     inv = _inv(spark, sf, get)
-    sup = M.resolve_suppliers(inv, _suppliers(spark, sf))
-    return inv, sup, M.resolve_orders(inv, get("po"), sup)
+    sup = get.keep("supplier_results", M.resolve_suppliers(inv, _suppliers(spark, sf)))
+    return inv, sup, get.keep("order_results", M.resolve_orders(inv, get("po"), sup))
 
 
 @query(f"{_ORDERS} select * from pos", "invoices", "suppliers", "po")
 def po_resolution(spark, sf):
-    return _resolved(spark, sf, _tables(spark, sf))[2]
+    return _resolved(spark, sf, _Tables(spark, sf))[2]
 
 
 _RECEIPTS = _ORDERS + """,
@@ -339,13 +352,13 @@ _RECEIPTS = _ORDERS + """,
 _FIVE = ("invoices", "suppliers", "po", "gr_lines", "inv_lines")
 
 
-def _receipts(get, orders: DataFrame) -> DataFrame:
-    return M.resolve_receipts(orders, *(get(t) for t in ("po", "po_lines", "gr", "gr_lines")))
+def _receipts(get: _Tables, orders: DataFrame) -> DataFrame:
+    return get.keep("receipt_results", M.resolve_receipts(orders, *(get(t) for t in ("po", "po_lines", "gr", "gr_lines"))))
 
 
 @query(f"{_RECEIPTS} select * from grr", *_FIVE)
 def gr_resolution(spark, sf):
-    get = _tables(spark, sf)
+    get = _Tables(spark, sf)
     return _receipts(get, _resolved(spark, sf, get)[2])
 
 
@@ -385,7 +398,7 @@ def _line_rows(spark: SparkSession, sf: str, get, orders: DataFrame, receipts: D
 
 @query(f"{_LINES} select * exclude (match_mode) from ev2", *_FIVE)
 def line_eval(spark, sf):
-    get = _tables(spark, sf)
+    get = _Tables(spark, sf)
     orders = _resolved(spark, sf, get)[2]
     rows = _line_rows(spark, sf, get, orders, _receipts(get, orders)).withColumn("reasons", F.array_join("reasons", "|"))
     return rows.select(*[F.col(c).cast("double").alias(c) if c.endswith("variance") else F.col(c) for c in rows.columns])
@@ -423,7 +436,7 @@ _SUMMARY = _LINES + """,
 
 
 def match_all(spark: SparkSession, sf: str) -> DataFrame:
-    get = _tables(spark, sf)
+    get = _Tables(spark, sf)
     inv, sup, orders = _resolved(spark, sf, get)
     receipts = _receipts(get, orders)
     return M.summarise_matches(inv, sup, orders, receipts, _line_rows(spark, sf, get, orders, receipts), get("po"))
