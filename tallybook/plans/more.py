@@ -41,10 +41,11 @@ def check_projection(spark, sf):
     return rows.groupBy(F.col("key").alias("user_id"), "status").agg(F.count("*").alias("n"))
 
 
-@query("""select event_id, case event_id % 4 when 0 then null when 1 then 'UNKNOWN_KEY' when 2 then 'MISSING_KEY' else 'NOT_AN_OBJECT' end as fault from events""")
+@query("""select event_id, case event_id % 7 when 1 then 'UNKNOWN_KEY' when 2 then 'MISSING_KEY' when 3 then 'NOT_AN_OBJECT' when 4 then 'ROUND_TRIP' when 5 then 'ROUND_TRIP' end as fault from events""")
 def strict_json(spark, sf):
-    k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
-    text = F.when(k == 0, F.concat(F.lit('{"a":"'), i, F.lit('","b":null}'))).when(k == 1, F.lit('{"a":"1","c":2}')).when(k == 2, F.lit('{"b":"1"}')).otherwise(F.lit("[1]"))
+    k, i = F.col("event_id") % 7, F.col("event_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('{"a":"'), i, F.lit('","b":null}'))).when(k == 1, F.lit('{"a":"1","c":2}')).when(k == 2, F.lit('{"b":"1"}')).when(k == 3, F.lit("[1]"))
+    text = text.when(k == 4, F.concat(F.lit('{"a":'), i, F.lit(',"b":null}'))).when(k == 5, F.lit('{"a":true,"b":"x"}')).otherwise(F.concat(F.lit('{ "b": "x  y", "a": "'), i, F.lit('" }')))
     return P.strict_json(_read(spark, sf, "events").select("event_id", text.alias("payload")), "payload", "a string, b string", ["a"]).select("event_id", "fault")
 
 

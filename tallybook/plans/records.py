@@ -357,7 +357,7 @@ def restart_stage(spark, sf):
     return _read(spark, sf, "orders").select("o_orderkey", R.restart_stage(F.when(k == 0, "APPROVED").otherwise("CORRECTED"), f).alias("stage"))
 
 
-@query(None)
+@query(f"""{finance._REASONS} select document_id, 'OPEN' as status, 3 as priority, case when reasons = '' then 'INHERITED_REVIEW_REQUIRED' else reasons end as reasons from rs join fin using (document_id) where (failed + review > 0 or inherited_review) and document_id % 5 <> 0""", *finance._FIVE)
 def new_review_cases(spark, sf):
     results = finance.match_all(spark, sf)
     existing = results.filter("document_id % 5 = 0").select("document_id")

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tallybook.plans import finance, more, records
+from tallybook.plans import coverage, finance, more, records
 
-ALL = {**finance.QUERIES, **records.QUERIES, **more.QUERIES}
-SQL = {**finance.ORACLES, **records.ORACLES, **more.ORACLES}
+ALL = {**finance.QUERIES, **records.QUERIES, **more.QUERIES, **coverage.QUERIES}
+SQL = {**finance.ORACLES, **records.ORACLES, **more.ORACLES, **coverage.ORACLES}
 
 
 @pytest.fixture(scope="module")
