@@ -144,7 +144,7 @@ def with_ids(docs: DataFrame, text_col: str, model_file: str | None, finish: Cal
     def ask(row: dict) -> Iterator[pa.RecordBatch]:
         _, _, split = texts_in(row)
         group = int(row["digest"][:8], 16) % groups
-        asked = [(group * shards + s, row["digest"], zstandard.compress(BETWEEN.join(c), 3)) for s, c in dealt(distinct(split), shards).items()]
+        asked = [(group * shards + s, row["digest"], zstandard.compress(BETWEEN.join(c), 6)) for s, c in dealt(distinct(split), shards).items()]
         if asked:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*asked), _ASKED.types)], schema=_ASKED)
 
