@@ -251,12 +251,14 @@ def test_piece_codec(docs, monkeypatch, block_bytes):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == sp.decode(ids) and r.n_tokens == len(ids)
 
 
-def test_masked_lm_prefers_the_corpus_order(spark):
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_masked_lm_prefers_the_corpus_order(spark, monkeypatch, tasks):
+    monkeypatch.setattr(op1_masked_lm, "FAN", 2)  # five tasks meet in three levels
     r = random.Random(4)
     cycle = [f"w{i}" for i in range(12)]
     text = lambda: " ".join(cycle[(k + s) % 12] for s in [r.randrange(12)] for k in range(200))
     rows = [(i, text(), None, None, None, None) for i in range(60)] + [(100, " ".join(r.choice(cycle) for _ in range(200)), None, None, None, None), (101, None, None, None, None, None)]
-    got = {x.doc_id: x for x in op1_masked_lm.masked_lm_scores(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    got = {x.doc_id: x for x in op1_masked_lm.masked_lm_scores(spark.createDataFrame(rows, SCHEMA).repartition(tasks)).collect()}
     assert got[101].log_likelihood == 0.0 and got[101].n_tokens == 0
     assert max(got[i].log_likelihood for i in range(60)) < 0
     assert min(got[i].log_likelihood for i in range(60)) > got[100].log_likelihood
