@@ -64,12 +64,11 @@ def test_greedy_assignment(spark):
 def test_suppliers(spark):
     s = spark.createDataFrame([("SUP-001", "Snyder, Hammond and Anderson", ["Snyder Hammond & Anderson"], True, True), ("SUP-003", "SuperStore", ["Super Store"], True, True), ("SUP-004", "Legacy Office Supplies", None, False, False)], "supplier_id string, legal_name string, aliases array<string>, active boolean, approved boolean")
     inv = spark.createDataFrame([("a", "SNYDER HAMMOND AND ANDERSON"), ("b", "Super Stor"), ("c", "Legacy Office Supplies"), ("d", None), ("e", "zzz"), ("f", "...")], "document_id string, supplier_name string")
-    for exact in (False, True):
-        got = {r.document_id: (r.supplier_status, r.supplier_id, r.supplier_reason) for r in M.resolve_suppliers(inv, s, exact).collect()}
-        assert got["a"] == ("MATCHED", "SUP-001", None)
-        assert got["b"] == ("MATCHED", "SUP-003", None)
-        assert got["c"] == ("CONFLICT", "SUP-004", "SUPPLIER_INACTIVE")
-        assert got["d"][2] == "SUPPLIER_NAME_MISSING" and got["e"][0] == "NOT_FOUND" and got["f"][0] == "NOT_FOUND"
+    got = {r.document_id: (r.supplier_status, r.supplier_id, r.supplier_reason) for r in M.resolve_suppliers(inv, s).collect()}
+    assert got["a"] == ("MATCHED", "SUP-001", None)
+    assert got["b"] == ("MATCHED", "SUP-003", None)
+    assert got["c"] == ("CONFLICT", "SUP-004", "SUPPLIER_INACTIVE")
+    assert got["d"][2] == "SUPPLIER_NAME_MISSING" and got["e"][0] == "NOT_FOUND" and got["f"][0] == "NOT_FOUND"
 
 
 def test_overlay_and_restart(spark):
