@@ -13,6 +13,7 @@ from tallybook.llm.op7_packed_ids import op7_packed_ids
 from tallybook.llm.op8_ngram_jaccard import op8_ngram_jaccard
 from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
+from tallybook.llm.op11_simhash_near import op11_simhash_near
 
 QUERIES = {
     "op1_masked_lm": op1_masked_lm,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_simhash_near": op11_simhash_near,
 }
 
 ORACLES: dict[str, str] = {
