@@ -14,6 +14,7 @@ from tallybook.llm.op8_ngram_jaccard import op8_ngram_jaccard
 from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 from tallybook.llm.op11_simhash_near import op11_simhash_near
+from tallybook.llm.op13_spelling_forms import op13_spelling_forms
 
 QUERIES = {
     "op1_masked_lm": op1_masked_lm,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_simhash_near": op11_simhash_near,
+    "op13_spelling_forms": op13_spelling_forms,
 }
 
 ORACLES: dict[str, str] = {
