@@ -14,6 +14,8 @@ from tallybook.llm.op8_ngram_jaccard import op8_ngram_jaccard
 from tallybook.llm.op9_piece_codec import op9_piece_codec
 from tallybook.llm.op10_substring_dedup import op10_substring_dedup
 from tallybook.llm.op11_simhash_near import op11_simhash_near
+from tallybook.llm.op12_hard_negatives import ORACLE as OP12_SQL
+from tallybook.llm.op12_hard_negatives import op12_hard_negatives
 from tallybook.llm.op13_spelling_forms import op13_spelling_forms
 
 QUERIES = {
@@ -29,9 +31,11 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_simhash_near": op11_simhash_near,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_forms": op13_spelling_forms,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
