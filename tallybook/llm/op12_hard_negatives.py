@@ -336,12 +336,12 @@ def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 with r as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-    list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
   from embeddings
-  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
-    coalesce(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])), 0) as score
+    coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) as score
   from r a join r b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
 p as (select * from (select anchor_id, vec_id as positive_id, score, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5),
 n as (
