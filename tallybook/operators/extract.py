@@ -1,80 +1,171 @@
-"""From evidence lines to typed invoice fields: all candidate streams, one ranking, one row per field."""
+"""From evidence lines to typed invoice fields: all candidate streams with their evidence, one ranking, nested documents."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import clean_text, comparison_key, party_name
-from tallybook.functions.values import CODES, currency_code, money, parse_decimal, typed_value
+from tallybook.functions.text import clean_text, comparison_key, uuid5
+from tallybook.functions.values import CODES, SYMBOLS, currency_code, money, parse_decimal, typed_value
 from tallybook.operators import layout as L
 
-REQUIRED = ["INVOICE_NUMBER", "INVOICE_DATE", "TOTAL_AMOUNT"]
+#: Names the identities of candidates, fields and lines; versions of the rules have identities of their own.
+NAMESPACE, VERSION = uuid.UUID("5f0c2f64-6a0e-5d0c-9d5e-2b8f5a3c7e11"), "fields-1"
+# Fields a document must have, all fields in their order, and the least confidence that needs no review.
+REQUIRED = ["SUPPLIER_NAME", "INVOICE_NUMBER", "INVOICE_DATE", "CURRENCY", "TOTAL_AMOUNT"]
+FIELDS = [
+    "SUPPLIER_NAME", "SUPPLIER_ADDRESS", "CUSTOMER_NAME", "CUSTOMER_ADDRESS", "INVOICE_NUMBER", "INVOICE_DATE", "DUE_DATE", "PURCHASE_ORDER_NUMBER",
+    "CURRENCY", "SUBTOTAL", "TAX_AMOUNT", "DISCOUNT_AMOUNT", "SHIPPING_AMOUNT", "TOTAL_AMOUNT", "PAYMENT_TERMS",
+]
+LEAST_CONFIDENCE = 70
+NO_TEXTS = "array<string>"
 
 
-def _candidate(rows: DataFrame, field: Column, raw: Column, confidence: Column, method: str, seq: Column) -> DataFrame:
-    scored = F.round(F.least(F.greatest(confidence, F.lit(0.0)), F.lit(100.0)), 2)
-    return rows.select("document_id", field.alias("field"), clean_text(raw).alias("raw"), scored.alias("confidence"), F.lit(method).alias("method"), seq.cast("long").alias("seq"))
+def _within(confidence: Column) -> Column:
+    return F.round(F.least(F.greatest(confidence, F.lit(0.0)), F.lit(100.0)), 2)
 
 
-def labelled_texts(labelled: DataFrame, lines: DataFrame) -> list[DataFrame]:
-    """Parties beside or below their label, terms beside it (with no other label), addresses below it."""
-    inline = L.inline_values(labelled.filter(F.col("field").isin(*L.PARTIES, "PAYMENT_TERMS")))
-    inline = inline.filter((F.col("field") != "PAYMENT_TERMS") | ~L.shows_label(F.col("value"))).filter((F.col("field") == "PAYMENT_TERMS") | party_name(F.col("value")))
-    below = L.values_below(labelled.filter(F.col("field").isin(L.PARTIES)), lines).filter(party_name(F.col("v_text")) & ~L.shows_label(F.col("v_text")))
-    addresses = L.combined_address(L.values_below(labelled.filter(F.col("field").isin(L.ADDRESSES)), lines, top=4)).join(labelled.select(*L.PAGE, "line_order", "field", "confidence"), [*L.PAGE, "line_order", "field"])
-    return [
-        _candidate(inline, F.col("field"), F.col("value"), F.col("confidence") + 2, "LABEL_VALUE", F.col("line_order")),
-        _candidate(below, F.col("field"), F.col("v_text"), F.col("confidence") - 2 * (F.col("rank") - 1), "SPATIAL_PROXIMITY", F.col("line_order") * 1000 + F.col("rank")),
-        _candidate(addresses, F.col("field"), F.col("address"), F.col("confidence"), "SPATIAL_PROXIMITY", F.col("line_order")),
-    ]
+def joint_confidence(confidences: Column) -> Column:
+    """Mean over an array of distinct references' confidences, each and all from 0 to 100, two places; 0 without any."""
+    bounded = F.transform(confidences, lambda c: F.least(F.greatest(c.cast("double"), F.lit(0.0)), F.lit(100.0)))
+    return F.when(F.size(confidences) == 0, F.lit(0.0)).otherwise(F.round(F.aggregate(bounded, F.lit(0.0), lambda a, c: a + c) / F.size(confidences), 2))
+
+
+def identity(kind: str, *parts: Column) -> Column:
+    """A reproducible identity from the version, the kind and the parts' texts."""
+    return uuid5(NAMESPACE, F.concat_ws("|", F.lit(VERSION), F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+def _stream(rows: DataFrame, raw: Column, evidence: list[str] | Column, confidences: list[str] | Column, adjust: Column, method: str, rule: str, order: int) -> DataFrame:
+    """Candidates of one way of finding values; seq: place of the stream, then of its label and rank."""
+    ids = F.array(*evidence) if isinstance(evidence, list) else evidence
+    scores = F.array(*confidences) if isinstance(confidences, list) else confidences
+    place = F.col("page") * 10_000_000 + F.col("line_order") * 10 + (F.col("rank") if "rank" in rows.columns else F.lit(0))
+    return rows.select(
+        "document_id", "field", clean_text(raw).alias("raw"), _within(joint_confidence(scores) + adjust).alias("confidence"), F.lit(method).alias("method"), F.lit(rule).alias("rule"),
+        ids.alias("evidence"), (F.lit(order * 10**15) + place).cast("long").alias("seq"),
+    )
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Inline, beside-label, labelled-text, currency and header candidates with typed values; confidence is adjusted by kind and rank."""
+    """All candidates of all fields: (document_id, field, raw, value, value_type, confidence, method, rule, evidence, seq, candidate_id).
+
+    Typed fields: inline and beside their label. Parties: inline and below; terms: inline, with no other label inside;
+    addresses: inline and up to four lines below. Currency: any line that shows a code or symbol. Parties without a
+    label: the page's header. Each names the lines it rests on; its confidence is their mean, adjusted by kind and rank.
+    """
+    lines = L.with_references(lines)
     labelled = L.label_lines(lines)
-    typed_labels = labelled.filter(F.col("field").isin(L.TYPED))
-    inline = L.inline_values(typed_labels)
-    beside = L.values_beside(typed_labels, lines, top=3)
-    code = currency_code(F.col("text"))
-    marked = lines.filter(code.isNotNull())
-    explicit = F.upper("text").rlike("(?<![A-Z])(" + "|".join(CODES) + ")(?![A-Z])")
-    totalish = F.upper("text").contains("TOTAL")
+    of = lambda *fields: labelled.filter(F.col("field").isin(*fields))
+    inline = L.inline_values(labelled).filter((F.col("field") != "PAYMENT_TERMS") | ~L.shows_label(F.col("value")))
+    beside = L.values_beside(of(*L.TYPED), lines)
+    below = L.values_below(of(*L.PARTIES), lines)
+    address = L.combined_address(L.values_below(of(*L.ADDRESSES), lines, top=4)).join(of(*L.ADDRESSES).select(*L.PAGE, "line_order", "field", "confidence", "reference_id"), [*L.PAGE, "line_order", "field"])
+    parts = lambda own, name: F.concat(F.array(own), F.transform("parts", lambda t: t[name]))
+    codes, signs = "|".join(CODES), "".join(x for x, _ in SYMBOLS if len(x) == 1)
+    shown = lines.filter(F.col("text").rlike(f"(?i)(?:{codes})|[{signs}]")).withColumn("field", F.lit("CURRENCY")).filter(currency_code(F.col("text")).isNotNull())
+    by_code = F.when(F.col("text").rlike(f"(?i)(?<![A-Z])(?:{codes})(?![A-Z])"), 6.0).otherwise(0.0)
+    in_total = F.when(comparison_key(F.col("text")).rlike("TOTAL|BALANCEDUE|AMOUNTDUE"), 4.0).otherwise(0.0)
+    later = -2.0 * (F.col("rank") - 1)
+    one, both = (["reference_id"], ["confidence"]), (["reference_id", "v_reference_id"], ["confidence", "v_confidence"])
     streams = [
-        _candidate(inline, F.col("field"), F.col("value"), F.col("confidence") + 2, "LABEL_VALUE", F.col("line_order")),
-        _candidate(beside, F.col("field"), F.col("v_text"), F.col("confidence") - 2 * F.col("rank") + F.when(F.col("same_row"), 1).otherwise(0), "SPATIAL_PROXIMITY", F.col("line_order") * 1000 + F.col("rank")),
-        *labelled_texts(labelled, lines),
-        _candidate(marked, F.lit("CURRENCY"), F.col("text"), F.col("confidence") + F.when(explicit, 6).otherwise(0) + F.when(totalish, 4).otherwise(0), "REGULAR_EXPRESSION", F.col("line_order")),
-        _candidate(L.header_parties(lines).withColumn("confidence", F.lit(75.0)), F.col("field"), F.col("text"), F.col("confidence"), "COMBINED_RULES", F.lit(0)),
+        _stream(inline, F.col("value"), *one, F.lit(2.0), "LABEL_VALUE", "inline", 1),
+        _stream(beside, F.col("v_text"), *both, later + F.when(F.col("same_row"), 1.0).otherwise(0.0), "SPATIAL_PROXIMITY", "beside", 2),
+        _stream(below, F.col("v_text"), *both, later, "SPATIAL_PROXIMITY", "below", 3),
+        _stream(address, F.col("address"), parts("reference_id", "v_reference_id"), parts("confidence", "v_confidence"), F.lit(0.0), "COMBINED_RULES", "address", 4),
+        _stream(shown, F.col("text"), *one, by_code + in_total, "REGULAR_EXPRESSION", "currency", 5),
+        _stream(L.header_parties(lines), F.col("text"), *one, F.lit(-8.0), "COMBINED_RULES", "header", 6),
     ]
     typed = reduce(DataFrame.unionByName, streams).withColumn("v", typed_value(F.col("field"), F.col("raw")))
     value = F.coalesce(F.col("v.text_value"), F.col("v.decimal_value").cast("string"), F.col("v.date_value").cast("string"))
-    return typed.withColumn("value", value).filter("value is not null").select("document_id", "field", "value", "method", "confidence", "seq", F.col("v.value_type").alias("value_type"))
+    named = typed.withColumn("value", value).filter("value is not null and value <> ''").withColumn("value_type", F.col("v.value_type")).drop("v")
+    return named.withColumn("candidate_id", identity("candidate", F.col("document_id"), F.col("field"), F.col("value"), F.array_join("evidence", "|"), F.col("rule")))
 
 
 def fields(lines: DataFrame) -> DataFrame:
-    """(document_id, field, value, method, confidence, ambiguous, review, reasons): one row per document and field."""
-    best = L.best_candidates(candidates(lines))
-    reasons = F.array_compact(F.array(F.when(F.col("confidence") < 70, "LOW_FIELD_CONFIDENCE"), F.when(F.col("ambiguous"), "AMBIGUOUS_CANDIDATES")))
-    return best.withColumn("reasons", reasons).withColumn("review", F.size("reasons") > 0)
+    """One row per document and field: the best candidate with its evidence, the number of values found, notes and reasons."""
+    best = L.best_candidates(candidates(lines), tie="candidate_id")
+    reasons = F.array_compact(F.array(F.when(F.col("confidence") < LEAST_CONFIDENCE, "LOW_FIELD_CONFIDENCE"), F.when(F.col("ambiguous"), "AMBIGUOUS_FIELD_CANDIDATES")))
+    notes = F.array_compact(F.array(
+        F.concat(F.lit("Selected by rule "), F.col("rule"), F.lit(".")), F.concat(F.lit("Candidate count: "), F.col("n_candidates").cast("string"), F.lit(".")), F.when(F.col("ambiguous"), "Other values lie within the ambiguity margin."),
+    ))
+    out = best.withColumn("reasons", reasons).withColumn("notes", notes).withColumn("review", F.size("reasons") > 0)
+    return out.withColumn("field_id", identity("field", F.col("document_id"), F.col("field"), F.col("candidate_id"))).drop("seq")
+
+
+def _in_order(field: str) -> Column:
+    return F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col(field))
+
+
+#: What a document holds of each of its fields and of each of its lines.
+FIELD = ["field", "raw", "value", "value_type", "confidence", "method", "evidence", "candidate_id", "notes", "reasons"]
+ITEM = ["line_number", "page", "description", "quantity", "unit_price", "amount", "confidence", "evidence", "reasons"]
+
+
+def _field_reasons(found: DataFrame) -> DataFrame:
+    """(document_id, fields, field_reasons): each document's fields in their order, and what they give rise to."""
+    listed = F.array_sort(F.collect_list(F.struct(_in_order("field").alias("_place"), *FIELD)))
+    g = found.groupBy("document_id").agg(listed.alias("_listed"))
+    wanted = F.array(*[F.lit(f) for f in FIELDS])
+    missing = lambda f: F.array(F.concat(F.lit("REQUIRED_FIELD_MISSING:"), f))
+    own = lambda f: F.flatten(F.transform(F.filter("_listed", lambda x: x["field"] == f), lambda x: F.transform(x["reasons"], lambda r: F.concat(f, F.lit(":"), r))))
+    given = F.flatten(F.transform(wanted, lambda f: F.when(F.exists("_listed", lambda x: x["field"] == f), own(f)).when(f.isin(REQUIRED), missing(f)).otherwise(F.array().cast(NO_TEXTS))))
+    return g.select("document_id", F.transform("_listed", lambda x: x.dropFields("_place")).alias("fields"), given.alias("field_reasons"))
+
+
+def normalise(inputs: DataFrame, lines: DataFrame, pages: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """One row per document of inputs: status, review, reasons, errors, fields and line items, each with its evidence.
+
+    inputs: document_id, ocr_status and fault (null where the recognised document is the one asked for); pages:
+    document_id, page, reasons; items: table_items' rows (by default those of the lines). Reasons in order: fields
+    (missing ones by name), the status that recognition left, its pages, no line items, lines. A document with a fault
+    is FAILED and holds nothing; one without any line lacks every required field.
+    """
+    held = _field_reasons(fields(lines))
+    items = table_items(lines) if items is None else items
+    currency = F.try_element_at(F.filter("fields", lambda x: x["field"] == "CURRENCY")["value"], F.lit(1))
+    numbered = items.withColumn("line_number", (F.col("row") + 1).cast("int"))  # its row on the page, as the reasons name it
+    listed = numbered.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", F.struct(*ITEM).alias("item")))).alias("_items"))
+    out = inputs.join(held, "document_id", "left").join(listed, "document_id", "left")
+    if pages is not None:
+        said = F.explode_outer(F.col("reasons"))
+        flagged = pages.select("document_id", "page", said.alias("_said")).filter("_said is not null").groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct("page", "_said"))).alias("_flags"))
+        out = out.join(flagged.select("document_id", F.transform("_flags", lambda x: F.concat(F.lit("OCR_PAGE_"), x["page"].cast("string"), F.lit(":"), x["_said"])).alias("_pages")), "document_id", "left")
+    none = F.array().cast(NO_TEXTS)
+    ocr = F.when(F.col("ocr_status") != "SUCCEEDED", F.array(F.concat(F.lit("INHERITED_OCR_STATUS:"), F.col("ocr_status")))).otherwise(none)
+    every = F.array(*[F.lit(f"REQUIRED_FIELD_MISSING:{f}") for f in REQUIRED])
+    by_line = F.flatten(F.transform("_items", lambda x: F.transform(x["item"]["reasons"], lambda r: F.concat(F.lit("LINE_"), x["item"]["line_number"].cast("string"), F.lit(":"), r))))
+    of_lines = F.when(F.size(F.coalesce(F.col("_items"), F.array())) == 0, F.array(F.lit("NO_LINE_ITEMS_EXTRACTED"))).otherwise(by_line)
+    of_pages = F.coalesce("_pages", none) if pages is not None else none
+    reasons = F.array_distinct(F.concat(F.coalesce("field_reasons", every), ocr, of_pages, of_lines))
+    failed = F.col("fault").isNotNull()
+    reasons = F.when(failed, F.array(F.lit("NORMALIZATION_FAILED"))).otherwise(reasons)
+    status = F.when(failed, "FAILED").when(F.size("reasons") > 0, "REVIEW_REQUIRED").otherwise("SUCCEEDED")
+    lines_of = F.transform("_items", lambda x: x["item"].withField("currency", F.col("_currency")))
+    done = out.withColumn("reasons", reasons).withColumn("_currency", currency)
+    return done.select(
+        "document_id", status.alias("status"), (F.size("reasons") > 0).alias("review"), "reasons", F.when(failed, F.array("fault")).otherwise(none).alias("errors"),
+        F.when(~failed, F.col("fields")).alias("fields"), F.when(~failed, lines_of).alias("line_items"),
+    )
 
 
 def documents(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """One row per document: wide values with presence flags, review and reasons (fields first, then missing ones, then pages)."""
-    f = fields(lines)
-    wide = f.groupBy("document_id").agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n.lower()) for n in L.LABELS], *[F.coalesce(F.bool_or(F.col("field") == n), F.lit(False)).alias(f"{n.lower()}_present") for n in L.LABELS], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("field", "reasons"))), lambda x: F.transform(x["reasons"], lambda r: F.concat(x["field"], F.lit(":"), r)))).alias("_own"))
-    missing = L.missing_fields(f, lines.select("document_id").distinct(), REQUIRED).groupBy("document_id").agg(F.array_sort(F.collect_list("reason")).alias("_missing"))
-    out = lines.select("document_id").distinct().join(wide, "document_id", "left").join(missing, "document_id", "left")
-    inherited = F.array().cast("array<string>")
+    """One row per document with lines: a column and a presence flag for each field, review and reasons (fields in their order, then pages)."""
+    found = fields(lines)
+    wide = found.groupBy("document_id").agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n.lower()) for n in FIELDS])
+    kept = [c for c in wide.columns if c != "document_id"]
+    out = lines.select("document_id").distinct().join(wide, "document_id", "left").join(_field_reasons(found).drop("fields"), "document_id", "left")
+    none = F.array().cast(NO_TEXTS)
+    inherited = none
     if pages is not None:
         flagged = pages.filter("status <> 'SUCCEEDED'").groupBy("document_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("OCR_PAGE_"), F.col("page").cast("string")))).alias("_pages"))
-        out, inherited = out.join(flagged, "document_id", "left"), F.col("_pages")
-    none = F.array().cast("array<string>")
-    reasons = F.array_distinct(F.concat(F.coalesce("_own", none), F.coalesce("_missing", none), F.coalesce(inherited, none)))
-    kept = [c for c in wide.columns if not c.startswith("_") and c != "document_id"]
-    return out.select("document_id", *kept, (F.size(reasons) > 0).alias("review"), reasons.alias("reasons"))
+        out, inherited = out.join(flagged, "document_id", "left"), F.coalesce("_pages", none)
+    every = F.array(*[F.lit(f"REQUIRED_FIELD_MISSING:{f}") for f in REQUIRED])
+    reasons = F.array_distinct(F.concat(F.coalesce("field_reasons", every), inherited))
+    return out.select("document_id", *kept, *[F.col(c).isNotNull().alias(f"{c}_present") for c in kept], (F.size(reasons) > 0).alias("review"), reasons.alias("reasons"))
 
 
 def combined_confidence(references: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,10 +216,12 @@ def table_items(lines: DataFrame, most: int = 500) -> DataFrame:
     centre = F.col("y") + F.col("h") / 2
     body = below.filter((centre > F.col("_top")) & (centre < F.col("_end")) & (key != "") & ~ends)
     rows = L.row_clusters(body.withColumn("box_id", F.col("line_order").cast("long"))).withColumnRenamed("box_id", "line_order")
-    cells = L.assign_columns(body.join(rows, [*L.PAGE, "line_order"]).select(*L.PAGE, "row", "line_order", "x", "text", "confidence"), heads.select(*L.PAGE, "col", F.col("x").alias("hx")))
+    boxed = L.with_references(body.join(rows, [*L.PAGE, "line_order"]))
+    whole = boxed.groupBy(*L.PAGE, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_order", "reference_id"))), lambda x: x["reference_id"]).alias("evidence"), joint_confidence(F.collect_list("confidence")).alias("confidence"))
+    cells = L.assign_columns(boxed.select(*L.PAGE, "row", "line_order", "x", "text", "confidence"), heads.select(*L.PAGE, "col", F.col("x").alias("hx")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "line_order", "text"))), lambda t: t["text"]), " ")
     joined = cells.groupBy(*L.PAGE, "row", "col").agg(text.alias("text"), F.round(F.avg("confidence"), 2).alias("confidence"))
-    return line_items(joined, most)
+    return line_items(joined, most).join(whole, [*L.PAGE, "row"])
 
 
 def line_items(cells: DataFrame, most: int = 500) -> DataFrame:

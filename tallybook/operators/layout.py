@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import clean_text, comparison_key, let, party_name
-from tallybook.functions.values import compatible, fits, kinds, standalone_money
+from tallybook.functions.values import compatible, standalone_money, suits
 
 PAGE = ["document_id", "page"]
 # The labels of each field, keys that must not occur in the same line, keys that show another field's label.
@@ -33,6 +33,13 @@ LABELS = {
 NOT_WITH = {"TOTAL_AMOUNT": "SUBTOTAL|NETTOTAL", "INVOICE_DATE": "DUEDATE|EXPIRYDATE|PAYMENTDUE", "TAX_AMOUNT": "GSTIN"}
 OTHER_LABELS = ["ORDERID", "PONUMBER", "PURCHASEORDER", "INVOICENUMBER", "INVOICEDATE", "ISSUEDATE", "DUEDATE", "EXPIRYDATE", "SUBTOTAL", "GRANDTOTAL", "BALANCEDUE", "AMOUNTDUE"]
 TYPED = ["INVOICE_NUMBER", "INVOICE_DATE", "DUE_DATE", "PURCHASE_ORDER_NUMBER", "SUBTOTAL", "TAX_AMOUNT", "DISCOUNT_AMOUNT", "SHIPPING_AMOUNT", "TOTAL_AMOUNT"]
+#: Fields whose value must stand in the label's row; the others may be near it in reading order.
+STRICT = [f for f in TYPED if f != "PURCHASE_ORDER_NUMBER"]
+# Keys of lines that are no value below a label, and of those that begin the customer's part of a page.
+NOT_BELOW = ["BILLTO", "SHIPTO", "SUPPLIER", "VENDOR", "CUSTOMER", "BUYER", "PAYMENTTERMS"]
+CUSTOMER_MARKS = ["BILLTO", "CUSTOMER", "BUYER"]
+#: Height of the bands in which boxes of a page meet.
+BAND = 64
 PARTIES, ADDRESSES = ["SUPPLIER_NAME", "CUSTOMER_NAME"], ["SUPPLIER_ADDRESS", "CUSTOMER_ADDRESS"]
 
 
@@ -76,52 +83,91 @@ def page_confidence(tokens: DataFrame, low: float = 60, mean: float = 70, ratio:
     return g.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") > 0, "REVIEW_REQUIRED").otherwise("SUCCEEDED"))
 
 
-def label_table(spark) -> DataFrame:
-    """(field, label, label_key, not_with): a fixed table of some thirty rows, broadcast in joins."""
-    rows = [(f, l, "".join(c for c in l if c.isalnum()), NOT_WITH.get(f, "$^")) for f, ls in LABELS.items() for l in ls]
-    return spark.createDataFrame(rows, "field string, label string, label_key string, not_with string")
+def _bare(label: str) -> str:
+    return "".join(x for x in label if x.isalnum())
+
+
+def with_references(lines: DataFrame) -> DataFrame:
+    """lines with reference_id, the evidence they are: their own, else page and place."""
+    own = F.concat(F.lit("P"), F.col("page").cast("string"), F.lit("-L"), F.col("line_order").cast("string"))
+    return lines if "reference_id" in lines.columns else lines.withColumn("reference_id", own)
 
 
 def label_lines(lines: DataFrame) -> DataFrame:
-    """Lines that hold a field's label: the longest label of each field."""
-    t = F.broadcast(label_table(lines.sparkSession))
-    j = lines.withColumn("key", comparison_key(F.col("text"))).join(t, F.expr("contains(key, label_key) and not key rlike not_with"))
-    w = Window.partitionBy(*PAGE, "line_order", "field").orderBy(F.desc(F.length("label_key")), "label")
-    return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "not_with")
+    """Lines that hold a field's label, once for each such field."""
+    key = F.col("key")
+    fields = []
+    for field, labels in LABELS.items():
+        found = key.rlike("|".join(_bare(x) for x in labels))
+        fields.append(F.when(found & ~key.rlike(NOT_WITH[field]) if field in NOT_WITH else found, field))
+    return lines.withColumn("key", comparison_key(F.col("text"))).filter(key != "").withColumn("field", F.explode(F.array_compact(F.array(*fields))))
 
 
 def inline_values(labelled: DataFrame) -> DataFrame:
-    """The rest of a line behind its label, where it fits the field."""
-    at = F.instr(F.upper("text"), F.col("label"))
-    rest = F.trim(F.regexp_replace(F.substring("text", at + F.length("label"), F.length("text")), r"^[\s:#=\-–—]+", ""))
-    return labelled.filter(at > 0).withColumn("value", rest).filter(compatible(F.col("field"), F.col("value")))
+    """The rest of a line behind its label (the longest that leaves one), where it fits the field."""
+    text, rest = clean_text(F.col("text")), F.lit(None).cast("string")
+    for field, labels in LABELS.items():
+        behind = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is){label}(.*)$", 1), r"^[\s:#=\-–—]+", "")), F.lit("")) for label in sorted(labels, key=len, reverse=True)]
+        rest = F.when(F.col("field") == field, F.coalesce(*behind)).otherwise(rest)
+    return labelled.withColumn("value", rest).filter(F.col("value").isNotNull()).filter(compatible(F.col("field"), F.col("value")))
 
 
 def _centre(y: str, h: str) -> Column:
     return F.col(y) + F.col(h) / 2
 
 
-def values_beside(labelled: DataFrame, lines: DataFrame, top: int = 1) -> DataFrame:
-    """Compatible lines in a label's row or close in reading order, nearest first."""
-    o = lines.select(*[F.col(c).alias(f"v_{c}") for c in ("document_id", "page", "line_order", "text", "x", "y", "w", "h")], kinds(F.col("text")).alias("v_kinds"))
-    j = labelled.join(o, (F.col("document_id") == F.col("v_document_id")) & (F.col("page") == F.col("v_page")) & (F.col("line_order") != F.col("v_line_order")))
+def _band(y: Column) -> Column:
+    return F.floor(y / BAND)
+
+
+VALUE = ["document_id", "page", "line_order", "text", "x", "y", "w", "h", "confidence", "reference_id"]
+
+
+def _values(lines: DataFrame) -> DataFrame:
+    return lines.select(*[F.col(c).alias(f"v_{c}") for c in VALUE if c in lines.columns])
+
+
+def values_beside(labelled: DataFrame, lines: DataFrame, top: int | None = None) -> DataFrame:
+    """Lines that may be a label's value: of its row, or (order numbers and texts) at most two places off in reading order.
+
+    A due date stands at 70 % of its label's width or further right. Values that begin behind 60 % of the label come
+    first, then those of the row, then the nearest in height, to the label's right edge, in reading order. A typed field
+    takes one value, others three (or top). Labels and lines meet in bands of the page; what fits is tested afterwards.
+    """
+    values = _values(lines)
+    same_page = (F.col("document_id") == F.col("v_document_id")) & (F.col("page") == F.col("v_page"))
     dy = F.abs(_centre("v_y", "v_h") - _centre("y", "h"))
     same_row = dy <= 1.5 * F.greatest("h", "v_h", F.lit(20))
-    near = F.abs(F.col("v_line_order") - F.col("line_order")) <= 2
-    j = j.withColumn("same_row", same_row).withColumn("_dy", dy).filter((F.col("same_row") | near) & fits(F.col("field"), F.col("v_kinds"), alone=True)).drop("v_kinds")
-    after = F.col("v_line_order") > F.col("line_order")
-    w = Window.partitionBy(*PAGE, "line_order", "field").orderBy(F.desc(after), F.desc("same_row"), "_dy", F.abs(F.col("v_x") - F.col("x")), F.abs(F.col("v_line_order") - F.col("line_order")), "v_line_order")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    other = F.col("line_order") != F.col("v_line_order")
+    tallest = lines.groupBy(*PAGE).agg(F.max("h").alias("_tall"))
+    reach = 1.5 * F.greatest("_tall", F.lit(20))
+    spread = labelled.join(tallest, PAGE).withColumn("_band", F.explode(F.sequence(_band(_centre("y", "h") - reach), _band(_centre("y", "h") + reach)))).drop("_tall")
+    row = spread.join(values.withColumn("_v_band", _band(_centre("v_y", "v_h"))), same_page & (F.col("_band") == F.col("_v_band"))).filter(other & same_row).drop("_band", "_v_band")
+    steps = F.explode(F.array(*[F.col("line_order") + k for k in (-2, -1, 1, 2)]))
+    near = labelled.filter(~F.col("field").isin(STRICT)).withColumn("_at", steps).join(values, same_page & (F.col("_at") == F.col("v_line_order"))).filter(~same_row).drop("_at")
+    both = row.withColumn("same_row", F.lit(True)).unionByName(near.withColumn("same_row", F.lit(False))).withColumn("_dy", dy)
+    right_of = (F.col("field") != "DUE_DATE") | (F.col("v_x") >= F.col("x") + 0.7 * F.col("w"))
+    fit = both.filter(right_of).filter(suits(F.col("field"), F.col("v_text"), alone=True))
+    after = F.col("v_x") >= F.col("x") + 0.6 * F.col("w")
+    w = Window.partitionBy(*PAGE, "line_order", "field").orderBy(F.desc(after), F.desc("same_row"), "_dy", F.abs(F.col("v_x") - F.col("x") - F.col("w")), F.abs(F.col("v_line_order") - F.col("line_order")), "v_line_order")
+    most = F.when(F.col("field").isin(TYPED), 1).otherwise(3) if top is None else F.lit(top)
+    return fit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("_dy")
 
 
 def values_below(labelled: DataFrame, lines: DataFrame, top: int = 3) -> DataFrame:
-    """Lines below a label, within its column and a bounded gap, nearest first."""
-    o = lines.select(*[F.col(c).alias(f"v_{c}") for c in ("document_id", "page", "line_order", "text", "x", "y", "w", "h")])
-    j = labelled.join(o, (F.col("document_id") == F.col("v_document_id")) & (F.col("page") == F.col("v_page")) & (F.col("line_order") != F.col("v_line_order")))
-    gap = F.col("v_y") - F.col("y")
+    """Lines that begin below a label's top, within its column and a bounded gap from its bottom, nearest first.
+
+    Lines without a key and those that begin another party's part are no values. Labels meet lines in bands of the page.
+    """
+    values = _values(lines.withColumn("_key", comparison_key(F.col("text"))).filter((F.col("_key") != "") & ~F.col("_key").rlike("|".join(NOT_BELOW))))
+    deepest = F.col("y") + F.col("h") + F.greatest(F.lit(250), 6 * F.col("h"))
+    spread = labelled.withColumn("_band", F.explode(F.sequence(_band(F.col("y")), _band(deepest))))
+    same_page = (F.col("document_id") == F.col("v_document_id")) & (F.col("page") == F.col("v_page")) & (F.col("_band") == F.col("_v_band"))
+    j = spread.join(values.withColumn("_v_band", _band(F.col("v_y"))), same_page & (F.col("line_order") != F.col("v_line_order"))).drop("_band", "_v_band")
+    gap = F.col("v_y") - F.col("y") - F.col("h")
     dx = F.abs(F.col("v_x") + F.col("v_w") / 2 - F.col("x") - F.col("w") / 2)
-    j = j.filter((gap >= 0) & (gap <= F.greatest(F.lit(250), 6 * F.col("h"))) & (dx <= F.greatest(2.5 * F.col("w"), F.lit(300))))
-    w = Window.partitionBy(*PAGE, "line_order", "field").orderBy(gap, dx, "v_line_order")
+    j = j.filter((F.col("v_y") >= F.col("y")) & (gap <= F.greatest(F.lit(250), 6 * F.col("h"))) & (dx <= F.greatest(2.5 * F.col("w"), F.lit(300))))
+    w = Window.partitionBy(*PAGE, "line_order", "field").orderBy(F.greatest(gap, F.lit(0)), dx, "v_line_order")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
@@ -139,20 +185,21 @@ def totals_without_value(lines: DataFrame) -> DataFrame:
 METHODS = {"LABEL_VALUE": 5, "TABLE_STRUCTURE": 4, "REGULAR_EXPRESSION": 3, "SPATIAL_PROXIMITY": 2, "COMBINED_RULES": 1}
 
 
-def best_candidates(candidates: DataFrame) -> DataFrame:
-    """candidates (document_id, field, value, method, confidence, seq): each field's best, and whether it is ambiguous.
+def best_candidates(candidates: DataFrame, tie: str = "seq", margin: float = 10) -> DataFrame:
+    """candidates (document_id, field, value, method, confidence, seq, ...): each field's best with all its columns.
 
-    Equal values keep their most confident, on ties first, candidate; then method,
-    confidence and seq rank. Ambiguous: the next has the same method rank and
-    another value less than ten points behind.
+    Equal values keep their most confident, on ties first (by seq), candidate; then method, confidence and tie rank.
+    n_candidates counts the values; ambiguous: the next has the same method rank and is less than margin points behind.
     """
     dedupe = Window.partitionBy("document_id", "field", "value").orderBy(F.desc("confidence"), "seq")
-    one = candidates.withColumn("_r", F.row_number().over(dedupe)).filter("_r = 1")
+    one = candidates.withColumn("_r", F.row_number().over(dedupe)).filter("_r = 1").drop("_r")
     priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("method")), F.lit(0))
-    w = Window.partitionBy("document_id", "field").orderBy(F.desc("priority"), F.desc("confidence"), "seq")
+    group = Window.partitionBy("document_id", "field")
+    w = group.orderBy(F.desc("priority"), F.desc("confidence"), tie)
     ranked = one.withColumn("priority", priority).withColumn("_p", F.lead("priority").over(w)).withColumn("_c", F.lead("confidence").over(w)).withColumn("rank", F.row_number().over(w))
-    ambiguous = F.coalesce((F.col("_p") == F.col("priority")) & (F.col("confidence") - F.col("_c") < 10), F.lit(False))
-    return ranked.filter("rank = 1").select("document_id", "field", "value", "method", "confidence", ambiguous.alias("ambiguous"))
+    ranked = ranked.withColumn("n_candidates", F.count("*").over(group))
+    ambiguous = F.coalesce((F.col("_p") == F.col("priority")) & (F.col("confidence") - F.col("_c") < margin), F.lit(False))
+    return ranked.filter("rank = 1").withColumn("ambiguous", ambiguous).drop("rank", "priority", "_p", "_c")
 
 
 def missing_fields(best: DataFrame, documents: DataFrame, required: list[str]) -> DataFrame:
@@ -161,12 +208,21 @@ def missing_fields(best: DataFrame, documents: DataFrame, required: list[str]) -
     return wanted.join(best.filter("value is not null"), ["document_id", "field"], "left_anti").select("document_id", F.concat(F.lit("REQUIRED_FIELD_MISSING:"), F.col("field")).alias("reason"))
 
 
+# Fixed value: the shape of an item's code.
+ITEM_CODE = r"(?i)^[A-Z0-9][A-Z0-9\-/]{1,19}$"
+
+
 def assign_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """cells with the column whose interval (midpoints between header left edges) holds their x."""
-    w = Window.partitionBy(*PAGE).orderBy("hx")
-    spans = headers.withColumn("_lo", (F.col("hx") + F.lag("hx").over(w)) / 2).withColumn("_hi", (F.col("hx") + F.lead("hx").over(w)) / 2)
+    """cells (x, text) with the column whose interval (midpoints between header left edges) holds their x.
+
+    Item codes more than ten pixels left of the description's header belong to no column.
+    """
+    page = Window.partitionBy(*PAGE)
+    w = page.orderBy("hx")
+    spans = headers.withColumn("_lo", (F.col("hx") + F.lag("hx").over(w)) / 2).withColumn("_hi", (F.col("hx") + F.lead("hx").over(w)) / 2).withColumn("_text_x", F.min(F.when(F.col("col") == "DESCRIPTION", F.col("hx"))).over(page))
     inside = (F.col("_lo").isNull() | (F.col("x") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("x") < F.col("_hi")))
-    return cells.join(spans, PAGE).filter(inside).drop("_lo", "_hi", "hx")
+    code = F.coalesce((F.col("x") < F.col("_text_x") - 10) & clean_text(F.col("text")).rlike(ITEM_CODE), F.lit(False))
+    return cells.join(spans, PAGE).filter(inside & ~code).drop("_lo", "_hi", "_text_x", "hx")
 
 
 def row_clusters(boxes: DataFrame) -> DataFrame:
@@ -187,12 +243,15 @@ def row_clusters(boxes: DataFrame) -> DataFrame:
 
 
 def header_parties(lines: DataFrame) -> DataFrame:
-    """First party-like line in the top third of page 1, left half (supplier) and right half (customer)."""
-    size = lines.groupBy(*PAGE).agg(F.max("bottom").alias("_b"), F.max("right").alias("_r"))
-    j = lines.filter("page = 1").join(size, PAGE).filter((F.col("y") <= 0.35 * F.col("_b")) & party_name(F.col("text")))
-    side = F.when(F.col("x") < F.col("_r") / 2, "SUPPLIER_NAME").otherwise("CUSTOMER_NAME")
-    w = Window.partitionBy("document_id", "field").orderBy("y", "x")
-    return j.withColumn("field", side).withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("document_id", "field", "text")
+    """First party-like line of page 1's top 35 %, above the customer's mark: left half (supplier), right half (customer)."""
+    first = lines.filter("page = 1")
+    mark = comparison_key(F.col("text")).rlike("|".join(CUSTOMER_MARKS))
+    size = first.groupBy("document_id").agg(F.max(F.col("y") + F.col("h")).alias("_b"), F.max(F.col("x") + F.col("w")).alias("_r"), F.min(F.when(mark, F.col("y"))).alias("_mark"))
+    above = (F.col("y") <= 0.35 * F.col("_b")) & (F.col("_mark").isNull() | (F.col("y") < F.col("_mark")))
+    j = first.join(size, "document_id").filter(above).filter(party_name(F.col("text")))
+    side = F.when(F.col("x") + F.col("w") / 2 < F.col("_r") / 2, "SUPPLIER_NAME").otherwise("CUSTOMER_NAME")
+    w = Window.partitionBy("document_id", "field").orderBy("y", "x", "line_order")
+    return j.withColumn("field", side).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_b", "_r", "_mark")
 
 
 def shows_label(text: Column) -> Column:
@@ -201,7 +260,10 @@ def shows_label(text: Column) -> Column:
 
 
 def combined_address(below: DataFrame, lines_kept: int = 4) -> DataFrame:
-    """Up to four lines below an address label, less those with another label, joined by commas in (y, x) order; below: values_below's rows."""
+    """Up to four lines below an address label, less those with another label, joined by commas in (y, x) order, with
+    their evidence; below: values_below's rows."""
     kept = below.filter((F.col("rank") <= lines_kept) & ~shows_label(F.col("v_text")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v_y", "v_x", "v_text"))), lambda t: t["v_text"]), ", ")
-    return kept.groupBy(*PAGE, "line_order", "field").agg(joined.alias("address"))
+    columns = [c for c in ("v_y", "v_x", "v_line_order", "v_text", "v_confidence", "v_reference_id") if c in below.columns]
+    ordered = F.array_sort(F.collect_list(F.struct(*columns)))
+    joined = F.array_join(F.transform("_parts", lambda t: F.rtrim(clean_text(t["v_text"]), F.lit(","))), ", ")
+    return kept.groupBy(*PAGE, "line_order", "field").agg(ordered.alias("_parts")).withColumn("address", joined).withColumnRenamed("_parts", "parts")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallybook.operators import extract as X
-from tallybook.operators import layout as L
 from tallybook.operators import results as P
 from tallybook.plans import finance
-from tallybook.plans.records import _lines, _read, _sql, _tokens
+from tallybook.plans.records import _read, _sql
 from tallybook.sources.derived import derived, with_tables
 
 QUERIES: dict = {}
@@ -116,19 +115,6 @@ def decision_application(spark, sf):
     return P.case_state(_read(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.col("ts").alias("decided_at"), F.col("event_id").alias("decision_id"), d.alias("disposition")))
 
 
-@query("select document_id, 'INV-' || document_id as invoice_number, invoice_date::varchar as invoice_date, total::varchar as total_amount from invoices where total is not null", "invoices")
-def extracted_fields(spark, sf):
-    lines = _lines(spark, sf).withColumn("confidence", F.lit(90.0))
-    out = X.documents(lines, L.page_confidence(_tokens(spark, sf)))
-    return out.join(derived(spark, sf, "invoices").filter("total is not null").select("document_id"), "document_id").select("document_id", "invoice_number", "invoice_date", "total_amount")
-
-
-@query(None)
-def extracted_review(spark, sf):
-    lines = _lines(spark, sf).withColumn("confidence", F.lit(90.0))
-    return X.documents(lines).select("document_id", "review", F.array_join("reasons", "|").alias("reasons"))
-
-
 @query("select po_key as document_id, least(count(*), 500)::bigint as n from po_lines group by po_key", "po_lines")
 def line_items(spark, sf):
     cells = _sql(spark, sf, "select po_key as document_id, 1 as page, line_number as row, 'DESCRIPTION' as col, 'x' as text, 90.0D as confidence from {po_lines} union all select po_key, 1, line_number, 'AMOUNT', '1', 90.0D from {po_lines} union all select po_key, 2, line_number, 'UNIT_PRICE', '1', 90.0D from {po_lines}", "po_lines")

@@ -92,47 +92,11 @@ def page_confidence(spark, sf):
     return L.page_confidence(_tokens(spark, sf)).select("document_id", "n_tokens", "n_low", "n_chars", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("""select document_id, unnest(['CUSTOMER_NAME', 'INVOICE_NUMBER', 'INVOICE_NUMBER', 'INVOICE_DATE', 'DUE_DATE', 'SUBTOTAL', 'TOTAL_AMOUNT']) as field, unnest([2, 3, 4, 4, 6, 8, 10])::integer as line_order from invoices""", "invoices")
-def label_lines(spark, sf):
-    return L.label_lines(_lines(spark, sf)).select("document_id", "field", "line_order")
-
-
-@query("select document_id, 'INVOICE_NUMBER' as field, 'INV-' || document_id as value from invoices", "invoices")
-def inline_values(spark, sf):
-    return L.inline_values(L.label_lines(_lines(spark, sf))).filter("field = 'INVOICE_NUMBER'").select("document_id", "field", "value")
-
-
-@query("""select document_id, 'INVOICE_DATE' as field, invoice_date::varchar as value from invoices union all select document_id, 'DUE_DATE', '2030-01-15' from invoices
-  union all select document_id, 'SUBTOTAL', '$' || coalesce(subtotal, 0)::decimal(18,2) from invoices union all select document_id, 'TOTAL_AMOUNT', '$' || coalesce(total, subtotal, 0)::decimal(18,2) from invoices where total is not null""", "invoices")
-def spatial_values(spark, sf):
-    lines = _lines(spark, sf)
-    found = L.values_beside(L.label_lines(lines).filter(F.col("field").isin("INVOICE_DATE", "DUE_DATE", "SUBTOTAL", "TOTAL_AMOUNT")), lines)
-    found = found.join(derived(spark, sf, "invoices").select("document_id", "total"), "document_id").filter("total is not null or field <> 'TOTAL_AMOUNT'")
-    return found.select("document_id", "field", F.col("v_text").alias("value"))
-
-
-@query("select document_id, unnest([1, 2])::integer as rank, unnest([5, 7])::integer as line_order from invoices", "invoices")
-def values_below(spark, sf):
-    lines = _lines(spark, sf)
-    return L.values_below(L.label_lines(lines).filter("field = 'DUE_DATE'"), lines).select("document_id", "rank", F.col("v_line_order").alias("line_order"))
-
-
 @query("select document_id from invoices where total is null", "invoices")
 def total_guard(spark, sf):
     return L.totals_without_value(_lines(spark, sf)).select("document_id")
 
 
-@query("select document_id, 'SUPPLIER_NAME' as field, 'ACME ' || coalesce(supplier_name, 'Stores') as text from invoices union all select document_id, 'CUSTOMER_NAME', 'Buyer Company' from invoices", "invoices")
-def header_party(spark, sf):
-    return L.header_parties(_lines(spark, sf))
-
-
-@query("select document_id, invoice_date::varchar || ', 2030-01-15' as address from invoices", "invoices")
-def address_combine(spark, sf):
-    lines = _lines(spark, sf)
-    return L.combined_address(L.values_below(L.label_lines(lines).filter("field = 'DUE_DATE'"), lines)).select("document_id", "address")
-
-
 @query(None)
 def row_clusters(spark, sf):
     return L.row_clusters(_lines(spark, sf).withColumn("box_id", F.col("line_order").cast("long")))
@@ -146,7 +110,7 @@ _CANDIDATES = """select user_id as document_id, event_type as field, cast(event_
   r as (select *, lead(p) over w as np, lead(confidence) over w as nc, row_number() over w as k from o window w as (partition by document_id, field order by p desc, confidence desc, seq))
   select document_id, field, value, method, confidence, coalesce(np = p and confidence - nc < 10, false) as ambiguous from r where k = 1""")
 def best_candidate(spark, sf):
-    return L.best_candidates(_sql(spark, sf, _CANDIDATES, "events"))
+    return L.best_candidates(_sql(spark, sf, _CANDIDATES, "events")).select("document_id", "field", "value", "method", "confidence", "ambiguous")
 
 
 @query(f"""with c as ({_CANDIDATES.replace('{events}', 'events')}) select document_id, 'REQUIRED_FIELD_MISSING:' || f as reason from (select distinct document_id from c) d, (select unnest(['signup', 'purchase', 'refund']) as f) x where not exists (select 1 from c where c.document_id = d.document_id and c.field = x.f)""")
@@ -155,11 +119,11 @@ def required_fields(spark, sf):
     return L.missing_fields(L.best_candidates(c), c.select("document_id").distinct(), ["signup", "purchase", "refund"])
 
 
-_CELLS = "select po_key as document_id, 1 as page, line_number, part_key * 13 % 800 as x from {po_lines}"
+_CELLS = "select po_key as document_id, 1 as page, line_number, part_key * 13 % 800 as x, case when part_key % 3 = 0 then 'Blue widget' else concat('SKU-', cast(part_key as string)) end as text from {po_lines}"
 _HEADS = "select po_key as document_id, 1 as page, 'DESCRIPTION' as col, 100 + po_key % 10 as hx from {po} union all select po_key, 1, 'QUANTITY', 300 from {po} union all select po_key, 1, 'PRICE', 520 from {po} union all select po_key, 1, 'AMOUNT', 700 from {po}"
 
 
-@query("select po_key as document_id, line_number, x, case when x < (100 + po_key % 10 + 300) / 2 then 'DESCRIPTION' when x < 410 then 'QUANTITY' when x < 610 then 'PRICE' else 'AMOUNT' end as col from (select *, part_key * 13 % 800 as x from po_lines) c", "po_lines")
+@query("select po_key as document_id, line_number, x, case when x < (100 + po_key % 10 + 300) / 2 then 'DESCRIPTION' when x < 410 then 'QUANTITY' when x < 610 then 'PRICE' else 'AMOUNT' end as col from (select *, part_key * 13 % 800 as x from po_lines) c where part_key % 3 = 0 or x >= 90 + po_key % 10", "po_lines")
 def column_assignment(spark, sf):
     return L.assign_columns(_sql(spark, sf, _CELLS, "po_lines"), _sql(spark, sf, _HEADS, "po")).select("document_id", "line_number", "x", "col")
 

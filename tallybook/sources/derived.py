@@ -57,6 +57,40 @@ TABLES = {
       select i.*, cast(case when document_id % 61 = 0 then null else coalesce(subtotal, 0) - abs(coalesce(discount, 0)) + coalesce(tax, 0) + coalesce(shipping, 0)
                     + case when document_id % 13 = 0 then 0.02 else 0 end end as decimal(18,2)) as total
       from inv i""",
+    # Recognised lines of one page for each invoice, in six layouts: values beside, below and left of their labels, absent, inline, competing.
+    "page_lines": """
+      select document_id, 1 as page, line_order, text, cast((document_id * 7 + line_order * 13) % 41 + 60 as double) as confidence, x, y, w, h
+      from (select document_id, total, kind, line_order, x, y, w, h, case kind
+              when 'invoice' then 'INVOICE' when 'supplier' then concat('ACME ', coalesce(supplier_name, 'Stores')) when 'from' then 'From: Globe Traders'
+              when 'billto' then 'Bill To' when 'buyer' then 'Globex Works' when 'customer' then 'Customer: Initech'
+              when 'street' then concat(cast(document_id % 90 + 1 as string), ' Long Road,') when 'city' then 'Springfield' when 'shipto' then 'Ship To'
+              when 'no' then concat('Invoice No: INV-', cast(document_id as string)) when 'nolabel' then 'Invoice Number' when 'novalue' then concat('INV-', cast(document_id as string))
+              when 'po' then concat('PO Number: PO-', cast(document_id as string)) when 'polabel' then 'PO Number' when 'povalue' then concat('PO-', cast(document_id as string))
+              when 'datelabel' then 'Invoice Date' when 'date' then cast(invoice_date as string) when 'dateinline' then concat('Invoice Date: ', cast(invoice_date as string))
+              when 'duelabel' then 'Due Date' when 'due' then '2030-01-15' when 'dash' then '-'
+              when 'dueinline' then 'Due Date: 2030-01-15' when 'sublabel' then 'Subtotal' when 'sub' then concat('$', cast(cast(coalesce(subtotal, 0) as decimal(18,2)) as string))
+              when 'taxlabel' then 'VAT 8%' when 'tax' then concat('$', cast(cast(coalesce(tax, 0) as decimal(18,2)) as string)) when 'vat' then concat('VAT 8% $', cast(cast(coalesce(tax, 0) as decimal(18,2)) as string))
+              when 'discount' then 'Discount: (-) $5.00' when 'totallabel' then 'TOTAL' when 'total' then concat('$', cast(total as string))
+              when 'totalcode' then concat(cast(total as string), ' USD') when 'totalinline' then concat('Grand Total: $', cast(total as string)) when 'other' then '$999.00'
+              when 'terms' then 'Payment Terms: Net 30' when 'badterms' then 'Terms: Order ID 7' when 'thanks' then 'Thank you'
+              when 'end' then 'Page 1 of 1' end as text
+            from invoices join (values
+              (0, 1, 'invoice', 260, 20, 120, 40), (0, 2, 'supplier', 50, 30, 200, 20), (0, 3, 'billto', 500, 120, 80, 20), (0, 4, 'buyer', 500, 150, 140, 20), (0, 5, 'street', 500, 180, 140, 20), (0, 6, 'city', 500, 210, 120, 20),
+              (0, 7, 'shipto', 50, 120, 80, 20), (0, 8, 'street', 50, 150, 150, 20), (0, 9, 'city', 50, 180, 120, 20), (0, 10, 'no', 50, 260, 250, 20), (0, 11, 'datelabel', 50, 300, 120, 20), (0, 12, 'date', 200, 302, 100, 20),
+              (0, 13, 'duelabel', 450, 300, 100, 20), (0, 14, 'due', 600, 301, 100, 20), (0, 15, 'sublabel', 400, 600, 80, 20), (0, 16, 'sub', 600, 602, 100, 20), (0, 17, 'taxlabel', 400, 640, 60, 20), (0, 18, 'tax', 600, 640, 80, 20),
+              (0, 19, 'totallabel', 400, 690, 60, 20), (0, 20, 'total', 600, 692, 100, 20), (0, 21, 'terms', 50, 760, 200, 20), (0, 22, 'thanks', 50, 1000, 120, 20), (1, 1, 'supplier', 50, 40, 200, 20), (1, 2, 'buyer', 500, 40, 200, 20),
+              (1, 3, 'nolabel', 50, 120, 140, 20), (1, 4, 'novalue', 50, 170, 120, 20), (1, 5, 'datelabel', 300, 120, 120, 20), (1, 6, 'date', 300, 170, 100, 20), (1, 7, 'duelabel', 450, 120, 100, 20), (1, 8, 'due', 460, 170, 100, 20),
+              (1, 9, 'polabel', 50, 220, 120, 20), (1, 10, 'povalue', 60, 258, 120, 20), (1, 11, 'sublabel', 400, 600, 80, 20), (1, 12, 'sub', 400, 640, 100, 20), (1, 13, 'totallabel', 400, 700, 60, 20), (1, 14, 'totalcode', 400, 740, 100, 20),
+              (1, 15, 'thanks', 50, 900, 120, 20), (2, 1, 'from', 50, 40, 220, 20), (2, 2, 'supplier', 50, 70, 200, 20), (2, 3, 'date', 50, 160, 100, 20), (2, 4, 'datelabel', 300, 160, 120, 20), (2, 5, 'due', 320, 230, 100, 20),
+              (2, 6, 'duelabel', 460, 228, 100, 20), (2, 7, 'no', 50, 120, 250, 20), (2, 8, 'sub', 200, 600, 100, 20), (2, 9, 'sublabel', 400, 602, 80, 20), (2, 10, 'total', 200, 660, 100, 20), (2, 11, 'totallabel', 400, 661, 60, 20),
+              (2, 12, 'badterms', 50, 740, 200, 20), (3, 1, 'supplier', 50, 40, 200, 20), (3, 2, 'customer', 500, 45, 140, 20), (3, 3, 'no', 50, 120, 250, 20), (3, 4, 'date', 50, 162, 100, 20), (3, 5, 'datelabel', 200, 160, 120, 20),
+              (3, 6, 'duelabel', 450, 160, 100, 20), (3, 7, 'dash', 600, 160, 20, 20), (3, 8, 'sublabel', 400, 600, 80, 20), (3, 9, 'sub', 600, 602, 100, 20), (3, 10, 'totallabel', 400, 660, 60, 20), (3, 11, 'terms', 50, 740, 200, 20),
+              (3, 12, 'end', 50, 960, 120, 20), (4, 1, 'supplier', 400, 40, 200, 20), (4, 2, 'no', 50, 120, 250, 20), (4, 3, 'po', 50, 150, 200, 20), (4, 4, 'dateinline', 50, 190, 220, 20), (4, 5, 'dueinline', 50, 230, 220, 20),
+              (4, 6, 'vat', 400, 600, 160, 20), (4, 7, 'discount', 400, 640, 180, 20), (4, 8, 'totalinline', 400, 690, 220, 20), (4, 9, 'shipto', 50, 260, 80, 20), (4, 10, 'terms', 50, 300, 150, 20), (4, 11, 'buyer', 50, 330, 150, 20),
+              (4, 12, 'street', 60, 360, 150, 20), (4, 13, 'thanks', 50, 900, 120, 20), (5, 1, 'supplier', 50, 40, 200, 20), (5, 2, 'buyer', 520, 60, 150, 20), (5, 3, 'no', 50, 140, 250, 60), (5, 4, 'dateinline', 50, 230, 220, 20),
+              (5, 5, 'sublabel', 400, 600, 80, 20), (5, 6, 'sub', 600, 600, 100, 20), (5, 7, 'totallabel', 400, 625, 60, 20), (5, 8, 'other', 760, 626, 100, 20), (5, 9, 'total', 600, 627, 100, 20), (5, 10, 'totalcode', 640, 660, 120, 44),
+              (5, 11, 'thanks', 50, 990, 120, 20)) as layouts(layout, line_order, kind, x, y, w, h) on layout = document_id % 6) t
+      where text is not null and (total is not null or kind not in ('total', 'totalcode', 'totalinline'))""",
     "suppliers": """
       select s_suppkey as supplier_key, concat('SUP-', cast(s_suppkey as string)) as supplier_id, s_suppkey % 29 <> 0 as active, s_suppkey % 31 <> 0 as approved,
              concat(n_name, ' Trading ', s_name) as legal_name, concat('SUP-', cast(s_suppkey as string)) as alias, r_name as region
