@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.text import clean_text, comparison_key, uuid5
 from tallybook.functions.values import CODES, SYMBOLS, currency_code, money, parse_decimal, typed_value
 from tallybook.operators import layout as L
+from tallybook.sources.shared import kept
 
 #: Names the identities of candidates, fields and lines; versions of the rules have identities of their own.
 NAMESPACE, VERSION = uuid.UUID("5f0c2f64-6a0e-5d0c-9d5e-2b8f5a3c7e11"), "fields-1"
@@ -45,7 +46,7 @@ def _stream(rows: DataFrame, raw: Column, evidence: list[str] | Column, confiden
     scores = F.array(*confidences) if isinstance(confidences, list) else confidences
     place = F.col("page") * 10_000_000 + F.col("line_order") * 10 + (F.col("rank") if "rank" in rows.columns else F.lit(0))
     return rows.select(
-        "document_id", "field", clean_text(raw).alias("raw"), _within(joint_confidence(scores) + adjust).alias("confidence"), F.lit(method).alias("method"), F.lit(rule).alias("rule"),
+        "document_id", "field", raw.alias("raw"), _within(joint_confidence(scores) + adjust).alias("confidence"), F.lit(method).alias("method"), F.lit(rule).alias("rule"),
         ids.alias("evidence"), (F.lit(order * 10**15) + place).cast("long").alias("seq"),
     )
 
@@ -57,8 +58,8 @@ def candidates(lines: DataFrame) -> DataFrame:
     addresses: inline and up to four lines below. Currency: any line that shows a code or symbol. Parties without a
     label: the page's header. Each names the lines it rests on; its confidence is their mean, adjusted by kind and rank.
     """
-    lines = L.with_references(lines)
-    labelled = L.label_lines(lines)
+    lines = kept(L.with_references(lines))
+    labelled = kept(L.label_lines(lines))
     of = lambda *fields: labelled.filter(F.col("field").isin(*fields))
     inline = L.inline_values(labelled).filter((F.col("field") != "PAYMENT_TERMS") | ~L.shows_label(F.col("value")))
     beside = L.values_beside(of(*L.TYPED), lines)
@@ -79,7 +80,9 @@ def candidates(lines: DataFrame) -> DataFrame:
         _stream(shown, F.col("text"), *one, by_code + in_total, "REGULAR_EXPRESSION", "currency", 5),
         _stream(L.header_parties(lines), F.col("text"), *one, F.lit(-8.0), "COMBINED_RULES", "header", 6),
     ]
-    typed = reduce(DataFrame.unionByName, streams).withColumn("v", typed_value(F.col("field"), F.col("raw")))
+    # exploding keeps the optimiser from writing a value's rules once for each use of it
+    told = reduce(DataFrame.unionByName, streams).withColumn("raw", F.explode(F.array(clean_text(F.col("raw")))))
+    typed = told.withColumn("v", F.explode(F.array(typed_value(F.col("field"), F.col("raw")))))
     value = F.coalesce(F.col("v.text_value"), F.col("v.decimal_value").cast("string"), F.col("v.date_value").cast("string"))
     named = typed.withColumn("value", value).filter("value is not null and value <> ''").withColumn("value_type", F.col("v.value_type")).drop("v")
     return named.withColumn("candidate_id", identity("candidate", F.col("document_id"), F.col("field"), F.col("value"), F.array_join("evidence", "|"), F.col("rule")))

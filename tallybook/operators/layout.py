@@ -105,11 +105,16 @@ def label_lines(lines: DataFrame) -> DataFrame:
 
 def inline_values(labelled: DataFrame) -> DataFrame:
     """The rest of a line behind its label (the longest that leaves one), where it fits the field."""
-    text, rest = clean_text(F.col("text")), F.lit(None).cast("string")
-    for field, labels in LABELS.items():
-        behind = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is){label}(.*)$", 1), r"^[\s:#=\-–—]+", "")), F.lit("")) for label in sorted(labels, key=len, reverse=True)]
-        rest = F.when(F.col("field") == field, F.coalesce(*behind)).otherwise(rest)
-    return labelled.withColumn("value", rest).filter(F.col("value").isNotNull()).filter(compatible(F.col("field"), F.col("value")))
+
+    def behind(text: Column) -> Column:
+        rest = F.lit(None).cast("string")
+        for field, labels in LABELS.items():
+            found = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?is){label}(.*)$", 1), r"^[\s:#=\-–—]+", "")), F.lit("")) for label in sorted(labels, key=len, reverse=True)]
+            rest = F.when(F.col("field") == field, F.coalesce(*found)).otherwise(rest)
+        return F.filter(F.array(rest), lambda v: v.isNotNull() & compatible(F.col("field"), v))
+
+    # exploding keeps the optimiser from writing the rest once for each use of it
+    return labelled.withColumn("value", F.explode(let(clean_text(F.col("text")), behind)))
 
 
 def _centre(y: str, h: str) -> Column:

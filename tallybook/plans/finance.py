@@ -12,6 +12,7 @@ from tallybook.functions import values as V
 from tallybook.operators import matching as M
 from tallybook.operators import validation as C
 from tallybook.sources.derived import derived, held_tables, with_tables
+from tallybook.sources.shared import fresh_folder
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 QUERIES: dict = {}
@@ -318,8 +319,7 @@ class _Tables:
     """
 
     def __init__(self, spark: SparkSession, sf: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.spark, self.sf, self.folder = spark, sf, f"{base}/orders-{uuid.uuid4()}"
+        self.spark, self.sf, self.folder = spark, sf, fresh_folder(spark, "orders")
         self.held = held_tables(spark, sf, self.folder, "po_lines", "po")
 
     def __call__(self, name: str) -> DataFrame:

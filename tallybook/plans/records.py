@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from tallybook.operators import store as S
 from tallybook.operators import workflow as W
 from tallybook.plans import finance
 from tallybook.sources.derived import derived, with_tables
+from tallybook.sources.shared import fresh_folder
 from tallybook.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -381,9 +380,7 @@ def batch_rollup(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/stream-{uuid.uuid4()}"
+    return fresh_folder(spark, "stream")
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
