@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.llm import graph, op1_masked_lm, op2_quality_rules
 from tallybook.llm.blocks import keys_to_bytes
@@ -57,3 +58,16 @@ def test_each_quality_fence_rejects_below_the_base_limit(spark):
     assert not any(got[d].base_failed for d in (901, 902, 903, 904))
     assert [got[d].beyond for d in (901, 902, 903, 904)] == [["symbol_rate"], ["dup_line_rate"], ["word_length"], ["repeat_rate"]]
     assert all(got[d].kept for d in range(400))
+
+
+def test_columns_with_inner_names_pass_through(spark):
+    from tallybook.llm import op6_site_quality
+
+    rows = [(i, f"Document {i} says these ten or more words without any harm today {i}", "en", "s") for i in range(30)]
+    names = ["_h", "_w", "_t", "_s", "_lang", "_source", "own", "n", "s", "host_rate", "_host", "_key", "f_upper", "fence_repeat_rate", "symbol_rate", "n_lines", "kept"]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("mine") for n in names})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    for out, made in ((op2_quality_rules.quality_rules(docs), [*op2_quality_rules.COUNTS, "n_lines", "beyond", "kept"]), (op6_site_quality.site_quality(docs, labels), op6_site_quality.MADE)):
+        mine = [c for c in docs.columns if c not in made]
+        assert out.columns == mine + [c for c in out.columns if c in made]
+        assert all(r[c] == "mine" for r in out.collect() for c in mine if c in names)
