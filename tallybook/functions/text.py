@@ -82,7 +82,9 @@ def comparison_key(c: Column) -> Column:
 
 def business_key(c: Column) -> Column:
     """Upper case words of letters and digits, marks folded, one space between."""
-    return F.upper(F.trim(F.regexp_replace(without_marks(F.coalesce(c, F.lit(""))), "[^A-Za-z0-9]+", " ")))
+    raw = F.coalesce(c, F.lit(""))
+    words = lambda t: F.upper(F.trim(F.regexp_replace(t, "[^A-Za-z0-9]+", " ")))
+    return F.when(F.char_length(raw) == F.octet_length(raw), words(raw)).otherwise(words(without_marks(raw)))
 
 
 def reference_key(c: Column) -> Column:

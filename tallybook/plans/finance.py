@@ -292,6 +292,35 @@ def supplier_fuzzy(spark, sf):
     return M.score_suppliers(derived(spark, sf, "invoices"), _suppliers(spark, sf)).select("supplier_name", "supplier_id", "score", "rank")
 
 
+_ADDRESSED = """
+ with recursive sp as (select s_suppkey as k, concat('SUP-', cast(s_suppkey as string)) as supplier_id, substr(md5(cast(s_suppkey as string)), 1, 20) as legal_name, concat('12 ', substr(md5(concat('a', cast(s_suppkey as string))), 1, 12), ' Street') as address from supplier),
+ asked as (select k as document_id, substr(legal_name, 1, cast(20 - k % 6 as int)) as supplier_name, case k % 4 when 0 then address when 1 then replace(address, 'Street', 'Streat') when 2 then concat('99 ', substr(md5(concat('b', cast(k as string))), 1, 12), ' Lane') end as supplier_address from sp),
+ offered as (select supplier_id, legal_name, address from sp union all select concat('TWIN-', cast(k as string)), substr(legal_name, 1, 18), supplier_address from sp join asked on document_id = k where k % 10 = 0)"""
+
+
+@query(_ADDRESSED + """,
+ n as (select *, """ + _KEY.format("supplier_name") + " as k, " + _KEY.format("coalesce(supplier_address, '')") + """ as a from asked), s as (select *, """ + _KEY.format("legal_name") + " as k, " + _KEY.format("coalesce(address, '')") + """ as a from offered),
+ near as (select distinct n.k as x, s.k as y from n join s on n.k <> s.k and levenshtein(n.k, s.k) <= 0.13 * (length(n.k) + length(s.k)) + 1e-9
+   union select n.a, s.a from n join s on n.a <> s.a and n.a <> '' and s.a <> '' and levenshtein(n.a, s.a) <= 0.1 * (length(n.a) + length(s.a)) + 1e-9),
+ seg as (select x, y, x as a, y as b from near union all
+   select x, y, case side when 1 then left(a, -f.i - 1) else substr(a, f.k - f.i) end, case side when 1 then left(b, -f.j - 1) else substr(b, f.k - f.j) end
+   from (select *, """ + _RUN + """ as f from seg where a <> '' and b <> '') t, (values (1), (2)) v(side) where f.k > 0),
+ ratio as (select x, y, round(2.0 * sum((""" + _RUN + """).k) / (length(x) + length(y)), 4) as score from seg where a <> '' and b <> '' group by x, y),
+ p as (select document_id, supplier_id, least(1, case when n.k = s.k then 1.0 else r.score end + case when n.a <> '' and (n.a = s.a or q.score >= 0.9) then 0.03 else 0 end)::double as score
+   from n cross join s left join ratio r on r.x = n.k and r.y = s.k left join ratio q on q.x = n.a and q.y = s.a where n.k = s.k or r.score >= 0.87),
+ o as (select *, row_number() over (partition by document_id order by score desc, supplier_id desc) as rank, lead(score) over (partition by document_id order by score desc, supplier_id desc) as second from p where score >= 0.9)
+ select document_id, case when score is null then 'NOT_FOUND' when second is not null and round(score - second, 4) <= 0.05 then 'AMBIGUOUS' else 'MATCHED' end as supplier_status, case when second is null or round(score - second, 4) > 0.05 then supplier_id end as supplier_id, score as supplier_score
+ from n left join (select * from o where rank = 1) o using (document_id)""")
+def supplier_addresses(spark, sf):
+    """Names that an address lifts over the threshold, and some that it makes ambiguous."""
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet")
+    text = _ADDRESSED.replace("with recursive", "with").replace("from supplier)", "from {supplier})")
+    asked, offered = (spark.sql(f"{text} select * from {t}", supplier=supplier) for t in ("asked", "offered"))
+    addresses = F.when(F.col("address").isNotNull(), F.array("address"))
+    suppliers = offered.select("supplier_id", "legal_name", F.lit(None).cast("array<string>").alias("aliases"), addresses.alias("addresses"), F.lit(True).alias("active"), F.lit(True).alias("approved"))
+    return M.resolve_suppliers(asked, suppliers).select("document_id", "supplier_status", "supplier_id", "supplier_score")
+
+
 _RESOLVED = _NAMES + """,
  t as (select supplier_name, max(case when rank = 1 then supplier_id end) as sid, max(case when rank = 1 then score end) as a, max(case when rank = 2 then score end) as b, bool_or(rank = 1 and active) as active, bool_or(rank = 1 and approved) as approved from r where rank <= 5 group by supplier_name),
  sup as (select document_id, supplier_name, sid, case when a is null then 'NOT_FOUND' when b is not null and round(a - b, 4) <= 0.05 then 'AMBIGUOUS' when not active or not approved then 'CONFLICT' else 'MATCHED' end as st, a, active, approved from invoices left join t using (supplier_name)),
