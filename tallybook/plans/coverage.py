@@ -378,5 +378,5 @@ def intake_stream(spark, sf):
     at = _scratch(spark)
     _read(spark, sf, "nation").repartition(3).select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(f"{at}/files")
     files = J.intake(spark, f"{at}/files", "*.txt")
-    J.drain(files.select("sha256", F.col("length").cast("long").alias("length")), f"{at}/rows", f"{at}/checkpoint", key=["sha256"])
+    J.insert_stream(files.select("sha256", F.col("length").cast("long").alias("length")), at, f"{at}/checkpoint", "sha256", "sha256", "length")
     return spark.read.parquet(f"{at}/rows").select("sha256", "length")

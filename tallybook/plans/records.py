@@ -383,9 +383,9 @@ def _scratch(spark: SparkSession) -> str:
     return fresh_folder(spark, "stream")
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     at = _scratch(spark)
-    J.drain(stream, f"{at}/rows", f"{at}/checkpoint", mode, key)
+    J.drain(stream, f"{at}/rows", f"{at}/checkpoint", mode)
     return spark.read.parquet(f"{at}/rows")
 
 
@@ -414,7 +414,50 @@ def stream_reason_counts(spark, sf):
     return out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
 
 
-@query("select distinct user_id from events")
+_SUNK = "select event_id, user_id, case when event_id % 7 = 0 then 'other' else cast(user_id as string) end as digest, event_id < 5000 as early from {events}"
+
+
+@query("""with e as (""" + _SUNK.replace("{events}", "events") + """), o as (select *, first_value(digest) over (partition by user_id order by early desc, event_id) as held, row_number() over (partition by user_id order by early desc, event_id) as k from e)
+  select event_id, user_id, case when k = 1 then 'NEW' when digest = held then 'SAME' else 'COLLISION' end as outcome from o""")
 def stream_sink(spark, sf):
-    stream = J.stream_of(spark, f"{sf}/events.parquet").select("user_id")
-    return _drained(spark, stream, key=["user_id"]).select("user_id")
+    """Keyed rows in two batches through the inserting sink: the outcome of each."""
+    at = _scratch(spark)
+    rows = _sql(spark, sf, _SUNK, "events")
+    for batch, part in enumerate((F.col("early"), ~F.col("early"))):
+        rows.filter(part).drop("early").coalesce(1).write.mode("append").parquet(f"{at}/in/part={batch}")
+        stream = spark.readStream.schema("event_id long, user_id long, digest string").option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        J.insert_stream(stream, f"{at}/out", f"{at}/checkpoint", "user_id", "digest", "event_id", buckets=16)
+    return spark.read.parquet(f"{at}/out/outcomes").drop("batch")
+
+
+@query("""with e as (""" + _SUNK.replace("{events}", "events") + """) select user_id, digest, event_id from e qualify row_number() over (partition by user_id order by early desc, event_id) = 1""")
+def stream_sink_rows(spark, sf):
+    """What that sink holds: each key's first row."""
+    at = _scratch(spark)
+    rows = _sql(spark, sf, _SUNK, "events")
+    for batch, part in enumerate((F.col("early"), ~F.col("early"))):
+        rows.filter(part).drop("early").coalesce(1).write.mode("append").parquet(f"{at}/in/part={batch}")
+        stream = spark.readStream.schema("event_id long, user_id long, digest string").option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        J.insert_stream(stream, f"{at}/out", f"{at}/checkpoint", "user_id", "digest", "event_id", buckets=16)
+    return spark.read.parquet(f"{at}/out/rows").select("user_id", "digest", "event_id")
+
+
+@query("select doc_id, sha256(text) as sha256, exists (select 1 from documents k where k.doc_id % 3 = 0 and k.text = d.text) as duplicate from documents d")
+def stream_known(spark, sf):
+    """Documents as a stream, each flagged where its content is among the known ones."""
+    digest = F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256")
+    known = _read(spark, sf, "documents").filter("doc_id % 3 = 0").select(digest)
+    stream = J.stream_of(spark, f"{sf}/documents.parquet").select("doc_id", digest)
+    return _drained(spark, J.flagged_known(stream, known, "sha256")).select("doc_id", "sha256", "duplicate")
+
+
+_CLAIMS = "select user_id as case_id, case when event_type in ('view', 'click') then 'CLAIMED' else 'RELEASED' end as status, date_trunc('second', ts) as seen_at, event_id from {events}"
+
+
+@query("""with e as (""" + _CLAIMS.replace("{events}", "events") + """), o as (select *, lead(seen_at) over (partition by case_id order by seen_at, event_id) as next_at, max(seen_at) over () as latest from e)
+  select case_id, seen_at as claimed_at, seen_at + interval 1800 second as expired_at from o where status = 'CLAIMED' and (next_at > seen_at + interval 1800 second or next_at is null and seen_at + interval 1800 second <= latest)""")
+def stream_claim_timeouts(spark, sf):
+    """Claims that time out, by timers of the stream."""
+    at = _scratch(spark)
+    _sql(spark, sf, _CLAIMS, "events").repartition(1).sortWithinPartitions("seen_at", "event_id").write.parquet(f"{at}/events")
+    return _drained(spark, J.claim_timeouts(J.stream_of(spark, f"{at}/events", 1).select("case_id", "status", F.col("seen_at").cast("timestamp").alias("at")))).select("case_id", "claimed_at", "expired_at")
