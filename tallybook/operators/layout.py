@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.text import clean_text, comparison_key, let, party_name
-from tallybook.functions.values import compatible, standalone_money, suits
+from tallybook.functions.values import compatible, identifier, standalone_money, suits
 
 PAGE = ["document_id", "page"]
 # The labels of each field, keys that must not occur in the same line, keys that show another field's label.
@@ -213,20 +213,16 @@ def missing_fields(best: DataFrame, documents: DataFrame, required: list[str]) -
     return wanted.join(best.filter("value is not null"), ["document_id", "field"], "left_anti").select("document_id", F.concat(F.lit("REQUIRED_FIELD_MISSING:"), F.col("field")).alias("reason"))
 
 
-# Fixed value: the shape of an item's code.
-ITEM_CODE = r"(?i)^[A-Z0-9][A-Z0-9\-/]{1,19}$"
-
-
 def assign_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """cells (x, text) with the column whose interval (midpoints between header left edges) holds their x.
 
-    Item codes more than ten pixels left of the description's header belong to no column.
+    Item codes (identifiers of 2 to 20 characters) more than ten pixels left of the description's header belong to no column.
     """
     page = Window.partitionBy(*PAGE)
     w = page.orderBy("hx")
     spans = headers.withColumn("_lo", (F.col("hx") + F.lag("hx").over(w)) / 2).withColumn("_hi", (F.col("hx") + F.lead("hx").over(w)) / 2).withColumn("_text_x", F.min(F.when(F.col("col") == "DESCRIPTION", F.col("hx"))).over(page))
     inside = (F.col("_lo").isNull() | (F.col("x") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("x") < F.col("_hi")))
-    code = F.coalesce((F.col("x") < F.col("_text_x") - 10) & clean_text(F.col("text")).rlike(ITEM_CODE), F.lit(False))
+    code = F.coalesce((F.col("x") < F.col("_text_x") - 10) & identifier(clean_text(F.col("text")), 2, 20), F.lit(False))
     return cells.join(spans, PAGE).filter(inside & ~code).drop("_lo", "_hi", "_text_x", "hx")
 
 
