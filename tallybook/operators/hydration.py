@@ -83,7 +83,8 @@ def _faults(value: Column, kind: DataType, nullable: bool, path: Column, typed_b
 
 def hydrated(rows: DataFrame, column: str, schema: StructType) -> DataFrame:
     """rows with faults (an array, empty for an exact payload) and value (typed, null where there are faults)."""
-    parsed = F.try_parse_json(F.col(column))
-    faults = F.when(parsed.isNull(), F.array(F.lit(":NOT_JSON"))).otherwise(_faults(parsed, schema, False, F.lit("")))
+    # within brackets, so that text behind the value is seen as well
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]"))), "$", "array<variant>")
+    faults = let(listed, lambda x: F.when(F.coalesce(F.size(x), F.lit(-1)) == 1, _faults(F.get(x, F.lit(0)), schema, False, F.lit(""))).otherwise(F.array(F.lit(":NOT_JSON"))))
     told = rows.withColumn("faults", F.explode(F.array(faults)))  # one array in one array: worked out once
     return told.withColumn("value", F.when(F.size("faults") == 0, F.from_json(F.col(column), schema)))

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tallybook.plans import coverage, finance, more, pages, records
+from tallybook.plans import audit, coverage, finance, more, pages, records
 
-ALL = {**finance.QUERIES, **records.QUERIES, **more.QUERIES, **coverage.QUERIES, **pages.QUERIES}
-SQL = {**finance.ORACLES, **records.ORACLES, **more.ORACLES, **coverage.ORACLES, **pages.ORACLES}
+ALL = {**finance.QUERIES, **records.QUERIES, **more.QUERIES, **coverage.QUERIES, **pages.QUERIES, **audit.QUERIES}
+SQL = {**finance.ORACLES, **records.ORACLES, **more.ORACLES, **coverage.ORACLES, **pages.ORACLES, **audit.ORACLES}
 
 
 @pytest.fixture(scope="module")
