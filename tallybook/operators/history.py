@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DecimalType, StructType, TimestampType
 
 from tallybook.functions.text import comparison_key, uuid5
+from tallybook.sources.shared import kept
 
 
 def _none() -> Column:
@@ -236,3 +237,14 @@ def reference_snapshot(matches: DataFrame, suppliers: DataFrame, orders: DataFra
 def by_position(results: DataFrame, position: str = "input_position") -> DataFrame:
     """Results in the order of their input."""
     return results.orderBy(F.col(position).asc_nulls_last())
+
+
+def numbered(rows: DataFrame, position: str = "input_position", name: str = "place") -> DataFrame:
+    """rows with their place from 0 in the order of position: a place within its range of positions plus the sizes of the
+    ranges before, so no task sees all rows."""
+    held = kept(by_position(rows, position).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.col("_before") + F.col("_m") - F.shiftleft("_part", 33)
+    return held.withColumn("_part", part).join(before, "_part").withColumn(name, place).drop("_m", "_part", "_before")

@@ -346,6 +346,53 @@ def reference_orders(spark, sf):
     return orders.join(n, "purchase_order_number").select("purchase_order_number", F.col("total_amount").cast("double").alias("total_amount"), "state", "n")
 
 
+@query("select concat('SUP-', s_suppkey) as supplier_id, n_name || ' Trading ' || s_name as legal_name, case when s_suppkey % 3 = 0 then 0 else 1 end as n_aliases, case when s_suppkey % 4 = 0 then s_suppkey % 29 <> 0 else true end as active, case when s_suppkey % 2 = 0 then 1 else 0 end as n_addresses from supplier join nation on n_nationkey = s_nationkey")
+def reference_suppliers(spark, sf):
+    """Suppliers as one JSON array a file; absent keys take their defaults."""
+    at, k = _scratch(spark), F.col("supplier_key")
+    s = derived(spark, sf, "suppliers").select("supplier_id", "legal_name", F.when(k % 3 != 0, F.array("alias")).alias("aliases"), F.when(k % 2 == 0, F.array("region")).alias("addresses"), F.when(k % 4 == 0, F.col("active")).alias("active"))
+    s.select(F.to_json(F.struct("*")).alias("value")).groupBy(F.pmod(F.hash("value"), F.lit(4)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).write.partitionBy("file").text(f"{at}/suppliers")
+    return S.suppliers(spark, f"{at}/suppliers").select("supplier_id", "legal_name", F.size("aliases").cast("int").alias("n_aliases"), "active", F.size("addresses").cast("int").alias("n_addresses"))
+
+
+@query("select goods_receipt_id, po_line_number as purchase_order_line_number, quantity_received::double as quantity_received, case when po_key % 2 = 0 then state else 'POSTED' end as state, case when po_key % 5 <> 0 then order_date::varchar end as receipt_date from gr_lines join gr using (goods_receipt_id) join po on po.po_key = gr.po_key".replace("case when po_key % 2", "case when gr.po_key % 2").replace("then state else", "then gr.state else").replace("case when po_key % 5", "case when gr.po_key % 5"), "gr_lines", "gr", "po")
+def reference_receipts(spark, sf):
+    """Receipts as JSON arrays, flattened to their lines; amounts and dates that do not parse are null."""
+    at = _scratch(spark)
+    line = F.struct(F.col("po_line_number").alias("purchase_order_line_number"), F.col("quantity_received").cast("string").alias("quantity_received"))
+    lines = derived(spark, sf, "gr_lines").groupBy("goods_receipt_id").agg(F.collect_list(line).alias("lines"))
+    dates = derived(spark, sf, "po").select("po_key", F.when(F.col("po_key") % 5 == 0, "soon").otherwise(F.col("order_date").cast("string")).alias("receipt_date"))
+    heads = derived(spark, sf, "gr").join(dates, "po_key").select("goods_receipt_id", F.col("po_number").alias("purchase_order_number"), F.when(F.col("po_key") % 2 == 0, F.col("state")).alias("state"), "receipt_date")
+    rows = heads.join(lines, "goods_receipt_id").select(F.to_json(F.struct("*")).alias("value"))
+    rows.groupBy(F.pmod(F.hash("value"), F.lit(64)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).write.partitionBy("file").text(f"{at}/receipts")
+    out = S.receipts(spark, f"{at}/receipts")
+    return S.receipt_lines(out).join(out.select("goods_receipt_id", "state", F.col("receipt_date").cast("string").alias("receipt_date")), "goods_receipt_id").select("goods_receipt_id", "purchase_order_line_number", F.col("quantity_received").cast("double").alias("quantity_received"), "state", "receipt_date")
+
+
+@query("select sha256(n_name || chr(10)) as sha256, length(n_name) + 1 as length, case n_nationkey % 4 when 0 then 'PDF' when 1 then 'png' else 'jpeg' end as extension from nation where n_nationkey % 4 <> 3")
+def document_scan(spark, sf):
+    """Document files below a folder, one row each; files of other kinds are not read."""
+    at = _scratch(spark)
+    n = _read(spark, sf, "nation").select("n_nationkey", "n_name")
+    n.repartition(4).write.partitionBy("n_nationkey").text(f"{at}/in")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{at}/in").select("path")
+    for row in files.collect():  # the 25 nations' files take a document's name
+        k = int(row.path.split("n_nationkey=")[1].split("/")[0])
+        fs.mkdirs(path(f"{at}/docs/{k}"))
+        fs.rename(path(row.path), path(f"{at}/docs/{k}/file.{['PDF', 'png', 'jpeg', 'csv'][k % 4]}"))
+    return S.document_files(spark, f"{at}/docs").select("sha256", F.col("length").cast("long").alias("length"), F.regexp_extract("path", "[.]([A-Za-z]+)$", 1).alias("extension"))
+
+
+@query("select document_id, batch_id, row_number() over (order by (document_id * 7919) % 100003, document_id) - 1 as place from inv", "inv")
+def input_order(spark, sf):
+    """Results back in the order of their input, whatever order the work was done in."""
+    k = F.col("document_id")
+    rows = derived(spark, sf, "inv").select("document_id", "batch_id", F.struct((k * 7919 % 100003).alias("a"), k.alias("b")).alias("input_position"))
+    return H.numbered(rows.repartition("batch_id")).select("document_id", "batch_id", "place")
+
+
 @query("select batch_id, document_id from inv where document_id % 20 = 7", "inv")
 def stored_results(spark, sf):
     at = _scratch(spark)

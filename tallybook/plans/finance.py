@@ -17,11 +17,14 @@ from tallybook.sources.shared import fresh_folder
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: The SQL of each query as written, before the definitions of derived tables.
+RAW: dict[str, str | None] = {}
 
 
 def query(sql: str | None = None, *tables: str):
     def register(f):
         QUERIES[f.__name__] = f
+        RAW[f.__name__] = sql
         if sql:
             ORACLES[f.__name__] = with_tables(sql, *tables) if tables else sql
         return f
@@ -58,12 +61,6 @@ def fn_comparison_key(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(F.encode(T.comparison_key(F.col("text")), "UTF-8")).alias("key_md5"))
 
 
-@query()
-def fn_comparison_key_all(spark, sf):
-    """The key over all documents, null included, held against plain Python in the tests."""
-    return _docs(spark, sf).select("doc_id", F.md5(F.encode(T.comparison_key(F.col("text")), "UTF-8")).alias("key_md5"))
-
-
 @query("select s_suppkey, upper(trim(regexp_replace(s_name || ', & Co. ' || n_name, '[^A-Za-z0-9]+', ' ', 'g'))) as key from supplier join nation on n_nationkey = s_nationkey")
 def fn_business_key(spark, sf):
     s, n = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("supplier", "nation"))
@@ -76,30 +73,29 @@ def fn_reference_key(spark, sf):
 
 
 _MONEY_TEXT = """
-  select document_id, floor(total * 100) as cents, document_id % 6 as form,
-    case document_id % 6
+  select document_id, document_id % 6 as form, total,
+    case when total is null then 'n/a' else case document_id % 6
       when 0 then concat('Total: $', cast(total as string)) when 1 then concat('(', cast(total as string), ')') when 2 then concat('TAX 8.5% ', cast(total as string), ' USD')
-      when 3 then concat('EUR ', replace(cast(total as string), '.', ',')) when 4 then concat('- $', cast(total as string)) else concat('1,', substr(cast(total as string), 1, 3), '.50 RMB') end as raw
-  from invoices where total >= 1000"""
+      when 3 then concat('EUR ', replace(cast(total as string), '.', ',')) when 4 then concat('- $', cast(total as string)) else concat('1,', lpad(cast(cast(floor(abs(total)) as bigint) % 1000 as string), 3, '0'), '.50 RMB') end end as raw
+  from invoices"""
+_GROUPED = "1000.5 + cast(floor(abs(total)) as bigint) % 1000"
 
 
 def _money_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_MONEY_TEXT.replace("from invoices", "from {invoices}"), invoices=derived(spark, sf, "invoices"))
 
 
-@query(f"""select document_id, cast(case when form in (1, 4) then -total when form = 5 then cast('1' || substr(cast(total as varchar), 1, 3) || '.50' as decimal(18,2)) else total end as double) as amount
-  from ({_MONEY_TEXT}) m join invoices using (document_id)""", "invoices")
+@query(f"select document_id, cast(case when total is null then null when form in (1, 4) then -abs(total) when form = 5 then {_GROUPED} else total end as double) as amount from ({_MONEY_TEXT}) m", "invoices")
 def fn_money(spark, sf):
     return _money_text(spark, sf).select("document_id", V.money(F.col("raw")).cast("double").alias("amount"))
 
 
-@query(f"""select document_id, cast(case when form = 1 then -total when form = 2 then 8.5 when form = 5 then cast('1' || substr(cast(total as varchar), 1, 3) || '.50' as decimal(18,2)) else total end as double) as amount
-  from ({_MONEY_TEXT}) m join invoices using (document_id)""", "invoices")
+@query(f"select document_id, cast(case when total is null then null when form = 1 then -abs(total) when form = 2 then 8.5 when form = 5 then {_GROUPED} else total end as double) as amount from ({_MONEY_TEXT}) m", "invoices")
 def fn_decimal(spark, sf):
     return _money_text(spark, sf).select("document_id", V.parse_decimal(F.col("raw")).cast("double").alias("amount"))
 
 
-@query(f"select document_id, case form when 0 then 'USD' when 2 then 'USD' when 3 then 'EUR' when 4 then 'USD' when 5 then 'CNY' end as code from ({_MONEY_TEXT}) m", "invoices")
+@query(f"select document_id, case when total is null then null else case form when 0 then 'USD' when 2 then 'USD' when 3 then 'EUR' when 4 then 'USD' when 5 then 'CNY' end end as code from ({_MONEY_TEXT}) m", "invoices")
 def fn_currency(spark, sf):
     return _money_text(spark, sf).select("document_id", V.currency_code(F.col("raw")).alias("code"))
 
@@ -247,7 +243,17 @@ def validation_summary(spark, sf):
     return C.summarise(_all(spark, sf))
 
 
-@query(None)
+_REASONED = """ union all """.join(f"select document_id, scope, status, reasons, {k} as p, '{check}' as check_type from ({sql}) c{k}" for k, (check, sql) in enumerate([
+    ("INHERITED_REVIEW", "select document_id, 'invoice' as scope, case when inherited_review then 'REVIEW_REQUIRED' else 'PASSED' end as status, case when inherited_review then 'INHERITED_REVIEW_REQUIRED|INHERITED_NORMALIZATION_REVIEW' else '' end as reasons from invoices"),
+    ("REQUIRED_FINANCIAL_FIELDS", RAW["required_check"]),
+    ("MONETARY_VALUE_VALIDITY", "select document_id, 'invoice' as scope, case when total < 0 then 'FAILED' else 'PASSED' end as status, case when total < 0 then 'UNEXPECTED_NEGATIVE_VALUE:TOTAL_AMOUNT' else '' end as reasons from invoices"),
+    ("DATE_CONSISTENCY", RAW["date_check"]), ("CURRENCY_CONSISTENCY", RAW["currency_check"]), ("LINE_ITEM_ARITHMETIC", RAW["line_arithmetic"]), ("LINE_ITEMS_TO_SUBTOTAL", RAW["subtotal_check"]), ("INVOICE_TOTAL_RECONCILIATION", RAW["total_check"]),
+]))
+
+
+@query(f"""with c as ({_REASONED}), bad as (select *, coalesce(try_cast(replace(scope, 'line-', '') as integer), 0) as l, string_split(case when reasons = '' then check_type || '_' || status else reasons end, '|') as r from c where status in ('FAILED', 'REVIEW_REQUIRED', 'SKIPPED')),
+  each as (select document_id, p, l, unnest(r) as reason, unnest(range(1, len(r) + 1)) as k from bad), firsts as (select document_id, reason, min((p, l, k)) as place from each group by all)
+  select document_id, string_agg(reason, '|' order by place) as reasons from firsts group by document_id""", "invoices", "inv_lines")
 def validation_reasons(spark, sf):
     return C.review_reasons(_all(spark, sf)).select("document_id", F.array_join("reasons", "|").alias("reasons"))
 
