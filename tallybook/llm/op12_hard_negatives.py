@@ -286,7 +286,7 @@ def cell_top(table: pa.Table) -> pa.Table:
 def cells(packs: DataFrame, keys: list[str], cell_blocks: int, cell_chunks: int) -> DataFrame:
     """Packs dealt to cells (keys, strip, wave): each block with each chunk of the same keys once, a bounded number of either in
     a cell, and as many strips as tasks can share where there are few blocks."""
-    wide = shuffle_width(packs.sparkSession)
+    wide = packs.sparkSession.sparkContext.defaultParallelism
     own = [F.col(k).alias(f"_{k}") for k in keys]
     sizes = packs.groupBy(*own).agg(
         F.greatest(F.ceil(F.count(F.when(F.col("kind") == 0, 1)) / cell_blocks), F.least(F.count(F.when(F.col("kind") == 0, 1)), F.lit(wide))).cast("int").alias("strips"),
