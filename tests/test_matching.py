@@ -71,4 +71,7 @@ def test_comparison_key_of_all_documents(spark, sf):
 def test_without_the_language_model_folders(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    bare = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=bare)
+    tests = ["tests/test_queries.py::test_query[stage_routes]", "tests/test_queries.py::test_query[fn_sha256]", "tests/test_stored.py::test_tenant_tables_open_one_folder"]
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *tests], cwd=tmp_path / "repo", check=True, env=bare)
