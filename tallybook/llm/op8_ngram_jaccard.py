@@ -17,23 +17,34 @@
    (a factor of 4/3), and every two tiles of the same or neighbouring bands
    that meet in such a list are compared once, whatever the list's length.
    Only pairs of tiles are ever listed, not pairs of classes.
+5. pairs() is the join itself: all classes with a list are dealt to tiles as in
+   4, and every two sets of tiles that meet are decided, connected or not. A
+   class has one tile, so each pair is decided once. Components then follow from
+   the pairs, and the links of a document from the sizes of its class and of
+   those it is paired with; copies are never expanded.
 
 Hashes are 64 bits wide, for shingles and for classes.
 
 Defined results: null or empty text has an empty set, is linked with nothing
 and is its own component; texts under five words have their whole sequence as
-one shingle; equal rows are linked; component_id is the least non-null id.
+one shingle; equal rows are linked; component_id is the least non-null id, in
+the order of the id's type (any type that has one); an empty table gives none.
+Other columns travel in the blocks and come back from keepers() alone, so no
+name clashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
 from tallybook.llm.blocks import KEYS_SCHEMA, by_shard, emit_keys, keys_from_bytes, keys_to_bytes, map_blocks, open_block, pack_blocks, shards_for, texts_of, total_bytes
 from tallybook.llm.graph import components
@@ -42,6 +53,8 @@ from tallybook.llm.runtime import durable
 
 SHINGLE = 5
 TILE = 400
+#: Of a tile of the full join: sets, and shingles in all of them (8 bytes each).
+JOIN_TILE, JOIN_SHINGLES = 1000, 1_000_000
 U = np.uint64
 
 
@@ -101,30 +114,40 @@ def rough_counts(keys: DataFrame) -> DataFrame:
     return keys.groupBy("shard").applyInArrow(group, "shard int, block long, mask binary").groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("answers"))
 
 
-def compare_tile(sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
-    """For each set the place of the first set it is connected with inside the tile; known: equal numbers are connected."""
+def _banded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """By size: order, sizes, sets, parity bitmaps, and the first place whose size is at least 0.75 of each one's."""
     n = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(n, kind="stable")
-    n, m = n[order], len(sets)
+    n = n[order]
     ordered = [sets[i] for i in order.tolist()]
     width = 64
-    while width < min(8192, int(np.median(n)) if m else 0):
+    while width < min(8192, int(np.median(n)) if len(n) else 0):
         width *= 2
-    bits = np.zeros((m, width), np.uint8)
+    packed = np.zeros((len(n), width // 64), np.uint64)
     for i, s in enumerate(ordered):
-        bits[i] = np.bincount((s % U(width)).astype(np.int64), minlength=width) & 1
-    packed = np.packbits(bits, axis=1).view(np.uint64)
+        packed[i] = np.packbits((np.bincount((s % U(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+    return order, n, ordered, packed, np.searchsorted(n, -(-3 * n // 4))
+
+
+def _may_link(near: np.ndarray, i: int, n: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Those of near whose bitmaps leave room for the overlap that a link with i needs."""
+    apart = np.bitwise_count(packed[near] ^ packed[i]).sum(1, dtype=np.int64)
+    total = n[near] + n[i]
+    most = (total - apart) // 2
+    return near[100 * most >= 75 * (total - most)]
+
+
+def compare_tile(sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
+    """For each set the place of the first set it is connected with inside the tile; known: equal numbers are connected."""
+    m = len(sets)
+    order, n, ordered, packed, band = _banded(sets)
     part = np.arange(m) if known is None else np.unique(np.array(known, np.int64)[order], return_inverse=True)[1]
-    band = np.searchsorted(n, -(-3 * n // 4))
     for i in range(m):
         near = np.arange(band[i], i)
         near = near[part[near] != part[i]]
         if not len(near):
             continue
-        apart = np.bitwise_count(packed[near] ^ packed[i]).sum(1, dtype=np.int64)
-        total = n[near] + n[i]
-        most = (total - apart) // 2
-        for j in near[100 * most >= 75 * (total - most)].tolist():
+        for j in _may_link(near, i, n, packed).tolist():
             if part[j] != part[i]:
                 a, b = ordered[j], ordered[i]
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -138,17 +161,46 @@ def compare_tile(sets: list[np.ndarray], known: list[int] | None = None) -> list
     return out
 
 
-_POST = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("classes", pa.list_(pa.int64()))])
-POST = "shard int, block long, keys binary, more binary, ids array<long>, sizes array<long>, classes array<long>"
+def tile_pairs(sets: list[np.ndarray], side: list[int]) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """(places of partners, place, sizes of the intersections) of all linked sets; with two sides only across them."""
+    order, n, ordered, packed, band = _banded(sets)
+    of = np.array(side, np.int64)[order]
+    across = len(set(side)) > 1
+    out = []
+    for i in range(len(sets)):
+        near = np.arange(band[i], i)
+        if across:
+            near = near[of[near] != of[i]]
+        if len(near):
+            near = _may_link(near, i, n, packed)
+        if len(near):
+            mine, others = ordered[i], np.concatenate([ordered[j] for j in near.tolist()])
+            at = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == others).astype(np.int64), np.cumsum(n[near]) - n[near])
+            linked = 100 * both >= 75 * (n[near] + n[i] - both)
+            if linked.any():
+                out.append((order[near[linked]], int(order[i]), both[linked]))
+    return out
+
+
+def _post(id_type: DataType) -> tuple[StructType, pa.Schema]:
+    """What blocks send on: prefix shingles by shard, and (shard -1) id, size and class of each row."""
+    many = [("ids", id_type), ("sizes", LongType()), ("classes", LongType())]
+    fields = [("shard", IntegerType()), ("block", LongType()), ("keys", BinaryType()), ("more", BinaryType()), *((c, ArrayType(t)) for c, t in many)]
+    post = StructType([StructField(c, t) for c, t in fields])
+    return post, to_arrow_schema(post)
+
+
 _LISTS = pa.schema([("list", pa.int64()), ("hub", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
 
 
 class NearDuplicates:
-    """The join over docs; membership() and keepers() read its results."""
+    """The join over docs; pairs, membership() and keepers() read its results."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.columns, self.text_col, self.docs_schema = docs.columns, text_col, docs.schema
         self.blocks = blocks = pack_blocks(docs, text_col)
+        post, arrow = _post(docs.schema[id_col].dataType)
         estimate = total_bytes(blocks) // 6 + 1
         shards = shards_for(blocks, estimate)
         keep = U(64 - min(64, estimate.bit_length() + 13))
@@ -164,10 +216,10 @@ class NearDuplicates:
         counts = rough_counts(map_blocks(blocks, send, KEYS_SCHEMA))
 
         def prefixes(row: dict) -> Iterator[pa.RecordBatch]:
-            ids = open_block(row["data"]).column(id_col).cast(pa.int64()).to_pylist()
+            ids = open_block(row["data"]).column(id_col).to_pylist()
             classes, sets, first = _block_classes(row, text_col)
             size = {c: len(sets[k]) for c, k in first.items()}
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1, row["block"], None, None, ids, [size.get(c, 0) for c in classes], classes), _POST.types)], schema=_POST)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1, row["block"], None, None, ids, [size.get(c, 0) for c in classes], classes), arrow.types)], schema=arrow)
             if not sets:
                 return
             hashes, cuts = _joined(sets)
@@ -189,12 +241,28 @@ class NearDuplicates:
                 part = order[edges[s] : edges[s + 1]]
                 used, local = np.unique(owner[part], return_inverse=True)
                 more = np.uint32(len(used)).tobytes() + cls[used].tobytes() + sizes[used].tobytes() + local.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((s, row["block"], keys_to_bytes(keys[part]), zstandard.compress(more, 1), None, None, None), _POST.types)], schema=_POST)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((s, row["block"], keys_to_bytes(keys[part]), zstandard.compress(more, 1), None, None, None), arrow.types)], schema=arrow)
 
-        posted = durable(map_blocks(blocks.join(counts, "block", "left"), prefixes, POST))
+        posted = durable(map_blocks(blocks.join(counts, "block", "left"), prefixes, post))
         self.members = posted.filter("shard = -1").select("block", F.posexplode(F.arrays_zip("ids", "sizes", "classes")).alias("row", "x")).select("block", "row", F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"), F.col("x.classes").alias("cls"))
-        lists = durable(posted.filter("shard >= 0").select("shard", "keys", "more").groupBy("shard").applyInArrow(shared_lists, "list long, hub long, cls long, n long").distinct())
-        self.labels = self._link(lists)
+        self.lists = durable(posted.filter("shard >= 0").select("shard", "keys", "more").groupBy("shard").applyInArrow(shared_lists, "list long, hub long, cls long, n long").distinct())
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(a, b, n_a, n_b, n_both) of all pairs of different classes that link, each once; names as cls in membership()."""
+        dealt = durable(self._dealt(self.lists.withColumn("component", F.lit(None).cast("long")), JOIN_TILE, JOIN_SHINGLES))
+        meets = durable(self.lists.select("list", "cls").join(dealt, "cls").select("list", "tile", "band").distinct())
+        met = self._meeting(meets, "true")
+        # the tile stands where the other comparison has the component: it says on which side a class is
+        tiles = met.join(dealt.select("tile", "cls"), "tile").select("x", "y", "cls", F.col("tile").alias("component"))
+        return durable(self._compare(tiles, linked, LINKED))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """(node, component) of all classes with a link: from the pairs, where they are there, else from the links that connect."""
+        if "pairs" in self.__dict__:
+            return durable(components(self.pairs))
+        return self._link(self.lists)
 
     def _around_hubs(self, pairs: DataFrame) -> DataFrame:
         """Tiles (x, y, cls) of about TILE members around each hub, from pairs (hub, cls)."""
@@ -202,8 +270,24 @@ class NearDuplicates:
         dealt = pairs.join(many, pairs["hub"] == many["_hub"]).select(F.col("hub").alias("x"), F.pmod(F.xxhash64("cls"), F.col("_k")).cast("long").alias("y"), "cls")
         return dealt.union(many.select(F.col("_hub").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_k") - 1).cast("long"))).alias("y"), F.col("_hub").alias("cls"))).distinct()
 
-    def _compare(self, tiles: DataFrame) -> DataFrame:
-        """Edges found inside tiles (x, y, cls, component or null)."""
+    def _dealt(self, rows: DataFrame, sets: int, shingles: int | None = None) -> DataFrame:
+        """(cls, component, band, tile) from the lists' rows: a tile holds classes of one hub and size band, about so many sets or shingles."""
+        long = rows.groupBy(F.col("list").alias("_list")).agg(F.count("*").alias("_size"))
+        banded = rows.join(long, F.col("list") == F.col("_list")).groupBy("cls", "n", "component").agg(F.max_by("hub", F.struct("_size", "list")).alias("hub")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+        share = F.count("*") / sets
+        sizes = banded.groupBy(F.col("hub").alias("_hub"), F.col("band").alias("_band")).agg(F.ceil(F.greatest(share, F.sum("n") / shingles) if shingles else share).cast("int").alias("_k"))
+        dealt = banded.join(sizes, (F.col("hub") == F.col("_hub")) & (F.col("band") == F.col("_band")))
+        return dealt.select("cls", "component", "band", F.xxhash64("hub", "band", F.pmod(F.xxhash64("cls"), F.col("_k"))).alias("tile"))
+
+    def _meeting(self, meets: DataFrame, condition: str) -> DataFrame:
+        """(x, y, tile), tile either of the two: tiles of the same or neighbouring bands with a list in common, once."""
+        one, other = meets.alias("p"), meets.alias("q")
+        fits = f"p.list = q.list and p.tile <= q.tile and abs(p.band - q.band) <= 1 and {condition}"
+        pairs = durable(one.join(other, F.expr(fits)).select(F.col("p.tile").alias("x"), F.col("q.tile").alias("y")).distinct())
+        return pairs.select("x", "y", F.col("x").alias("tile")).union(pairs.filter("x <> y").select("x", "y", F.col("y").alias("tile")))
+
+    def _compare(self, tiles: DataFrame, decide: Callable[[pa.Table], pa.Table] | None = None, schema: str = "a long, b long") -> DataFrame:
+        """What decide (else: the edges that connect) finds in the texts of tiles (x, y, cls, component or null)."""
         place = self.members.filter("cls >= 0").groupBy("cls").agg(F.min(F.struct("block", "row")).alias("p"))
         wanted = tiles.join(place, "cls").select(F.col("p.block").alias("block"), F.struct("p.row", "cls", "component", "x", "y").alias("w"))
         asked = wanted.groupBy("block").agg(F.collect_list("w").alias("wanted"))
@@ -217,14 +301,14 @@ class NearDuplicates:
                 columns = {c: [v[c] for v in w] for c in ("x", "y", "cls", "component")}
                 yield pa.RecordBatch.from_pydict({**columns, "data": [zstandard.compress(held[v["row"]], 1) for v in w]}, schema=sent_schema)
 
-        def tile(table: pa.Table) -> pa.Table:
+        def connect(table: pa.Table) -> pa.Table:
             cls, known = table.column("cls").to_pylist(), table.column("component").to_pylist()
             at = compare_tile(shingle_sets([zstandard.decompress(d) for d in table.column("data").to_pylist()]), None if known[0] is None else known)
             found = [(cls[i], cls[k]) for i, k in enumerate(at) if i != k]
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
         sent = map_blocks(self.blocks.join(asked, "block"), texts, "x long, y long, cls long, component long, data binary")
-        return sent.groupBy("x", "y").applyInArrow(tile, "a long, b long")
+        return sent.groupBy("x", "y").applyInArrow(decide or connect, schema)
 
     def _link(self, lists: DataFrame) -> DataFrame:
         """(node, component) of all classes with a link."""
@@ -240,16 +324,9 @@ class NearDuplicates:
             return labels
         # tiles by the hub of a class's longest list and by size band: sets that link lie in the same or in neighbouring
         # bands, and the classes of one long list fill few tiles
-        long = split.groupBy(F.col("list").alias("_list")).agg(F.count("*").alias("_size"))
-        banded = split.join(long, F.col("list") == F.col("_list")).groupBy("cls", "n", "component").agg(F.max_by("hub", F.struct("_size", "list")).alias("hub")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-        sizes = banded.groupBy(F.col("hub").alias("_hub"), F.col("band").alias("_band")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
-        dealt = banded.join(sizes, (F.col("hub") == F.col("_hub")) & (F.col("band") == F.col("_band")))
-        dealt = durable(dealt.select("cls", "component", "band", F.xxhash64("hub", "band", F.pmod(F.xxhash64("cls"), F.col("_k"))).alias("tile")))
+        dealt = durable(self._dealt(split, TILE))
         meets = durable(split.select("list", "cls").join(dealt, "cls").groupBy("list", "tile", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
-        one, other = meets.alias("p"), meets.alias("q")
-        fits = "p.list = q.list and p.tile <= q.tile and abs(p.band - q.band) <= 1 and least(p.lo, q.lo) < greatest(p.hi, q.hi)"
-        pairs = durable(one.join(other, F.expr(fits)).select(F.col("p.tile").alias("x"), F.col("q.tile").alias("y")).distinct())
-        sides = pairs.select("x", "y", F.col("x").alias("tile")).union(pairs.filter("x <> y").select("x", "y", F.col("y").alias("tile")))
+        sides = self._meeting(meets, "least(p.lo, q.lo) < greatest(p.hi, q.hi)")
         more = self._compare(sides.join(dealt.select("tile", "cls", "component"), "tile").select("x", "y", "cls", "component"))
         return durable(components(more.union(labels.selectExpr("node as a", "component as b"))))
 
@@ -259,6 +336,13 @@ class NearDuplicates:
         least = named.filter("cls >= 0").groupBy(F.col("comp").alias("_comp")).agg(F.min("id").alias("_least"))
         return named.join(least, named["comp"] == least["_comp"], "left").select("block", "row", "id", "n", "cls", "comp", F.coalesce("_least", "id").alias("component_id"))
 
+    def links(self) -> DataFrame:
+        """(cls, n_links): how many other rows a row of the class links with, for all classes but the empty set's."""
+        held = durable(self.members.filter("cls >= 0").groupBy("cls").agg(F.count("*").alias("held")))
+        both = self.pairs.selectExpr("a as cls", "b as other").union(self.pairs.selectExpr("b as cls", "a as other"))
+        others = both.join(held.select(F.col("cls").alias("other"), F.col("held").alias("_held")), "other").groupBy("cls").agg(F.sum("_held").alias("_others"))
+        return held.join(others, "cls", "left").select("cls", (F.coalesce("_others", F.lit(0)) + F.col("held") - 1).alias("n_links"))
+
     def keepers(self) -> DataFrame:
         """The rows of docs, one of each component: the least id, the first such row."""
         named = self.membership()
@@ -273,6 +357,21 @@ class NearDuplicates:
         return map_blocks(self.blocks.join(wanted, "block"), pick, self.docs_schema)
 
 
+LINKED = "a long, b long, n_a long, n_b long, n_both long"
+
+
+def linked(table: pa.Table) -> pa.Table:
+    """The linked pairs of the classes of one tile, or across two."""
+    cls = np.array(table.column("cls").to_pylist(), np.int64)
+    sets = shingle_sets([zstandard.decompress(d) for d in table.column("data").to_pylist()])
+    n = np.array([len(s) for s in sets], np.int64)
+    found = tile_pairs(sets, table.column("component").to_pylist())
+    a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
+    b = np.concatenate([np.full(len(f[0]), f[1]) for f in found]) if found else a
+    both = np.concatenate([f[2] for f in found]) if found else a
+    return pa.table({"a": cls[a], "b": cls[b], "n_a": n[a], "n_b": n[b], "n_both": both})
+
+
 def shared_lists(table: pa.Table) -> pa.Table:
     """The lists of at least two classes that share a prefix shingle, each distinct list once."""
     keys, cls, sizes = [], [], []
@@ -305,4 +404,7 @@ def shared_lists(table: pa.Table) -> pa.Table:
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return NearDuplicates(docs).membership().select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    found = NearDuplicates(docs)
+    links = found.links()
+    rows = found.membership().join(links, "cls", "left")
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -39,8 +39,9 @@ def test_op4_columns(spark, folder):
 
 def test_op8_columns(spark, folder):
     sets, least, _ = _components(ROWS)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op8_ngram_jaccard.op8_ngram_jaccard(spark, folder).collect()}
-    assert got == {r[0]: (len(s), c if s else r[0]) for r, s, c in zip(ROWS, sets, least)}
+    links = [sum(i != j and bool(s) and 100 * len(s & t) >= 75 * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in op8_ngram_jaccard.op8_ngram_jaccard(spark, folder).collect()}
+    assert got == {r[0]: (len(s), c if s else r[0], k) for r, s, c, k in zip(ROWS, sets, least, links)}
 
 
 def test_op9_columns(spark, folder):

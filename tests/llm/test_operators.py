@@ -140,6 +140,51 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == dict(enumerate(least))
 
 
+def _links(sets):
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("tile, shingles", [(1000, 1_000_000), (3, 1_000_000), (1000, 200)])
+def test_all_pairs_and_link_counts(spark, monkeypatch, tile, shingles):
+    monkeypatch.setattr(op8_ngram_jaccard, "JOIN_TILE", tile)
+    monkeypatch.setattr(op8_ngram_jaccard, "JOIN_SHINGLES", shingles)
+    rows = [(f"d{i:03d}" if r[0] is not None else None, r[1], "clash", "clash", "clash") for i, r in enumerate(corpus())]
+    found = op8_ngram_jaccard.NearDuplicates(spark.createDataFrame(rows, "name string, text string, cls string, block string, n string").repartition(3), "name")
+    links = {r.cls: r.n_links for r in found.links().collect()}
+    members = found.membership().collect()
+    sets, _, part = _components(rows)
+    edges = _links(sets)
+    degree = collections.Counter(x for e in edges for x in e)
+    assert sorted((m.id or "", m.n, links.get(m.cls, 0)) for m in members) == sorted((r[0] or "", len(s), degree[i]) for i, (r, s) in enumerate(zip(rows, sets)))
+    of = {m.id: m.cls for m in members if m.id}
+    want = {tuple(sorted((of[rows[i][0]], of[rows[j][0]]))): tuple(sorted((len(sets[i]), len(sets[j])))) + (len(sets[i] & sets[j]),) for i, j in edges if rows[i][0] and rows[j][0] and sets[i] != sets[j]}
+    got = {tuple(sorted((p.a, p.b))): tuple(sorted((p.n_a, p.n_b))) + (p.n_both,) for p in found.pairs.collect()}
+    named = set(of.values())
+    assert found.pairs.count() == len(got) and {k: v for k, v in got.items() if named.issuperset(k)} == want
+    least = collections.defaultdict(list)
+    for p, r in zip(part, rows):
+        least[p].append(r[0] or "~")
+    assert sorted((m.id or "~", m.component_id or "~") for m in members) == sorted((r[0] or "~", min(least[p])) for p, r in zip(part, rows))
+
+
+def test_every_pair_of_a_large_group_is_decided_once(spark, monkeypatch):
+    monkeypatch.setattr(op8_ngram_jaccard, "JOIN_TILE", 50)
+    r = random.Random(10)
+    rows = []
+    for i in range(300):
+        w = [f"w{k}" for k in range(60 if i % 2 else 75)]
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "s", None, None))
+    sets, _, _ = _components(rows)
+    edges = _links(sets)
+    found = op8_ngram_jaccard.NearDuplicates(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    links = {x.cls: x.n_links for x in found.links().collect()}
+    degree = collections.Counter(x for e in edges for x in e)
+    assert {m.id: links[m.cls] for m in found.membership().collect()} == {i: degree[i] for i in range(300)}
+    assert found.pairs.count() == len({frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, j in edges if sets[i] != sets[j]})
+
+
 def test_quality_rules(docs):
     out = {r.doc_id: r for r in op2_quality_rules.quality_rules(docs, min_group=5).collect() if r.doc_id is not None}
     for r in corpus():
