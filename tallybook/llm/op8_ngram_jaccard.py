@@ -17,11 +17,11 @@
    (a factor of 4/3), and every two tiles of the same or neighbouring bands
    that meet in such a list are compared once, whatever the list's length.
    Only pairs of tiles are ever listed, not pairs of classes.
-5. pairs() is the join itself: all classes with a list are dealt to tiles as in
-   4, and every two sets of tiles that meet are decided, connected or not. A
-   class has one tile, so each pair is decided once. Components then follow from
-   the pairs, and the links of a document from the sizes of its class and of
-   those it is paired with; copies are never expanded.
+5. The whole join deals all classes with a list to tiles as in 4 and decides
+   every two sets of tiles that meet, connected or not. A class has one tile, so
+   each pair is decided once. links() adds up, inside the tiles, how many rows
+   the partners of a class hold and names one class it is connected with, so
+   neither pairs nor copies are written out; pairs lists the linked classes.
 
 Hashes are 64 bits wide, for shingles and for classes.
 
@@ -248,20 +248,27 @@ class NearDuplicates:
         self.lists = durable(posted.filter("shard >= 0").select("shard", "keys", "more").groupBy("shard").applyInArrow(shared_lists, "list long, hub long, cls long, n long").distinct())
 
     @cached_property
-    def pairs(self) -> DataFrame:
-        """(a, b, n_a, n_b, n_both) of all pairs of different classes that link, each once; names as cls in membership()."""
+    def _tiles(self) -> DataFrame:
+        """(x, y, cls, component) of the whole join; the tile stands where the other comparison has the component: it tells sides apart."""
         dealt = durable(self._dealt(self.lists.withColumn("component", F.lit(None).cast("long")), JOIN_TILE, JOIN_SHINGLES))
         meets = durable(self.lists.select("list", "cls").join(dealt, "cls").select("list", "tile", "band").distinct())
-        met = self._meeting(meets, "true")
-        # the tile stands where the other comparison has the component: it says on which side a class is
-        tiles = met.join(dealt.select("tile", "cls"), "tile").select("x", "y", "cls", F.col("tile").alias("component"))
-        return durable(self._compare(tiles, linked, LINKED))
+        return self._meeting(meets, "true").join(dealt.select("tile", "cls"), "tile").select("x", "y", "cls", F.col("tile").alias("component"))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(a, b, n_a, n_b, n_both) of all pairs of different classes that link, each once; names as cls in membership()."""
+        return durable(self._compare(self._tiles, linked, LINKED))
+
+    @cached_property
+    def _counted(self) -> DataFrame:
+        """(a, b, n_rows) for each class a with partners in a tile: one it is connected with there, and the rows that its partners hold."""
+        return durable(self._compare(self._tiles, counted, COUNTED))
 
     @cached_property
     def labels(self) -> DataFrame:
-        """(node, component) of all classes with a link: from the pairs, where they are there, else from the links that connect."""
-        if "pairs" in self.__dict__:
-            return durable(components(self.pairs))
+        """(node, component) of all classes with a link: from the whole join, where it was made, else from the links that connect."""
+        if "_counted" in self.__dict__:
+            return durable(components(self._counted))
         return self._link(self.lists)
 
     def _around_hubs(self, pairs: DataFrame) -> DataFrame:
@@ -288,17 +295,17 @@ class NearDuplicates:
 
     def _compare(self, tiles: DataFrame, decide: Callable[[pa.Table], pa.Table] | None = None, schema: str = "a long, b long") -> DataFrame:
         """What decide (else: the edges that connect) finds in the texts of tiles (x, y, cls, component or null)."""
-        place = self.members.filter("cls >= 0").groupBy("cls").agg(F.min(F.struct("block", "row")).alias("p"))
-        wanted = tiles.join(place, "cls").select(F.col("p.block").alias("block"), F.struct("p.row", "cls", "component", "x", "y").alias("w"))
+        place = self.members.filter("cls >= 0").groupBy("cls").agg(F.min(F.struct("block", "row")).alias("p"), F.count("*").alias("held"))
+        wanted = tiles.join(place, "cls").select(F.col("p.block").alias("block"), F.struct("p.row", "cls", "component", "x", "y", "held").alias("w"))
         asked = wanted.groupBy("block").agg(F.collect_list("w").alias("wanted"))
         text_col = self.text_col
-        sent_schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("cls", pa.int64()), ("component", pa.int64()), ("data", pa.binary())])
+        sent_schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("cls", pa.int64()), ("component", pa.int64()), ("held", pa.int64()), ("data", pa.binary())])
 
         def texts(row: dict) -> Iterator[pa.RecordBatch]:
             held = texts_of(open_block(row["data"]), text_col)
             for at in range(0, len(row["wanted"]), 64):
                 w = row["wanted"][at : at + 64]
-                columns = {c: [v[c] for v in w] for c in ("x", "y", "cls", "component")}
+                columns = {c: [v[c] for v in w] for c in ("x", "y", "cls", "component", "held")}
                 yield pa.RecordBatch.from_pydict({**columns, "data": [zstandard.compress(held[v["row"]], 1) for v in w]}, schema=sent_schema)
 
         def connect(table: pa.Table) -> pa.Table:
@@ -307,7 +314,7 @@ class NearDuplicates:
             found = [(cls[i], cls[k]) for i, k in enumerate(at) if i != k]
             return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-        sent = map_blocks(self.blocks.join(asked, "block"), texts, "x long, y long, cls long, component long, data binary")
+        sent = map_blocks(self.blocks.join(asked, "block"), texts, "x long, y long, cls long, component long, held long, data binary")
         return sent.groupBy("x", "y").applyInArrow(decide or connect, schema)
 
     def _link(self, lists: DataFrame) -> DataFrame:
@@ -338,10 +345,9 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """(cls, n_links): how many other rows a row of the class links with, for all classes but the empty set's."""
-        held = durable(self.members.filter("cls >= 0").groupBy("cls").agg(F.count("*").alias("held")))
-        both = self.pairs.selectExpr("a as cls", "b as other").union(self.pairs.selectExpr("b as cls", "a as other"))
-        others = both.join(held.select(F.col("cls").alias("other"), F.col("held").alias("_held")), "other").groupBy("cls").agg(F.sum("_held").alias("_others"))
-        return held.join(others, "cls", "left").select("cls", (F.coalesce("_others", F.lit(0)) + F.col("held") - 1).alias("n_links"))
+        held = self.members.filter("cls >= 0").groupBy("cls").agg(F.count("*").alias("held"))
+        others = self._counted.groupBy(F.col("a").alias("_cls")).agg(F.sum("n_rows").alias("_others"))
+        return held.join(others, held["cls"] == others["_cls"], "left").select("cls", (F.coalesce("_others", F.lit(0)) + F.col("held") - 1).alias("n_links"))
 
     def keepers(self) -> DataFrame:
         """The rows of docs, one of each component: the least id, the first such row."""
@@ -372,6 +378,24 @@ def linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": cls[a], "b": cls[b], "n_a": n[a], "n_b": n[b], "n_both": both})
 
 
+COUNTED = "a long, b long, n_rows long"
+
+
+def counted(table: pa.Table) -> pa.Table:
+    """For each class with a partner in the tile, or across two: a class it is connected with, and the rows its partners hold."""
+    cls, held = (np.array(table.column(c).to_pylist(), np.int64) for c in ("cls", "held"))
+    sets = shingle_sets([zstandard.decompress(d) for d in table.column("data").to_pylist()])
+    rows, part = np.zeros(len(cls), np.int64), np.arange(len(cls))
+    for partners, i, _ in tile_pairs(sets, table.column("component").to_pylist()):
+        rows[i] += held[partners].sum()
+        rows[partners] += held[i]
+        met = np.unique(np.append(part[partners], part[i]))
+        if len(met) > 1:
+            part[np.isin(part, met)] = met[0]
+    has = rows > 0
+    return pa.table({"a": cls[has], "b": cls[part[has]], "n_rows": rows[has]})
+
+
 def shared_lists(table: pa.Table) -> pa.Table:
     """The lists of at least two classes that share a prefix shingle, each distinct list once."""
     keys, cls, sizes = [], [], []
