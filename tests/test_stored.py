@@ -72,3 +72,16 @@ def test_claims_expire(spark, tmp_path):
     J.drain(J.claim_timeouts(J.stream_of(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     got = spark.read.parquet(f"{tmp_path}/out").select("case_id", F.date_format("expired_at", "HH:mm").alias("t")).collect()
     assert {(r.case_id, r.t) for r in got} == {(2, "08:30"), (3, "08:30")} and len(got) == 2
+
+
+def test_cases_do_not_copy_the_trail_of_their_workflow(spark):
+    cases = spark.createDataFrame([(k, k % 2) for k in range(6)], "case_id long, workflow_id long")
+    workflows = spark.createDataFrame([(0, "A"), (1, "B")], "workflow_id long, current_status string")
+    memory = cases.select("case_id", F.lit(1.0).alias("total"))
+    events = spark.createDataFrame([(0, s, s, -s, "x" * s) for s in (3, 1, 2)], "workflow_id long, sequence_number int, occurred_at int, event_id long, kind string")
+    decisions = spark.createDataFrame([(0, 2, 7), (0, 1, 8)], "case_id long, decided_at int, decision_id long")
+    out = A.case_details(cases, workflows, memory, events, decisions)
+    got = {r.case_id: r for r in out.collect()}
+    assert len(got) == 6 and (got[2].n_events, got[2].first_event.event_id, got[2].last_event.kind) == (3, -1, "xxx") and got[1].n_events is None and [d.decision_id for d in got[0].decisions] == [8, 7]
+    assert not any("audit_events" in c for c in out.columns)
+    assert [(r.place, r.event_id) for r in A.audit_trail(cases, events).orderBy("place").collect()] == [(1, -1), (2, -2), (3, -3)]
