@@ -102,12 +102,14 @@ def flagged_known(stream: DataFrame, known: DataFrame, digest: str) -> DataFrame
     return stream.join(there, stream[digest] == there["_known"], "left").withColumn("duplicate", F.col("_known").isNotNull()).drop("_known")
 
 
-def claim_timeouts(events: DataFrame, seconds: int = 1800, delay: str = "0 seconds") -> DataFrame:
+def claim_timeouts(events: DataFrame, seconds: int = 1800, delay: str = "0 seconds", order: str | None = None) -> DataFrame:
     """(case_id, claimed_at, expired_at) of claims that no later event of their case ended in time.
 
-    events: case_id, status, at. Timers are set in event time, so a replay expires the same claims; only open claims
-    are held as state.
+    events: case_id, status, at, and the column named in order, which ranks a case's events of the same second (without it
+    they are taken as they arrive, which a shuffle does not keep). Timers are set in event time, so a replay expires the
+    same claims; only open claims are held as state.
     """
+    ranks = ["at"] if order is None else ["at", order]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done: list[tuple] = []
@@ -116,7 +118,7 @@ def claim_timeouts(events: DataFrame, seconds: int = 1800, delay: str = "0 secon
             done.append((claimed, claimed + seconds))
             claimed = None
         else:
-            for row in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
+            for row in pd.concat(list(batches)).sort_values(ranks, kind="stable").itertuples():
                 at = int(row.at.timestamp())
                 if claimed is not None and at > claimed + seconds:
                     done.append((claimed, claimed + seconds))
@@ -128,7 +130,7 @@ def claim_timeouts(events: DataFrame, seconds: int = 1800, delay: str = "0 secon
             state.remove()
         else:
             state.update((claimed,))
-            state.setTimeoutTimestamp((claimed + seconds) * 1000)
+            state.setTimeoutTimestamp((claimed + seconds) * 1000 - 1)  # a timer goes off behind its time, a claim ends at it
         yield pd.DataFrame({"case_id": [key[0]] * len(done), "claimed_at": [pd.Timestamp(a, unit="s") for a, _ in done], "expired_at": [pd.Timestamp(b, unit="s") for _, b in done]})
 
     marked = events.withWatermark("at", delay)

@@ -74,6 +74,15 @@ def test_claims_expire(spark, tmp_path):
     assert {(r.case_id, r.t) for r in got} == {(2, "08:30"), (3, "08:30")} and len(got) == 2
 
 
+def test_claims_of_one_second_follow_the_given_order(spark, tmp_path):
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    rows = [(1, "RELEASED", at(8, 0), 9), (1, "CLAIMED", at(8, 0), 8), (2, "CLAIMED", at(8, 0), 9), (2, "RELEASED", at(8, 0), 8), (3, "CLAIMED", at(9, 30), 1), (4, "CLAIMED", at(9, 31), 1), (5, "RELEASED", at(10, 0), 1)]
+    spark.createDataFrame(rows, "case_id long, status string, at timestamp, event_id long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    J.drain(J.claim_timeouts(J.stream_of(spark, f"{tmp_path}/in"), order="event_id"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = spark.read.parquet(f"{tmp_path}/out").select("case_id", F.date_format("expired_at", "HH:mm").alias("t")).collect()
+    assert sorted((r.case_id, r.t) for r in got) == [(2, "08:30"), (3, "10:00")]  # the last claim ends as the latest event comes
+
+
 def test_cases_do_not_copy_the_trail_of_their_workflow(spark):
     cases = spark.createDataFrame([(k, k % 2) for k in range(6)], "case_id long, workflow_id long")
     workflows = spark.createDataFrame([(0, "A"), (1, "B")], "workflow_id long, current_status string")
