@@ -75,3 +75,17 @@ def test_without_the_language_model_folders(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=bare)
     tests = ["tests/test_queries.py::test_query[stage_routes]", "tests/test_queries.py::test_query[fn_sha256]", "tests/test_stored.py::test_tenant_tables_open_one_folder"]
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *tests], cwd=tmp_path / "repo", check=True, env=bare)
+
+
+def test_sides_that_grow_are_not_broadcast(spark, sf):
+    from tallybook.plans import finance
+    from tallybook.sources.derived import derived
+    from tallybook.sources.shared import kept
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    get = finance._Tables(spark, sf)
+    results = get.keep("some_results", get("po").select("po_key", "state"))
+    rows = kept(spark.range(9).withColumn("t", F.lit("x")))
+    for df in (derived(spark, sf, "inv_lines"), derived(spark, sf, "po"), results.join(get("gr"), "po_key"), rows.join(spark.range(3), "id")):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+    assert "FileScan parquet" in plan(rows) and sorted(r.id for r in rows.collect()) == list(range(9))
