@@ -94,3 +94,19 @@ def test_cases_do_not_copy_the_trail_of_their_workflow(spark):
     assert len(got) == 6 and (got[2].n_events, got[2].first_event.event_id, got[2].last_event.kind) == (3, -1, "xxx") and got[1].n_events is None and [d.decision_id for d in got[0].decisions] == [8, 7]
     assert not any("audit_events" in c for c in out.columns)
     assert [(r.place, r.event_id) for r in A.audit_trail(cases, events).orderBy("place").collect()] == [(1, -1), (2, -2), (3, -3)]
+
+
+def test_operands_are_written_behind_the_joins(spark):
+    from tallybook.operators import validation as C
+
+    cols = "document_id long, currency string, subtotal decimal(18,2), tax decimal(18,2), discount decimal(18,2), shipping decimal(18,2), total decimal(18,2), invoice_date date, due_date date"
+    invoices = spark.createDataFrame([(1, "USD", None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None, None)], cols)
+    lines = spark.createDataFrame([(1, 1, None, None, None), (1, 2, None, None, None)], "document_id long, line_number int, quantity decimal(18,4), unit_price decimal(18,2), amount decimal(18,2)")
+    kinds = [(d, c, "invoice", "PASSED") for d in (1, 2) for c in C.ORDER if c != "LINE_ITEM_ARITHMETIC"] + [(1, "LINE_ITEM_ARITHMETIC", "line-2", "SKIPPED"), (2, "LINE_ITEM_ARITHMETIC", "no-line-items", "NOT_APPLICABLE"), (1, "OTHER", "invoice", "PASSED")]
+    checks = spark.createDataFrame(kinds, "document_id long, check_type string, scope string, status string")
+    out = A.with_operands(checks, invoices, lines, A.uuid.UUID(int=7))
+    got = {(r.document_id, r.check_type): [o.name for o in r.operands] for r in out.collect()}
+    assert len(got) == len(kinds) and got[1, "LINE_ITEM_ARITHMETIC"] == ["quantity", "unit_price", "amount"] and got[2, "LINE_ITEM_ARITHMETIC"] == [] == got[1, "OTHER"]
+    assert got[1, "LINE_ITEMS_TO_SUBTOTAL"] == ["line_1_amount", "line_2_amount", "subtotal"] and got[2, "LINE_ITEMS_TO_SUBTOTAL"] == ["subtotal"] and got[1, "MONETARY_VALUE_VALIDITY"] == []
+    shuffled = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(shuffled) == 4  # a line's check reads its line, the sums read headers and lines, the others headers alone
