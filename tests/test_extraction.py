@@ -96,3 +96,13 @@ def test_an_address_lifts_a_name_or_makes_it_ambiguous(spark):
     assert got["lifted"] == ("MATCHED", "S1", 0.9247) and got["low"][0] == got["bare"][0] == "NOT_FOUND"
     assert got["one"] == ("MATCHED", "S2", 1.0) or got["one"][0] == "AMBIGUOUS"
     assert got["torn"][0] == "AMBIGUOUS"
+
+
+def test_line_tables_work_out_orders_and_headers_once(spark, sf):
+    from tallybook.operators import extract as X
+    from tallybook.plans.coverage import _table_pages
+
+    pages = _table_pages(spark, sf)
+    plan = X.table_headers(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "regexp_replace" not in plan  # keys are made before, in one pass
+    assert "Window" not in pages._jdf.queryExecution().optimizedPlan().toString()
