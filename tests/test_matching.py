@@ -48,6 +48,31 @@ def test_supplier_scores_match_brute_force(spark):
     assert got == want
 
 
+def _common(a, b):
+    """The length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_candidates_are_few_and_none_is_lost(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("ABC ") for _ in range(r.randint(1, 28))) for _ in range(120)]
+    changed = [w[:k] + r.choice(["", "A", "BB"]) + w[k + r.randint(0, 2) :] for w in words for k in [r.randrange(len(w) + 1)] for _ in range(3)]
+    keys = lambda texts, name: spark.createDataFrame([(t,) for t in sorted({t for t in texts if t})], f"{name} string")
+    for threshold in (0.9, 0.87, 0.75):
+        got = {tuple(x) for x in M.near_keys(keys(changed, "name_key"), keys(words, "known_key"), threshold).collect()}
+        assert {(a, b) for a in changed for b in words if a and b and a != b and 2 * _common(a, b) / (len(a) + len(b)) >= threshold - 1e-9} <= got
+    # numbered names differ in one digit from many, but of nine letters none may differ: only a letter more or less is near
+    numbers = [f"SUP {n}" for n in (*range(1000, 1100), *range(10000, 10100))]
+    got = {tuple(x) for x in M.near_keys(keys(numbers, "name_key"), keys(numbers, "known_key"), 0.9).collect()}
+    assert got == {(a, b) for a in numbers for b in numbers if a != b and 2 * _common(a, b) / (len(a) + len(b)) >= 0.9 - 1e-9}
+
+
 def test_lines_take_the_best_free_order_line(spark):
     lines = spark.createDataFrame([(1, 1, 1, "red bolt"), (1, 1, 2, "blue nut"), (2, 2, 1, "green pipe"), (2, 2, 2, "green pipes"), (2, 2, 3, None), (3, 3, 1, "same"), (3, 3, 2, "same")], "document_id long, po_key long, line_number int, description string")
     orders = spark.createDataFrame([(1, 1, "blue nut"), (1, 2, "red bolt"), (2, 1, "green pipes"), (2, 2, "other"), (3, 4, "same"), (3, 3, "same")], "po_key long, po_line_number int, po_description string")
