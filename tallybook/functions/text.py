@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,12 +82,20 @@ def without_marks(text: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """null as empty, NFKC, white space runs as one space, trimmed."""
     raw = F.coalesce(c, F.lit(""))
-    squeezed = lambda t: F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.when(F.char_length(raw) == F.octet_length(raw), squeezed(raw)).otherwise(squeezed(compatible_form(raw)))
+    squeezed = lambda t, space: F.trim(F.regexp_replace(t, space, " "))
+    return F.when(F.char_length(raw) == F.octet_length(raw), squeezed(raw, r"\s+")).otherwise(squeezed(compatible_form(raw), r"(?U)\s+"))
 
 
 def comparison_key(c: Column) -> Column:
-    return F.regexp_replace(F.upper(clean_text(c)), "[^A-Z0-9]", "")
+    """Upper case letters and digits of the NFKC text alone; where all is ASCII the text is that already, and spaces go anyway."""
+    raw = F.coalesce(c, F.lit(""))
+    bare = lambda t: F.regexp_replace(F.upper(t), "[^A-Z0-9]+", "")
+    return F.when(F.char_length(raw) == F.octet_length(raw), bare(raw)).otherwise(bare(compatible_form(raw)))
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    """Whether a text, given as a column or bound by let, contains one of the words; plain comparison, no pattern."""
+    return reduce(or_, [text.contains(w) for w in words])
 
 
 def business_key(c: Column) -> Column:
@@ -159,8 +169,8 @@ def party_name(c: Column) -> Column:
     """Whether a line may name a party: no label's key, no @, not digits and signs alone, one to ten words, three letters."""
 
     def test(t: Column) -> Column:
-        key = F.regexp_replace(F.upper(t), "[^A-Z0-9]", "")
-        letters = F.char_length(F.regexp_replace(t, r"[^\p{L}]", ""))
-        return (key != "") & ~key.rlike("|".join(NO_PARTY)) & ~t.contains("@") & ~t.rlike(r"^[\d\s.,+\-/#()]+$") & (F.size(F.split(t, " ")) <= 10) & (letters >= 3)
+        key = F.regexp_replace(F.upper(t), "[^A-Z0-9]+", "")
+        letters = F.char_length(F.regexp_replace(t, r"[^\p{L}]+", ""))
+        return let(key, lambda k: (k != "") & ~holds(k, NO_PARTY)) & ~t.contains("@") & ~t.rlike(r"^[\d\s.,+\-/#()]+$") & (F.size(F.split(t, " ")) <= 10) & (letters >= 3)
 
     return let(clean_text(c), test)

@@ -106,3 +106,14 @@ def test_line_tables_work_out_orders_and_headers_once(spark, sf):
     plan = X.table_headers(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "regexp_replace" not in plan  # keys are made before, in one pass
     assert "Window" not in pages._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_header_parties_sort_a_page_once_and_labels_need_no_patterns(spark):
+    rows = [(1, 1, 1, "Acme\u00a0Stores", 50, 40, 200, 20), (1, 1, 2, "Other Works", 500, 60, 150, 20), (1, 1, 3, "Bill To", 50, 90, 80, 20), (1, 1, 4, "Late Name", 50, 120, 80, 20), (1, 1, 5, "\uff34otal  due", 50, 900, 80, 20), (2, 1, 1, "Alone", 50, 40, 60, 20)]
+    lines = spark.createDataFrame(rows, "document_id long, page int, line_order int, text string, x int, y int, w int, h int")
+    found = L.header_parties(lines)
+    assert sorted((r.document_id, r.field, r.line_order) for r in found.collect()) == [(1, "CUSTOMER_NAME", 2), (1, "SUPPLIER_NAME", 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    labelled = L.label_lines(lines)
+    assert sorted((r.line_order, r.field) for r in labelled.collect()) == [(3, "CUSTOMER_NAME"), (5, "TOTAL_AMOUNT")]
+    assert "|".join(L._bare(x) for x in L.LABELS["TOTAL_AMOUNT"]) not in labelled._jdf.queryExecution().optimizedPlan().toString()
