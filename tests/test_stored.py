@@ -35,6 +35,8 @@ def test_records_tell_changed_payloads(spark):
     got = {r.document_id: r for r in records.collect()}
     assert got["a"].review_reasons == ["INHERITED_REVIEW_REQUIRED"] and got["a"].normalized_payload == '{"v":"1.50"}' and got["b"].reference_payload is None
     schemas = {n: A.json_safe(p.drop("document_id")).schema for n, p in payloads.items()}
+    again = A.checked(spark.createDataFrame(records.rdd, records.schema), schemas)
+    assert not again.filter("altered").count() and "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
     assert A.altered(records, schemas).count() == 0
     changed = records.withColumn("financial_payload", F.when(F.col("document_id") == "b", F.lit('{"v":"9.50"}')).otherwise(F.col("financial_payload")))
     assert [r.document_id for r in A.altered(changed, schemas).collect()] == ["b"]
