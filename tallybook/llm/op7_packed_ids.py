@@ -8,6 +8,10 @@ its ids (little-endian uint32, padded), the cumulative segment lengths, the
 positions (which restart at 0 with each segment) and, for each segment, its
 document and the offset in it, so documents can be put together again.
 
+A task segments the distinct chunks of its texts once, as long as it remembers
+them (KNOWN chunks at most); tables shared by all tasks would cost more than the
+rare chunks, most of all, that a task alone holds. Nothing is shuffled.
+
 Packing works on groups of at most group_tokens tokens, so its memory does not
 grow with the partition.
 
@@ -18,6 +22,7 @@ rows are packed like any others; a null document id stays null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
-from tallybook.llm.op9_piece_codec import with_ids
+from tallybook.llm.op9_piece_codec import codec
+from tallybook.llm.runtime import small_batches
 
 ROW_LENGTH = 2048
+KNOWN = 400_000
 
 
 def packed_schema(id_type: DataType) -> StructType:
@@ -92,12 +99,25 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
+def coded_texts(batches: Iterator[pa.RecordBatch], model_file: str | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches (doc, text) with their texts' ids; chunks are segmented when first met."""
+    tool, known = codec(model_file), {}
+    for batch in batches:
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        split = [tool.chunks(t) for t in texts]
+        if len(known) > KNOWN:
+            known.clear()
+        new = list(set(chain.from_iterable(filter(None, split))) - known.keys())
+        known.update(zip(new, tool.segment(new)))
+        yield batch, tool.encode(texts, split, known)
+
+
 def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_length: int = ROW_LENGTH, model_file: str | None = None, pad_id: int = 0, group_tokens: int = 4_000_000) -> DataFrame:
     """Packed rows, see packed_schema."""
     schema = packed_schema(docs.schema[id_col].dataType)
     arrow = to_arrow_schema(schema)
 
-    def finish(blocks: Iterator[tuple[pa.Table, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple] = []  # (document, offset, ids)
         tokens = 0
@@ -119,8 +139,8 @@ def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seq += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-        for table, coded in blocks:
-            for doc, ids in zip(table.column("doc").to_pylist(), coded):
+        for batch, coded in coded_texts(batches, model_file):
+            for doc, ids in zip(batch.column("doc").to_pylist(), coded):
                 for at in range(0, len(ids), 4 * row_length):
                     held.append((doc, at // 4, ids[at : at + 4 * row_length]))
                 tokens += len(ids) // 4
@@ -132,7 +152,8 @@ def pack_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     padding = np.full(row_length, pad_id, "<u4").tobytes()
     named = docs.select(docs[f"`{id_col}`"].alias("doc"), docs[f"`{text_col}`"].alias("text"))
-    return with_ids(named, "text", model_file, finish, schema)
+    small_batches(docs.sparkSession)
+    return named.mapInArrow(pack, schema)
 
 
 def op7_packed_ids(spark, sf_dir: str) -> DataFrame:

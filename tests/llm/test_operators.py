@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,18 @@ def test_packed_ids_of_texts(spark):
     assert sorted((i or "") for r in rows for i in r.doc_ids) == ["", "a", "b"]
 
 
+def test_packing_remembers_a_bounded_number_of_chunks_and_shuffles_nothing(spark, docs, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=op9_piece_codec.default_model())
+    texts = ["one two three", "two  three", None, " one", "four one ▁ five"] * 3
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    monkeypatch.setattr(op7_packed_ids, "KNOWN", 1)
+    for _, coded in op7_packed_ids.coded_texts(iter([batch, batch]), None):
+        assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [sp.encode(t or "", add_bos=True, add_eos=True) for t in texts]
+    assert "hashpartitioning" not in op7_packed_ids.pack_token_ids(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_best_fit_takes_the_fullest_row():
     rows = op7_packed_ids.best_fit(np.array([6, 3, 5, 4, 2]), 10)
     assert [[int(i) for i in r] for r in rows] == [[0, 3], [2, 1, 4]]
