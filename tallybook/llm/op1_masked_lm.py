@@ -164,6 +164,30 @@ class Vocabulary:
         return out
 
 
+def grouped(keys: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of keys from 0 to most; those of two bytes are sorted by their digits."""
+    return np.argsort(keys.astype(np.uint16) if most <= 1 << 16 else keys, kind="stable")
+
+
+def weights(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's exponentials and their sum, less the largest of all, or the row's own where a row lies too far below that."""
+    one = np.ones(logits.shape[1], np.float32)
+    out = logits - logits.max()
+    sums = np.exp(out, out=out) @ one
+    if sums.min() < 1e-20:
+        out = logits - logits.max(1, keepdims=True)
+        sums = np.exp(out, out=out) @ one
+    return out, sums
+
+
+def sums_by(keys: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of each one's rows."""
+    order = grouped(keys, most)
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
+    return sorted_keys[first], np.add.reduceat(rows.take(order, 0), first)
+
+
 class Network:
     """Parameters and passes of the window network; an id's class is id mod the number of classes."""
 
@@ -189,54 +213,50 @@ class Network:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        e = self.p["embed"]
-        return np.tanh(e[0][context[0]] + e[1][context[1]] + e[2][context[2]] + e[3][context[3]])
+        h = self.p["embed"][0].take(context[0], 0)
+        for table, at in zip(self.p["embed"][1:], context[1:]):
+            h += table.take(at, 0)
+        return np.tanh(h, out=h)
 
     def run(self, ids: np.ndarray, context: np.ndarray, rate: float = 0.0) -> np.ndarray:
         """Log probability of each id given its context; with a rate, also one Adagrad step."""
         p, n, classes = self.p, len(ids), self.classes
         cls, place = ids % classes, ids // classes
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(classes + 1))
-        ids, cls, place, context = ids[order], cls[order], place[order], context[:, order]
+        order = grouped(cls, classes)
+        cuts = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+        spans = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+        cls, place, context = cls[order], place[order], context[:, order]
         h = self.hidden(context)
-        a = h @ p["cls"].T + p["cls_bias"]
-        a -= a.max(1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(1, keepdims=True)
-        b = np.empty((n, classes), np.float32)
-        for k in range(classes):
-            lo, hi = cuts[k], cuts[k + 1]
-            if hi > lo:
-                b[lo:hi] = h[lo:hi] @ p["word"][k].T + p["word_bias"][k]
-        b -= b.max(1, keepdims=True)
-        np.exp(b, out=b)
-        b /= b.sum(1, keepdims=True)
+        a, b = h @ p["cls"].T, np.empty((n, classes), np.float32)
+        a += p["cls_bias"]
+        for k, own in spans:
+            np.matmul(h[own], p["word"][k].T, out=b[own])
+            b[own] += p["word_bias"][k]
+        (a, in_a), (b, in_b) = weights(a), weights(b)
         rows = np.arange(n)
         out = np.empty(n, np.float32)
-        out[order] = np.log(np.maximum(a[rows, cls], 1e-12)) + np.log(np.maximum(b[rows, place], 1e-12))
+        out[order] = np.log(np.maximum(a[rows, cls] / in_a, 1e-12)) + np.log(np.maximum(b[rows, place] / in_b, 1e-12))
         if rate:
+            a /= in_a[:, None]
+            b /= in_b[:, None]
             a[rows, cls] -= 1
             b[rows, place] -= 1
             grad_h = a @ p["cls"]
-            g = {"cls": a.T @ h, "cls_bias": a.sum(0), "word": np.zeros(self.shapes["word"], np.float32), "word_bias": np.zeros(self.shapes["word_bias"], np.float32)}
-            for k in range(classes):
-                lo, hi = cuts[k], cuts[k + 1]
-                if hi > lo:
-                    grad_h[lo:hi] += b[lo:hi] @ p["word"][k]
-                    g["word"][k] = b[lo:hi].T @ h[lo:hi]
-                    g["word_bias"][k] = b[lo:hi].sum(0)
+            g = {"cls": a.T @ h, "cls_bias": np.ones(n, np.float32) @ a, "word": np.zeros(self.shapes["word"], np.float32), "word_bias": np.zeros(self.shapes["word_bias"], np.float32)}
+            for k, own in spans:
+                grad_h[own] += b[own] @ p["word"][k]
+                g["word"][k] = b[own].T @ h[own]
+                g["word_bias"][k] = b[own].sum(0)
             grad_h *= 1 - h * h
             for name, grad in g.items():
                 self._step(self.p[name], self.seen[name], grad / n, rate)
             for slot in range(len(REACH)):
-                by = np.argsort(context[slot], kind="stable")
-                sorted_ids = context[slot][by]
-                first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-                used, grad = sorted_ids[first], np.add.reduceat(grad_h[by], first) / n
+                used, grad = sums_by(context[slot], grad_h, classes * classes)
+                grad /= n
                 e, s = self.p["embed"][slot], self.seen["embed"][slot]
-                s[used] += grad * grad
-                e[used] -= rate * grad / np.sqrt(s[used])
+                much = s.take(used, 0) + grad * grad
+                s[used] = much
+                e[used] -= rate * grad / np.sqrt(much)
         return out
 
     @staticmethod

@@ -274,6 +274,28 @@ def test_packed_ids_of_texts(spark):
     assert sorted((i or "") for r in rows for i in r.doc_ids) == ["", "a", "b"]
 
 
+def test_network_steps_by_plain_softmax():
+    r = np.random.default_rng(3)
+    net = op1_masked_lm.Network(r.random(16) + 0.5)
+    for rows, most in ((np.array([3, 1, 3, 0]), 4), (np.array([70_000, 1, 70_000]), 70_001)):
+        used, sums = op1_masked_lm.sums_by(rows, np.ones((len(rows), 2), np.float32), most)
+        assert used.tolist() == sorted(set(rows.tolist())) and sums[:, 0].tolist() == [(rows == u).sum() for u in used]
+    far = np.array([[0, 1], [-300, -301]], np.float32)  # a row far below the other's largest
+    out, sums = op1_masked_lm.weights(far)
+    assert np.allclose(out / sums[:, None], [[1 / (1 + np.e), np.e / (1 + np.e)], [np.e / (1 + np.e), 1 / (1 + np.e)]], atol=1e-6)
+    ids, around = r.integers(0, 16, 50), r.integers(0, 16, (4, 50))
+    h = net.hidden(around)
+    a = np.exp(h @ net.p["cls"].T + net.p["cls_bias"])
+    b = np.exp(np.einsum("nw,nkw->nk", h, net.p["word"][ids % 4]) + net.p["word_bias"][ids % 4])
+    at = np.arange(50)
+    want = np.log(a[at, ids % 4] / a.sum(1)) + np.log(b[at, ids // 4] / b.sum(1))
+    assert np.allclose(net.run(ids, around), want, atol=1e-5)
+    before = net.run(ids, around).mean()
+    for _ in range(20):
+        net.run(ids, around, 0.05)
+    assert net.run(ids, around).mean() > before
+
+
 def test_packing_remembers_a_bounded_number_of_chunks_and_shuffles_nothing(spark, docs, monkeypatch):
     import sentencepiece
 
