@@ -235,7 +235,10 @@ def line_items(cells: DataFrame, most: int = 500) -> DataFrame:
     """
     cell = {c: F.max(F.when(F.col("col") == c, F.col("text"))) for c in COLUMNS}
     wide = cells.groupBy("document_id", "page", "row").agg(*[v.alias(f"_{c}") for c, v in cell.items()], F.min("confidence").alias("_least"))
-    values = {"description": F.nullif(clean_text(F.col("_DESCRIPTION")), F.lit("")), "quantity": parse_decimal(F.col("_QUANTITY")).cast("decimal(18,4)"), "unit_price": money(F.col("_UNIT_PRICE")), "amount": money(F.col("_AMOUNT"))}
+    given = lambda read, c: F.when(F.col(c).isNotNull(), read(F.col(c)))  # noqa: E731 - what is absent needs no reading
+    description = lambda c: F.nullif(clean_text(c), F.lit(""))
+    values = {"description": given(description, "_DESCRIPTION"), "quantity": given(parse_decimal, "_QUANTITY").cast("decimal(18,4)"), "unit_price": given(money, "_UNIT_PRICE"), "amount": given(money, "_AMOUNT")}
+    wide = wide.filter(sum(F.col(f"_{c}").isNotNull().cast("int") for c in COLUMNS) >= 2)
     typed = wide.select("document_id", "page", "row", "_least", *[v.alias(n) for n, v in values.items()])
     filled = sum(F.col(c).isNotNull().cast("int") for c in values)
     reasons = F.array_compact(F.array(F.when(F.col("description").isNull(), "LINE_DESCRIPTION_MISSING"), F.when(F.col("quantity").isNull(), "LINE_QUANTITY_MISSING"), F.when(F.col("unit_price").isNull() & F.col("amount").isNull(), "LINE_FINANCIAL_VALUE_MISSING"), F.when(F.col("_least") < 70, "LOW_FIELD_CONFIDENCE")))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.plans import coverage, records
+from tallybook.operators import extract as X
+from tallybook.plans import coverage, more, records
 
 
 @pytest.mark.parametrize("rows", [records._lines, records._tokens])
@@ -18,3 +19,10 @@ def test_words_are_not_shuffled(spark, sf, name):
     plan = {**records.QUERIES, **coverage.QUERIES}[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     grown = plan[: plan.index("Generate")]
     assert "Exchange" not in grown, grown
+
+
+def test_absent_cells_of_line_items_are_not_read(spark, sf):
+    plan = more.QUERIES["line_items"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("isnotnull(_QUANTITY" in x and "Filter" in x for x in plan.splitlines())
+    cells = spark.createDataFrame([("a", 1, 1, "DESCRIPTION", "x", 90.0), ("a", 1, 1, "AMOUNT", "2", 90.0), ("a", 1, 2, "AMOUNT", "3", 90.0), ("a", 1, 3, "DESCRIPTION", " ", 90.0), ("a", 1, 3, "QUANTITY", "no", 90.0)], "document_id string, page int, row int, col string, text string, confidence double")
+    assert [(r.row, r.line_number, str(r.amount), r.quantity) for r in X.line_items(cells).collect()] == [(1, 1, "2.00", None)]
