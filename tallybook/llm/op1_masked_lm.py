@@ -44,6 +44,7 @@ KNOWN_FROM = 0.15  # words counted this many times the root of the number of tok
 OOV = 64  # ids 1 to 63 are shared by rare words, 0 is the edge of a text
 WIDTH = 16
 STEP = 8192
+TILE = 1024  # rows of a step whose exponentials are held at a time
 FAN = 32
 REACH = (-2, -1, 1, 2)
 MADE = ["n_tokens", "log_likelihood"]
@@ -170,22 +171,23 @@ def grouped(keys: np.ndarray, most: int) -> np.ndarray:
 
 
 def weights(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's exponentials and their sum, less the largest of all, or the row's own where a row lies too far below that."""
+    """Each row's exponentials and their sum, all less the row's largest where some row's sum would be very small or large."""
     one = np.ones(logits.shape[1], np.float32)
-    out = logits - logits.max()
-    sums = np.exp(out, out=out) @ one
-    if sums.min() < 1e-20:
+    with np.errstate(over="ignore"):
+        out = np.exp(logits)
+        sums = out @ one
+    if not 1e-15 <= sums.min() <= sums.max() <= 1e15:
         out = logits - logits.max(1, keepdims=True)
         sums = np.exp(out, out=out) @ one
     return out, sums
 
 
 def sums_by(keys: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and the sum of each one's rows."""
+    """The distinct keys, ascending, and the sum of each one's rows; two columns are added as one complex number."""
     order = grouped(keys, most)
-    sorted_keys = keys[order]
-    first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-    return sorted_keys[first], np.add.reduceat(rows.take(order, 0), first)
+    sorted_keys = keys.take(order)
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+    return sorted_keys.take(first), np.add.reduceat(rows.take(order, 0).view(np.complex64), first).view(np.float32)
 
 
 class Network:
@@ -195,11 +197,17 @@ class Network:
         self.classes = k = math.isqrt(len(frequency))
         self.shapes = {"embed": (len(REACH), k * k, WIDTH), "cls": (k, WIDTH), "cls_bias": (k,), "word": (k, k, WIDTH), "word_bias": (k, k)}
         rng = np.random.default_rng(1)
-        self.p = {n: (rng.standard_normal(s) * 0.1).astype(np.float32) for n, s in self.shapes.items()}
+        drawn = {n: (rng.standard_normal(s) * 0.1).astype(np.float32) for n, s in self.shapes.items()}
         table = frequency.reshape(k, k).T  # [class, place]
-        self.p["cls_bias"] = np.log(table.sum(1) / table.sum()).astype(np.float32)
-        self.p["word_bias"] = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
-        self.seen = {n: np.full(s, 1e-3, np.float32) for n, s in self.shapes.items()}
+        drawn["cls_bias"] = np.log(table.sum(1) / table.sum()).astype(np.float32)
+        drawn["word_bias"] = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+        # a bias is the last weight of its row, for an input of one
+        self.rows = {"cls": np.empty((k, WIDTH + 1), np.float32), "word": np.empty((k, k, WIDTH + 1), np.float32)}
+        self.p = {"embed": drawn["embed"]}
+        for n, held in self.rows.items():
+            self.p[n], self.p[f"{n}_bias"] = held[..., :WIDTH], held[..., WIDTH]
+            self.p[n][...], self.p[f"{n}_bias"][...] = drawn[n], drawn[f"{n}_bias"]
+        self.seen = {n: np.full_like(held, 1e-3) for n, held in [("embed", self.p["embed"]), *self.rows.items()]}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in self.shapes])
@@ -208,7 +216,7 @@ class Network:
         at = 0
         for n, s in self.shapes.items():
             size = int(np.prod(s))
-            self.p[n] = flat[at : at + size].reshape(s).astype(np.float32)
+            self.p[n][...] = flat[at : at + size].reshape(s)
             at += size
         return self
 
@@ -218,64 +226,93 @@ class Network:
             h += table.take(at, 0)
         return np.tanh(h, out=h)
 
-    def run(self, ids: np.ndarray, context: np.ndarray, rate: float = 0.0) -> np.ndarray:
-        """Log probability of each id given its context; with a rate, also one Adagrad step."""
-        p, n, classes = self.p, len(ids), self.classes
-        cls, place = ids % classes, ids // classes
+    def run(self, ids: np.ndarray, context: np.ndarray, rate: float = 0.0) -> np.ndarray | None:
+        """Log probability of each id given its context; with a rate, one Adagrad step instead.
+
+        The ids are taken class by class, in tiles of whole classes that fit a core's cache."""
+        n, classes = len(ids), self.classes
+        cls = ids % classes
         order = grouped(cls, classes)
-        cuts = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
-        spans = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-        cls, place, context = cls[order], place[order], context[:, order]
-        h = self.hidden(context)
-        a, b = h @ p["cls"].T, np.empty((n, classes), np.float32)
-        a += p["cls_bias"]
-        for k, own in spans:
-            np.matmul(h[own], p["word"][k].T, out=b[own])
-            b[own] += p["word_bias"][k]
-        (a, in_a), (b, in_b) = weights(a), weights(b)
-        rows = np.arange(n)
-        out = np.empty(n, np.float32)
-        out[order] = np.log(np.maximum(a[rows, cls] / in_a, 1e-12)) + np.log(np.maximum(b[rows, place] / in_b, 1e-12))
+        cls, place, context = cls.take(order), (ids // classes).take(order), context.take(order, 1)
+        cuts = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+        x = np.ones((n, WIDTH + 1), np.float32)
+        x[:, :WIDTH] = h = self.hidden(context)
+        sorted_out, grad_h = np.empty(n, np.float32), np.empty((n, WIDTH), np.float32)
+        grads = {m: np.zeros_like(held) for m, held in self.rows.items()} if rate else {}
+        for tile in _tiles([(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]):
+            own = slice(tile[0][1], tile[-1][2])
+            size = own.stop - own.start
+            b = np.empty((size, classes), np.float32)
+            for k, lo, hi in tile:
+                np.matmul(x[lo:hi], self.rows["word"][k].T, out=b[lo - own.start : hi - own.start])
+            (a, in_a), (b, in_b) = weights(x[own] @ self.rows["cls"].T), weights(b)
+            firsts = np.arange(0, size * classes, classes)
+            at_a, at_b = firsts + cls[own], firsts + place[own]
+            of_a, of_b = a.ravel().take(at_a), b.ravel().take(at_b)
+            if not rate:
+                sorted_out[own] = np.log(np.maximum(of_a / in_a, 1e-12)) + np.log(np.maximum(of_b / in_b, 1e-12))
+                continue
+            # gradients of the logits, but for what divides a row: it is put on the narrow side of each product
+            a.ravel()[at_a] = of_a - in_a
+            b.ravel()[at_b] = of_b - in_b
+            by_a, by_b = (1 / (n * in_a))[:, None], (1 / (n * in_b))[:, None]
+            grads["cls"] += a.T @ (x[own] * by_a)
+            scaled, back = x[own] * by_b, grad_h[own]
+            for k, lo, hi in tile:
+                part = b[lo - own.start : hi - own.start]
+                np.matmul(part, self.p["word"][k], out=grad_h[lo:hi])
+                np.matmul(part.T, scaled[lo - own.start : hi - own.start], out=grads["word"][k])
+            back *= by_b
+            back += (a @ self.p["cls"]) * by_a
         if rate:
-            a /= in_a[:, None]
-            b /= in_b[:, None]
-            a[rows, cls] -= 1
-            b[rows, place] -= 1
-            grad_h = a @ p["cls"]
-            g = {"cls": a.T @ h, "cls_bias": np.ones(n, np.float32) @ a, "word": np.zeros(self.shapes["word"], np.float32), "word_bias": np.zeros(self.shapes["word_bias"], np.float32)}
-            for k, own in spans:
-                grad_h[own] += b[own] @ p["word"][k]
-                g["word"][k] = b[own].T @ h[own]
-                g["word_bias"][k] = b[own].sum(0)
-            grad_h *= 1 - h * h
-            for name, grad in g.items():
-                self._step(self.p[name], self.seen[name], grad / n, rate)
-            for slot in range(len(REACH)):
-                used, grad = sums_by(context[slot], grad_h, classes * classes)
-                grad /= n
-                e, s = self.p["embed"][slot], self.seen["embed"][slot]
-                much = s.take(used, 0) + grad * grad
-                s[used] = much
-                e[used] -= rate * grad / np.sqrt(much)
+            self._learn(context, h, grad_h, grads, rate)
+            return None
+        out = np.empty(n, np.float32)
+        out[order] = sorted_out
         return out
 
-    @staticmethod
-    def _step(value: np.ndarray, seen: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        seen += grad * grad
-        value -= rate * grad / np.sqrt(seen)
+    def _learn(self, context: np.ndarray, h: np.ndarray, grad_h: np.ndarray, grads: dict[str, np.ndarray], rate: float) -> None:
+        """One Adagrad step."""
+        for m, grad in grads.items():
+            self.seen[m] += grad * grad
+            self.rows[m] -= rate * grad / np.sqrt(self.seen[m])
+        grad_h *= 1 - h * h
+        row = np.dtype((np.void, grad_h.strides[0]))  # rows are written as one item each
+        for slot in range(len(REACH)):
+            used, grad = sums_by(context[slot], grad_h, self.classes**2)
+            e, s = self.p["embed"][slot], self.seen["embed"][slot]
+            much = s.take(used, 0)
+            much += grad * grad
+            s.view(row)[used] = much.view(row)
+            grad *= rate
+            grad /= np.sqrt(much, out=much)
+            e.view(row)[used] = np.subtract(e.take(used, 0), grad, out=grad).view(row)
+
+
+def _tiles(spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """The spans in runs of about TILE rows."""
+    tile: list[tuple[int, int, int]] = []
+    for span in spans:
+        if tile and span[2] - tile[0][1] > TILE:
+            yield tile
+            tile = []
+        tile.append(span)
+    if tile:
+        yield tile
 
 
 def contexts(words: Words, ids: np.ndarray) -> np.ndarray:
     """For each token the ids around it; 0 beyond its text."""
     n = len(ids)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    begin, end = words.first[doc], words.first[doc + 1]
     out = np.zeros((len(REACH), n), np.int32)
-    place = np.arange(n)
     for slot, off in enumerate(REACH):
-        at = place + off
-        ok = (at >= begin) & (at < end)
-        out[slot, ok] = ids[at[ok]]
+        lag = min(abs(off), n)
+        same = doc[lag:] == doc[: n - lag]
+        if off < 0:
+            out[slot, lag:] = ids[: n - lag] * same
+        else:
+            out[slot, : n - lag] = ids[lag:] * same
     return out
 
 

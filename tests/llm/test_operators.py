@@ -296,6 +296,28 @@ def test_network_steps_by_plain_softmax():
     assert net.run(ids, around).mean() > before
 
 
+def test_network_holds_a_tile_of_a_step(monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(op1_masked_lm, "TILE", 64)
+    rows, weights = [], op1_masked_lm.weights
+    monkeypatch.setattr(op1_masked_lm, "weights", lambda logits: rows.append(len(logits)) or weights(logits))
+    ids, around = r.integers(0, 256, 1000), r.integers(0, 256, (4, 1000))
+    tiled, one = (op1_masked_lm.Network(r.random(256) + 0.5) for _ in range(2))
+    one.load(tiled.flat())
+    tiled.run(ids, around, 0.05)
+    assert max(rows) <= 128 and sum(rows) == 2 * len(ids)
+    monkeypatch.setattr(op1_masked_lm, "TILE", 1000)
+    one.run(ids, around, 0.05)
+    assert np.allclose(tiled.flat(), one.flat(), atol=1e-5)
+
+
+def test_contexts_end_with_their_text():
+    words = op1_masked_lm.Words([b"a b c", None, b"d", b"e f"])
+    got = op1_masked_lm.contexts(words, np.arange(1, 7, dtype=np.int32))
+    assert got.tolist() == [[0, 0, 1, 0, 0, 0], [0, 1, 2, 0, 0, 5], [2, 3, 0, 0, 6, 0], [3, 0, 0, 0, 0, 0]]
+    assert op1_masked_lm.contexts(op1_masked_lm.Words([b"a"]), np.ones(1, np.int32)).tolist() == [[0]] * 4
+
+
 def test_packing_remembers_a_bounded_number_of_chunks_and_shuffles_nothing(spark, docs, monkeypatch):
     import sentencepiece
 
