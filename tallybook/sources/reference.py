@@ -41,8 +41,9 @@ def receipts(spark: SparkSession, path: str) -> DataFrame:
     return _defaults(spark.read.schema(RECEIPT).json(path, multiLine=True), state="POSTED").withColumn("receipt_date", F.col("receipt_date").try_cast("date"))
 
 
-def order_lines(table: DataFrame) -> DataFrame:
-    out = table.select("purchase_order_number", F.inline("lines"))
+def order_lines(table: DataFrame, *carried: str) -> DataFrame:
+    """One row for each line of an order, with the order's number and the carried columns."""
+    out = table.select("purchase_order_number", *carried, F.inline("lines"))
     return out.withColumn("quantity", F.col("quantity").try_cast("decimal(18,4)")).withColumn("unit_price", F.col("unit_price").try_cast("decimal(18,2)")).withColumn("line_total", F.col("line_total").try_cast("decimal(18,2)"))
 
 
@@ -51,7 +52,7 @@ def receipt_lines(table: DataFrame) -> DataFrame:
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").json(path)
+    rows.write.mode("errorifexists").json(path, compression="gzip")
 
 
 def write_results(rows: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Strict payloads, records, sinks that insert once, claims that expire."""
 
 import json
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -112,3 +113,28 @@ def test_operands_are_written_behind_the_joins(spark):
     assert got[1, "LINE_ITEMS_TO_SUBTOTAL"] == ["line_1_amount", "line_2_amount", "subtotal"] and got[2, "LINE_ITEMS_TO_SUBTOTAL"] == ["subtotal"] and got[1, "MONETARY_VALUE_VALIDITY"] == []
     shuffled = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert len(shuffled) == 4  # a line's check reads its line, the sums read headers and lines, the others headers alone
+
+
+def test_written_orders_shuffle_their_lines_once(spark, sf, monkeypatch):
+    from tallybook.plans import coverage
+    from tallybook.sources import reference as S
+
+    plans, write = [], S.write_json_lines
+    monkeypatch.setattr(S, "write_json_lines", lambda rows, path: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, path)))
+    at = coverage._written(spark, sf)
+    assert plans[0].count("Exchange hashpartitioning") == 3 and "BroadcastExchange" not in plans[0]  # lines, their totals, orders
+    assert all(f.endswith(".json.gz") for f in os.listdir(f"{at}/orders") if f.startswith("part-"))
+
+
+def test_reference_orders_keep_repeated_orders_and_lines_without_a_price(spark, sf, tmp_path):
+    import duckdb
+
+    from tallybook.plans import coverage
+
+    con = duckdb.connect()
+    con.sql(f"copy (select * from '{sf}/orders.parquet' where o_orderkey < 40 union all select * from '{sf}/orders.parquet' where o_orderkey = 7) to '{tmp_path}/orders.parquet'")
+    con.sql(f"copy (select * replace (case when l_orderkey = 9 or l_linenumber = 2 then null else l_extendedprice end as l_extendedprice) from '{sf}/lineitem.parquet' where l_orderkey < 45) to '{tmp_path}/lineitem.parquet'")
+    for name in ("orders", "lineitem"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    rows = coverage.reference_orders(spark, str(tmp_path)).select("purchase_order_number", "total_amount", "state", "n").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(con.sql(f"select purchase_order_number, total_amount, state, n from ({coverage.ORACLES['reference_orders']})").fetchall(), key=str)
