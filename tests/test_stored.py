@@ -138,3 +138,14 @@ def test_reference_orders_keep_repeated_orders_and_lines_without_a_price(spark,
         con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
     rows = coverage.reference_orders(spark, str(tmp_path)).select("purchase_order_number", "total_amount", "state", "n").collect()
     assert sorted(map(tuple, rows), key=str) == sorted(con.sql(f"select purchase_order_number, total_amount, state, n from ({coverage.ORACLES['reference_orders']})").fetchall(), key=str)
+
+
+def test_case_details_hold_every_decision_and_event(spark, sf):
+    from tallybook.plans import audit
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    out = audit.QUERIES["case_details"](spark, sf)
+    cases = {r.case_id: r.workflow_id for r in out.filter("kind = 'CASE'").collect()}
+    events = {(r.workflow_id, r.id) for r in out.filter("kind = 'EVENT'").collect()}
+    assert events == {(r.user_id % 9, r.event_id) for r in e.collect() if r.user_id % 9 in set(cases.values())}
+    assert {r.id for r in out.filter("kind = 'DECISION'").collect()} == {r.event_id for r in e.filter("event_type = 'click'").collect() if r.user_id in cases}
