@@ -114,3 +114,13 @@ def test_sides_that_grow_are_not_broadcast(spark, sf):
     for df in (derived(spark, sf, "inv_lines"), derived(spark, sf, "po"), results.join(get("gr"), "po_key"), rows.join(spark.range(3), "id")):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
     assert "FileScan parquet" in plan(rows) and sorted(r.id for r in rows.collect()) == list(range(9))
+
+
+def test_settled_lines_carry_their_order_line_and_are_not_joined_to_it_again(spark):
+    lines = spark.createDataFrame([(1, 7, 1, "Blue ring", 2), (1, 7, 2, "Hot bolt", 3), (2, 8, 1, "Blue ring", 4), (2, 8, 2, "quite other", 5), (3, 9, 1, "Nut", 6)], "document_id long, po_key long, line_number int, description string, quantity int")
+    orders = spark.createDataFrame([(7, 1, "hot bolt", 30), (7, 2, "blue ring", 20), (8, 1, "blue ring", 40), (8, 2, "Nail", 50)], "po_key long, po_line_number int, po_description string, po_qty int")
+    out = M.with_order_lines(lines, orders)
+    got = {(r.document_id, r.line_number): (r.quantity, r.po_line_number, r.po_qty, r.method) for r in out.collect()}
+    assert got == {(1, 1): (2, 2, 20, "DESCRIPTION"), (1, 2): (3, 1, 30, "DESCRIPTION"), (2, 1): (4, 1, 40, "DESCRIPTION"), (2, 2): (5, 2, 50, "LINE_NUMBER"), (3, 1): (6, None, None, "NONE")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in x for x in plan.splitlines()) == 3  # of the scored lines alone: their pairs, what they take, its order line
